@@ -30,7 +30,7 @@ def haversine_inner(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_MILES) -> Column:
     a = haversine_inner(lat1, lon1, lat2, lon2)
-    return F.lit(2 * radius) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # null stays null
 
 
 def haversine_metres(lat1, lon1, lat2, lon2) -> Column:

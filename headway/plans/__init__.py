@@ -1,6 +1,6 @@
 """End-to-end jobs and the registered queries."""
 
-from . import analytics_queries, schedule_queries  # noqa: F401
+from . import analytics_queries, schedule_queries, spatial_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -32,7 +32,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                     WHEN 1 THEN (p_partkey // 4) % 10000 + 30000 ELSE p_partkey % 30000 END AS stop_id,
                p_name || ' & ' || p_brand AS name,
                41.64 + (p_partkey * 7919 % 3800) / 10000.0 AS lat,
-               -87.94 + (p_partkey * 104729 % 4200) / 10000.0 AS lon,
+               -87.94 + ((p_partkey * p_partkey * 31 + p_partkey * 17) % 4200) / 10000.0 AS lon,
                CASE WHEN p_partkey % 4 = 1 THEN (p_partkey // 4) % 10000 + 40000 END AS parent_id
         FROM part"""),
     "v_stops": (["v_stops_all"], """

@@ -99,8 +99,9 @@ def lat_of(key: Column, a: int = 7919) -> Column:
     return F.lit(41.64) + (key * a % 3800) / F.lit(10000.0)
 
 
-def lon_of(key: Column, a: int = 104729) -> Column:
-    return F.lit(-87.94) + (key * a % 4200) / F.lit(10000.0)
+def lon_of(key: Column, a: int | None = None) -> Column:
+    n = key * key * 31 + key * 17 if a is None else key * a
+    return F.lit(-87.94) + (n % 4200) / F.lit(10000.0)
 
 
 def stops_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,3 +234,38 @@ def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
     return p.select(key.alias("target_id"), lat_of(key).alias("lat"), lon_of(key).alias("lon"))
+
+
+def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short two-piece streets, one per customer, 50 names in several spellings."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    lat, lon = lat_of(key, 6007), lon_of(key, 15013)
+    pt = lambda dy, dx: F.struct((lat + dy).alias("lat"), (lon + dx).alias("lon"))
+    off = lambda m, n: ((key * m) % n - F.floor(n / 2)) / 10000.0
+    name = F.concat(
+        pick(["N ", "West ", "", "SE "], key % 4), F.lit("Elm"), key % 50,
+        pick([" St", " Avenue", " Blvd", ""], key % 3))
+    return c.select(
+        key.alias("way_id"), name.alias("name"),
+        F.array(pt(F.lit(0.0), F.lit(0.0)), pt(off(13, F.lit(160)), off(29, F.lit(160))),
+                pt(off(37, F.lit(240)), off(53, F.lit(240)))).alias("geometry"))
+
+
+def od_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origin-destination pairs: every supplier to a point a few miles away."""
+    s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    lat, lon = lat_of(key, 7211), lon_of(key, 9973)
+    return s.select(
+        key.alias("od_id"), lat.alias("o_lat"), lon.alias("o_lon"),
+        (lat + ((key * 31) % 600 - 300) / 10000.0).alias("d_lat"),
+        (lon + ((key * 17) % 600 - 300) / 10000.0).alias("d_lon"))
+
+
+def entrances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station entrances: each station part shifted a little, some unlabelled."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    return p.select(
+        key.alias("entrance_id"),
+        F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("Exit "), F.col("p_brand"))).alias("label"),
+        (lat_of(F.floor(key / 4) * 4) + (key % 7) / 2000.0).alias("lat"),
+        (lon_of(F.floor(key / 4) * 4) + (key % 5) / 2000.0).alias("lon"))
