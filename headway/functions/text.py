@@ -134,3 +134,15 @@ def coarse_coordinate(lat: Column, lon: Column) -> Column:
     """Two-decimal coordinate for logs."""
     text = F.format_string("(%.2f, %.2f)", lat, lon)
     return F.when(lat.isNull() | lon.isNull(), F.lit("(?, ?)")).otherwise(text)
+
+
+def title_case(text: Column) -> Column:
+    """Capital after every non-letter, small letters elsewhere."""
+    chars = F.transform(
+        F.sequence(F.lit(1), F.length(text)),
+        lambda i: F.when(
+            (i == 1) | ~F.substring(text, i - 1, F.lit(1)).rlike(r"\p{L}"),
+            F.upper(F.substring(text, i, F.lit(1))),
+        ).otherwise(F.lower(F.substring(text, i, F.lit(1)))),
+    )
+    return F.when(F.length(text) == 0, "").otherwise(F.array_join(chars, ""))

@@ -1,6 +1,11 @@
 """End-to-end jobs and the registered queries."""
 
-from . import analytics_queries, schedule_queries, spatial_queries  # noqa: F401
+from . import (  # noqa: F401
+    analytics_queries,
+    place_queries,
+    schedule_queries,
+    spatial_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

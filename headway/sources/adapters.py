@@ -269,3 +269,47 @@ def entrances(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("Exit "), F.col("p_brand"))).alias("label"),
         (lat_of(F.floor(key / 4) * 4) + (key % 7) / 2000.0).alias("lat"),
         (lon_of(F.floor(key / 4) * 4) + (key % 5) / 2000.0).alias("lon"))
+
+
+def landmarks_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landmark documents: a JSON map with one entry per supplier."""
+    s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    name = F.concat(F.lower(F.regexp_replace("s_name", "#", " plaza ")), F.lit(" avenue"))
+    point = F.array(lat_of(key, 3571), lon_of(key, 2741))
+    return s.select(F.to_json(F.create_map(name, point)).alias("value"))
+
+
+def osm_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small map extract per customer: an address node or a building centre."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    lat, lon = lat_of(key, 3571), lon_of(key, 2741)
+    street = F.concat(
+        pick(["N ", "West ", "", "SE "], key % 4), F.lit("Elm"), key % 50,
+        pick([" St", " Avenue", " Blvd."], key % 3))
+    tags = F.create_map(
+        F.lit("addr:housenumber"), F.when(key % 13 == 0, "").otherwise((key % 900).cast("string")),
+        F.lit("addr:street"), street)
+    node = key % 2 == 0
+    centre = F.struct(lat.alias("lat"), lon.alias("lon"))
+    el = F.struct(
+        F.when(node, "node").otherwise("way").alias("type"), key.alias("id"),
+        F.when(node, lat).alias("lat"), F.when(node, lon).alias("lon"),
+        F.when(~node, centre).alias("center"), tags.alias("tags"))
+    return c.select(F.to_json(F.struct(F.array(el).alias("elements"))).alias("value"))
+
+
+def place_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed places of six kinds, one per order."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    n_sup = F.col("o_custkey") % 100
+    plaza = F.concat(F.lit("Supplier plaza "), F.lpad(n_sup.cast("string"), 9, "0"))
+    return o.select(
+        key.alias("query_id"),
+        F.when(key % 6 == 0, F.concat(F.lit("41."), F.lpad((key % 60).cast("string"), 2, "0"), F.lit(", -87.7")))
+        .when(key % 6 == 1, F.concat(plaza, F.lit(" ave")))
+        .when(key % 6 == 2, F.concat(F.regexp_replace(plaza, "plaza", "plza"), F.lit(" avenue")))
+        .when(key % 6 == 3, F.concat(F.lit("N Elm"), key % 50, F.lit(" St and Elm"), F.col("o_custkey") % 50,
+                                     F.lit(" Blvd")))
+        .when(key % 6 == 4, F.concat((key % 900).cast("string"), F.lit(" W Elm"), F.col("o_custkey") % 50, F.lit(" St")))
+        .otherwise(F.concat(pick(["small ", "red", "elm7", "blue gear & b", "Supplier p"], key % 5), F.lit("")))
+        .alias("query"))
