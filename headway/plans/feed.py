@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import schedule as G
+from ..session import save_table
 from ..sources import adapters
 from ..sources.gtfs import coerce, read_gtfs
 
@@ -42,6 +43,11 @@ class Feed:
     def sequences(self) -> DataFrame:
         return G.trip_stops(self.calls)
 
+    @cached_property
+    def saved_sequences(self) -> DataFrame:
+        """The sequences as a written table: three later steps read them."""
+        return save_table(self.sequences, "sequences")
+
     @cached_property
     def days(self) -> DataFrame:
         return G.service_days(self.tables["calendar"], self.tables["calendar_dates"])
@@ -52,15 +58,15 @@ class Feed:
 
     @cached_property
     def periods(self) -> DataFrame:
-        return G.trip_periods(G.trip_heads(self.sequences), self.days)
+        return G.trip_periods(G.trip_heads(self.saved_sequences), self.days)
 
     @cached_property
     def reps(self) -> DataFrame:
-        return G.representative_trips(G.trip_heads(self.sequences), self.periods)
+        return G.representative_trips(G.trip_heads(self.saved_sequences), self.periods)
 
     @cached_property
     def rep_stops(self) -> DataFrame:
-        return G.representative_stops(self.sequences, self.reps)
+        return save_table(G.representative_stops(self.saved_sequences, self.reps), "representatives")
 
     @cached_property
     def timetable_calls(self) -> DataFrame:

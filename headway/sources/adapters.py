@@ -313,3 +313,43 @@ def place_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 6 == 4, F.concat((key % 900).cast("string"), F.lit(" W Elm"), F.col("o_custkey") % 50, F.lit(" St")))
         .otherwise(F.concat(pick(["small ", "red", "elm7", "blue gear & b", "Supplier p"], key % 5), F.lit("")))
         .alias("query"))
+
+
+def street_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A street grid 40 nodes wide, one node per part; every 23rd has a twin 5 m off."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    twin = F.when(key % 23 == 22, F.lit(1)).otherwise(F.lit(0))
+    col, row = key % 40 - twin, F.floor(key / 40)
+    return p.select(
+        key.alias("node"), (F.lit(41.80) + row * 0.001 + twin * 0.00004).alias("lat"),
+        (F.lit(-87.75) + col * 0.0014).alias("lon"))
+
+
+def street_edges_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed edges east, north and back west, some of them service ways."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    edge = lambda u, v, no: F.struct(
+        u.alias("u"), v.alias("v"), (key * 3 + no).alias("edge_id"), F.lit(no).alias("side"))
+    e = p.select("p_partkey", F.inline(F.array(edge(key, key + 1, 0), edge(key, key + 40, 1), edge(key + 1, key, 2))))
+    real = p.select(key.alias("v2"))
+    inside = e.where((F.col("side") == 1) | (F.greatest("u", "v") % 40 != 0))
+    k = F.col("p_partkey")
+    return inside.join(real, F.greatest("u", "v") == F.col("v2"), "left_semi").select(
+        "edge_id", "u", "v", (F.lit(112.0) + k % 7 * 10 + F.col("side")).alias("length"),
+        F.when(F.col("side") == 1, F.concat(F.lit("Oak"), k % 40)).when(k % 9 == 0, "")
+        .otherwise(F.concat(F.lit("Elm"), F.floor(k / 40))).alias("name"),
+        F.when(k % 17 == 0, "service").when(k % 9 == 0, "footway").otherwise("residential").alias("highway"),
+        F.when(k % 27 == 0, "crossing").otherwise("").alias("footway"))
+
+
+def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of 25 edges along consecutive parts."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    return p.select(
+        F.floor(k / 25).alias("path_id"), (k % 25).alias("edge_no"),
+        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("Elm"), F.floor(k / 3) % 5)).alias("name"),
+        F.when(k % 14 == 0, "footway").otherwise("residential").alias("highway"),
+        F.when(k % 28 == 0, "crossing").otherwise("").alias("footway"),
+        (F.lit(60.0) + k * 13 % 200).alias("length"),
+        lat_of(k).alias("lat1"), lon_of(k, 2741).alias("lon1"),
+        lat_of(k + 1).alias("lat2"), lon_of(k + 1, 2741).alias("lon2"))
