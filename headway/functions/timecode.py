@@ -78,9 +78,12 @@ def service_period(local: Column) -> Column:
 
 def periods(spark: SparkSession) -> DataFrame:
     """One row per (period, window): name, days, start_min, end_min, target_min."""
-    rows = [(n, d, w[0], w[1], t) for n, d, ws, t in PERIODS for w in ws]
-    return spark.createDataFrame(
-        rows, "period string, days array<int>, start_min int, end_min int, target_min int"
+    rows = ", ".join(
+        f"('{n}', array({', '.join(map(str, d))}), {w[0]}, {w[1]}, {t})"
+        for n, d, ws, t in PERIODS for w in ws
+    )
+    return spark.sql(
+        f"SELECT * FROM VALUES {rows} AS t(period, days, start_min, end_min, target_min)"
     )
 
 

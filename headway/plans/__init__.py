@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     analytics_queries,
+    live_queries,
     network_queries,
     place_queries,
     schedule_queries,

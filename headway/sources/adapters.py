@@ -167,11 +167,11 @@ def stop_times_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar_raw(spark: SparkSession) -> DataFrame:
-    cols = ", ".join(f"{d} string" for d in DAY_NAMES)
-    rows = [(s[0], *[str(v) for v in s[1:]], "20240101", "20241231") for s in SERVICES]
-    return spark.createDataFrame(
-        rows, f"service_id string, {cols}, start_date string, end_date string"
+    rows = ", ".join(
+        "('" + "', '".join([s[0], *map(str, s[1:]), "20240101", "20241231"]) + "')" for s in SERVICES
     )
+    cols = ", ".join(["service_id", *DAY_NAMES, "start_date", "end_date"])
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({cols})")
 
 
 def calendar_dates_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,3 +353,118 @@ def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(60.0) + k * 13 % 200).alias("length"),
         lat_of(k).alias("lat1"), lon_of(k, 2741).alias("lon1"),
         lat_of(k + 1).alias("lat2"), lon_of(k + 1, 2741).alias("lon2"))
+
+
+# --- live payloads, built from the orders table and then read back -------------
+
+NOW_LOCAL = "2024-01-10 08:00:00"
+
+
+def _now():
+    return F.lit(NOW_LOCAL).cast("timestamp_ntz")
+
+
+def _after(seconds: Column) -> Column:
+    return _now() + F.make_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def train_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One arrivals payload per order: a single object or a list, some in error."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    first, second = _after(k * 37 % 3600 - 300), _after(k * 37 % 3600 + 270)
+    eta = lambda at, bad: F.struct(
+        F.concat(F.lit("Stop "), k % 50).alias("staNm"), F.lit("Service toward").alias("stpDe"),
+        pick(["Howard", "95th", "Loop", "Kimball"], k % 4).alias("destNm"),
+        pick(["Red", "Brn", "G", "Zz"], F.col("o_custkey") % 4).alias("rt"),
+        F.when(bad, "soon").otherwise(at).alias("arrT"),
+        F.when(k % 3 == 0, "1").otherwise("0").alias("isApp"),
+        F.when(k % 5 == 0, "1").otherwise("0").alias("isDly"), F.lit("0").alias("isSch"))
+    iso = eta(F.date_format(first, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(False))
+    flat = eta(F.date_format(second, "yyyyMMdd HH:mm:ss"), k % 7 == 0)
+    head = lambda e: F.struct(
+        F.when(k % 50 == 0, "101").otherwise("0").alias("errCd"), F.lit("limit").alias("errNm"), e.alias("eta"))
+    body = F.when(k % 2 == 0, F.to_json(F.struct(head(iso).alias("ctatt")))).otherwise(
+        F.to_json(F.struct(head(F.array(iso, flat)).alias("ctatt"))))
+    return o.select((F.lit(40000) + k % 50).cast("string").alias("station_id"),
+                    F.lit("Station").alias("station_label"), _now().alias("now"), body.alias("body"),
+                    k.alias("payload_id"))
+
+
+def bus_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    prd = F.struct(
+        F.concat(F.lit(""), F.col("o_custkey") % 40).alias("rt"), pick(["Northbound", "Eastbound"], k % 2).alias("rtdir"),
+        (k % 200).cast("string").alias("stpid"), F.concat(F.lit("Corner "), k % 200).alias("stpnm"),
+        pick(["Lake", "Park", "Pier"], k % 3).alias("des"),
+        F.when(k % 6 == 0, "DUE").otherwise((k * 7 % 40).cast("string")).alias("prdctdn"),
+        pick(["true", "1", "no", "Yes"], k % 4).alias("dly"), pick(["Empty", "Half Empty", "Full", ""], k % 4).alias("psgld"))
+    body = F.when(k % 2 == 0, F.to_json(F.struct(F.struct(prd.alias("prd")).alias("bustime-response")))).otherwise(
+        F.to_json(F.struct(F.struct(F.array(prd).alias("prd")).alias("bustime-response"))))
+    return o.select(k.alias("payload_id"), body.alias("body"))
+
+
+def alert_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON and XML forms of one alert per order; ids repeat."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    score = (k * 13 % 100).cast("string")
+    route = pick(["red", "brn", "22", "X9"], k % 4)
+    svc = F.struct(route.alias("ServiceId"))
+    alert = lambda s: F.struct(
+        (k % 500).cast("string").alias("AlertId"), F.concat(F.lit("Notice "), k % 500).alias("Headline"),
+        F.lit("Delay").alias("Impact"), score.alias("SeverityScore"),
+        F.when(k % 3 == 0, "").otherwise("2024-02-01").alias("EventEnd"),
+        F.struct(s.alias("Service")).alias("ImpactedService"))
+    body = F.when(k % 2 == 0, F.to_json(F.struct(F.struct(alert(svc).alias("Alert")).alias("CTAAlerts")))).otherwise(
+        F.to_json(F.struct(F.struct(F.array(alert(F.array(svc, F.struct(F.lit("7").alias("ServiceId"))))).alias("Alert")).alias("CTAAlerts"))))
+    name = pick(["Red Line", "Brown Line", "22", " X9 "], k % 4)
+    xml = F.concat(
+        F.lit("<CTAAlerts><Alert><AlertId>"), k % 500, F.lit("</AlertId><Headline>Notice "), k % 500,
+        F.lit("</Headline><SeverityScore>"), score, F.lit("</SeverityScore><ImpactedService><Service><ServiceName>"), name,
+        F.lit("</ServiceName></Service><Service><ServiceName>7</ServiceName></Service></ImpactedService></Alert></CTAAlerts>"))
+    return o.select(k.alias("seq"), body.alias("body"), xml.alias("xml"))
+
+
+def service_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route status, vehicle position and bus route payloads, one set per customer."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    status = F.struct(F.struct(F.struct(
+        (k % 40).cast("string").alias("ServiceId"), F.concat(F.lit("Route "), k % 40).alias("Route"),
+        F.when(k % 5 == 0, "Significant Delays").otherwise("Normal Service").alias("RouteStatus"),
+        F.lit("404040").alias("RouteStatusColor")).alias("RouteInfo")).alias("CTARoutes"))
+    train = F.transform(F.sequence(F.lit(0), k % 4), lambda i: F.struct(i.cast("string").alias("rn")))
+    one = F.struct(F.lit("0").alias("errCd"), F.struct(
+        pick(["Red", "G", "P"], k % 3).alias("@name"), F.filter(train, lambda t: t["rn"] != "0").alias("train")).alias("route"))
+    bus = F.struct(F.struct(F.array(F.struct(
+        (k % 60).cast("string").alias("rt"), F.concat(F.lit("Feed "), k % 60).alias("rtnm"),
+        F.lit("#aabbcc").alias("rtclr"))).alias("routes")).alias("bustime-response"))
+    return c.select(k.alias("payload_id"), F.to_json(status).alias("status"),
+                    F.to_json(F.struct(one.alias("ctatt"))).alias("positions"), F.to_json(bus).alias("buses"))
+
+
+TEXTS = ["Sunny", "Light Rain", "Heavy Snow", "Freezing Drizzle", "Sleet", "Scattered Flurries", "Rain Showers", "Blizzard"]
+
+
+def forecast_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourteen periods per order line number group: one payload per customer."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    period = lambda i: F.struct(
+        F.concat(F.lit("2024-01-10T"), F.lpad(((k + i) % 24).cast("string"), 2, "0"), F.lit(":00:00-06:00")).alias("startTime"),
+        ((k * 7 + i * 5) % 130 - 20).cast("double").alias("temperature"), F.when(k % 4 == 0, "C").otherwise("F").alias("temperatureUnit"),
+        pick(TEXTS, (k + i) % 8).alias("shortForecast"),
+        F.when(i % 2 == 0, F.concat((k + i) % 30, F.lit(" mph"))).otherwise(F.concat(F.lit("5 to "), (k + i) % 30 + 5, F.lit(" mph"))).alias("windSpeed"),
+        F.when(i % 3 == 0, "").otherwise(F.concat((k + i) % 60, F.lit(" mph"))).alias("windGust"),
+        F.struct(F.when(i % 5 == 0, F.lit(None)).otherwise((k + i) % 100).cast("double").alias("value")).alias("relativeHumidity"))
+    periods = F.transform(F.sequence(F.lit(0), F.lit(13)), period)
+    body = F.to_json(F.struct(F.struct(periods.alias("periods")).alias("properties")))
+    head = F.transform(F.sequence(F.lit(0), k % 6), lambda i: F.struct(F.struct(
+        F.when(i % 2 == 0, F.concat(F.lit("Warning "), i % 4)).alias("headline"), F.concat(F.lit("Event "), i).alias("event")).alias("properties")))
+    return c.select(k.alias("payload_id"), body.alias("body"), F.to_json(F.struct(head.alias("features"))).alias("alerts"))
+
+
+def asof_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests and forecasts from the event stream, over a handful of cells."""
+    e, u = table(spark, sf_dir, "events"), F.col("user_id")
+    at = [(F.lit(41.8) + u % 3 * 0.01 + 0.001).alias("lat"), F.lit(-87.651).alias("lon"), F.col("ts")]
+    req = e.where(F.col("event_type").isin("click", "purchase", "view")).select(F.col("event_id").alias("request_id"), *at)
+    fc = e.where(~F.col("event_type").isin("click", "purchase", "view")).select(F.col("event_id").alias("forecast_id"), *at)
+    return req, fc
