@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 
 from ..operators import itinerary as I
 from ..sources import adapters as S
-from . import live_queries as LQ
+from ..functions.timecode import service_period
+from ..operators import network as N
+from ..operators.spatial import BUS_K, RAIL_K, RAIL_RINGS, bus_rings, intermodal_edges, ring_nearest
+from ..session import save_table
 from .analytics_queries import array_text
 from .feed import Feed
+from .network_queries import HOPS
 from .registry import query
+from .spatial_queries import miles
 from .trips import TripNetwork, plan_trips
+from .views import with_views
 
 
 def od_pairs(spark, sf_dir):
@@ -25,11 +31,10 @@ def bus_sequences(spark, sf_dir, feed, net):
         "route_id", "direction_id", "pos", "stop_id", "lat", "lon", "arr_min")
 
 
-def bus_arrivals(spark, sf_dir):
-    """Two departures per call of a weekday representative: waits from the clock minute."""
-    li = S.table(spark, sf_dir, "lineitem")
-    return li.groupBy(S.stop_id_of(F.col("l_partkey")).alias("stop_id"), F.concat(F.lit("R"), F.col("l_suppkey") % 40).alias("line_code")).agg(
-        F.min(F.col("l_orderkey") % 15).cast("int").alias("minutes"))
+def bus_arrivals(sequences):
+    """One arrival per (stop, line) of the timetable; waits from the trip number."""
+    return sequences.where(F.col("mode") == "bus").groupBy("stop_id", F.col("route_id").alias("line_code")).agg(
+        F.min(F.col("trip_id").cast("bigint") % 15).cast("int").alias("minutes"))
 
 
 @query("plan_trips")
@@ -37,7 +42,7 @@ def trips(spark, sf_dir):
     """Origin-destination table to ranked itineraries, all stages."""
     feed = Feed.from_tables(spark, sf_dir)
     net = TripNetwork.build(feed)
-    found, _ = plan_trips(od_pairs(spark, sf_dir), net, arrivals=bus_arrivals(spark, sf_dir),
+    found, _ = plan_trips(od_pairs(spark, sf_dir), net, arrivals=bus_arrivals(feed.saved_sequences),
                           sequences=bus_sequences(spark, sf_dir, feed, net))
     return found.select("od_id", "rank", "signature", "transfers", F.round("total", 3).alias("total"),
                         F.to_json("legs").alias("legs"))
@@ -49,15 +54,134 @@ def trip_status(spark, sf_dir):
     return plan_trips(od_pairs(spark, sf_dir), net)[1]
 
 
-@query("bus_bus")
+DEPART = """v_od AS (SELECT s_suppkey AS od_id, 41.64 + (s_suppkey * 7211 % 3800) / 10000.0 AS o_lat, -87.94 + (s_suppkey * 9973 % 4200) / 10000.0 AS o_lon,
+      41.64 + (s_suppkey * 7211 % 3800) / 10000.0 + ((s_suppkey * 31) % 600 - 300) / 10000.0 AS d_lat,
+      -87.94 + (s_suppkey * 9973 % 4200) / 10000.0 + ((s_suppkey * 17) % 600 - 300) / 10000.0 AS d_lon, s_suppkey * 97 % 1440 AS m,
+      CASE WHEN s_suppkey * 97 % 1440 >= 1320 OR s_suppkey * 97 % 1440 < 300 THEN 'owl' WHEN s_suppkey % 7 >= 5 THEN 'weekend'
+       WHEN s_suppkey * 97 % 1440 BETWEEN 360 AND 569 OR s_suppkey * 97 % 1440 BETWEEN 930 AND 1139 THEN 'weekday_peak'
+       WHEN s_suppkey * 97 % 1440 BETWEEN 1140 AND 1319 THEN 'weekday_evening' ELSE 'weekday_midday' END AS period FROM supplier)"""
+ENDS = """v_ends AS (SELECT od_id, 'o' AS side, o_lat AS lat, o_lon AS lon FROM v_od UNION ALL SELECT od_id, 'd', d_lat, d_lon FROM v_od)"""
+SHRINK = "41.64 + ({0}lat - 41.64) / 5 AS {0}lat, -87.94 + ({0}lon + 87.94) / 5 AS {0}lon"
+DENSE = (DEPART.replace("v_od AS", "v_od0 AS") + f", v_od AS (SELECT * REPLACE ({SHRINK.format('o_')}, {SHRINK.format('d_')}) FROM v_od0), "
+         f"v_dense AS (SELECT * REPLACE ({SHRINK.format('')}) FROM v_stops), " + ENDS)
+REACH = f"""v_dist AS (SELECT e.od_id, e.side, s.kind, CAST(s.stop_id AS VARCHAR) AS stop_id, {miles('e', 's')} AS miles FROM v_ends e JOIN v_stops s
+      ON s.kind IN ('station', 'bus') AND abs(s.lat - e.lat) < 0.031 AND abs(s.lon - e.lon) < 0.042),
+   v_ranked AS (SELECT *, row_number() OVER (PARTITION BY od_id, side, kind ORDER BY miles, stop_id) AS r, min(miles) OVER (PARTITION BY od_id, side, kind) AS m
+      FROM v_dist WHERE miles <= CASE kind WHEN 'station' THEN 2 ELSE 0.25 END),
+   v_reach AS (SELECT od_id, side, kind, stop_id, round(miles / 3.0 * 60, 1) AS w FROM v_ranked
+      WHERE r <= CASE kind WHEN 'station' THEN 3 ELSE 5 END AND (kind = 'bus' OR miles <= greatest(ceil(m * 4) / 4, 0.25)))"""
+
+
+def shrink(df, *prefixes):
+    """The same places on a fifth of the extent, so that lines meet."""
+    for p in prefixes or ("",):
+        df = df.withColumn(f"{p}lat", F.lit(41.64) + (F.col(f"{p}lat") - 41.64) / 5).withColumn(
+            f"{p}lon", F.lit(-87.94) + (F.col(f"{p}lon") + 87.94) / 5)
+    return df
+
+
+def reach(od, stops, side):
+    """Rail and bus stops around one end of every pair."""
+    p = od.select("od_id", F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon"))
+    at = lambda kind: stops.where(F.col("kind") == kind).select("stop_id", "lat", "lon")
+    cols = ["od_id", "stop_id", "walk_minutes"]
+    rail = ring_nearest(p, at("station"), RAIL_RINGS, RAIL_K).select(*cols, F.lit("rail").alias("mode"))
+    return rail.unionByName(ring_nearest(p, at("bus"), bus_rings(), BUS_K).select(*cols, F.lit("bus").alias("mode")))
+
+
+@query("itineraries", with_views(["v_rep_stops", "v_stops"], """
+    SELECT od_id, rank, signature, transfers, round(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY total, signature) AS rank FROM v_best) WHERE rank <= 5""",
+    HOPS.replace("v_ends", "v_bus_ends") + f""", {DEPART}, {ENDS}, {REACH},
+   v_fast AS (SELECT a.period, a.route_id, CAST(a.stop_id AS VARCHAR) AS board, CAST(b.stop_id AS VARCHAR) AS alight,
+        min(CASE WHEN b.dep_min < a.dep_min THEN b.dep_min - a.dep_min + 1440 ELSE b.dep_min - a.dep_min END) AS ride
+      FROM v_rep_stops a JOIN v_rep_stops b USING (period, trip_id) WHERE a.pos < b.pos AND a.stop_id <> b.stop_id AND a.dep_min <> b.dep_min GROUP BY ALL),
+   v_moves AS (SELECT p.period, CAST(from_id AS VARCHAR) AS a, CAST(to_id AS VARCHAR) AS b, minutes AS w FROM v_transfers t CROSS JOIN (SELECT DISTINCT period FROM v_rep_stops) p
+        WHERE NOT EXISTS (SELECT 1 FROM v_hops h WHERE h.period = p.period AND h.from_id = t.from_id AND h.to_id = t.to_id)
+      UNION ALL SELECT p.period, CAST(from_id AS VARCHAR), CAST(to_id AS VARCHAR), minutes FROM v_walk CROSS JOIN (SELECT DISTINCT period FROM v_rep_stops) p),
+   v_b0 AS (SELECT od_id, period, stop_id, NULL AS route, '' AS sig, w AS cost, [stop_id] AS seen FROM v_reach JOIN v_od USING (od_id) WHERE side = 'o'),
+   v_r1 AS (SELECT od_id, b.period, alight AS stop_id, route_id AS route, route_id || ':' || board || '>' || alight AS sig, cost + ride AS cost, list_append(seen, alight) AS seen
+      FROM v_b0 b JOIN v_fast f ON f.period = b.period AND f.board = b.stop_id AND NOT list_contains(seen, alight)),
+   v_b1 AS (SELECT od_id, period, stop_id, route, sig, cost + 6 AS cost, seen FROM v_r1 UNION ALL
+      SELECT od_id, r.period, b, route, sig, cost + w + 3, list_append(seen, b) FROM v_r1 r JOIN v_moves m ON m.period = r.period AND m.a = r.stop_id AND NOT list_contains(seen, b)),
+   v_r2 AS (SELECT od_id, b.period, alight AS stop_id, route_id AS route, sig || '|' || route_id || ':' || board || '>' || alight AS sig, cost + ride AS cost, list_append(seen, alight) AS seen
+      FROM v_b1 b JOIN v_fast f ON f.period = b.period AND f.board = b.stop_id AND route <> route_id AND NOT list_contains(seen, alight)),
+   v_b2 AS (SELECT od_id, period, stop_id, route, sig, cost + 6 AS cost, seen FROM v_r2 UNION ALL
+      SELECT od_id, r.period, b, route, sig, cost + w + 3, list_append(seen, b) FROM v_r2 r JOIN v_moves m ON m.period = r.period AND m.a = r.stop_id AND NOT list_contains(seen, b)),
+   v_r3 AS (SELECT od_id, b.period, alight AS stop_id, route_id AS route, sig || '|' || route_id || ':' || board || '>' || alight AS sig, cost + ride AS cost, list_append(seen, alight) AS seen
+      FROM v_b2 b JOIN v_fast f ON f.period = b.period AND f.board = b.stop_id AND route <> route_id AND NOT list_contains(seen, alight)),
+   v_all AS (SELECT od_id, stop_id, sig, cost, 0 AS transfers FROM v_b0 UNION ALL SELECT od_id, stop_id, sig, cost, 0 FROM v_r1
+      UNION ALL SELECT od_id, stop_id, sig, cost, 1 FROM v_r2 UNION ALL SELECT od_id, stop_id, sig, cost, 2 FROM v_r3),
+   v_best AS (SELECT a.od_id, a.sig AS signature, a.transfers, min(a.cost + e.w) AS total FROM v_all a JOIN v_reach e ON e.od_id = a.od_id AND e.side = 'd' AND e.stop_id = a.stop_id GROUP BY ALL)"""))
+def itineraries(spark, sf_dir):
+    """The bulk search checked against the same rounds without any pruning."""
+    net = TripNetwork.build(Feed.from_tables(spark, sf_dir))
+    od = od_pairs(spark, sf_dir).withColumn("period", service_period(F.col("depart")))
+    found = I.itineraries(od, reach(od, net.stops, "o"), reach(od, net.stops, "d"), net.rides, net.walks)
+    return found.select("od_id", F.col("rank").cast("bigint").alias("rank"), "signature", "transfers", F.round("total", 4).alias("total"))
+
+
+@query("itineraries_dense", with_views(["v_trip_stops", "v_stops"], """
+    SELECT od_id, rank, signature, transfers, round(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY total, signature) AS rank FROM v_best) WHERE rank <= 3""",
+    f"""{DENSE}, {REACH.replace('v_stops', 'v_dense')},
+   v_fast AS (SELECT a.route_id, CAST(a.stop_id AS VARCHAR) AS board, CAST(b.stop_id AS VARCHAR) AS alight, CAST(min(b.dep_min - a.dep_min) AS DOUBLE) AS ride
+      FROM v_trip_stops a JOIN v_trip_stops b USING (trip_id) WHERE a.pos < b.pos AND a.stop_id <> b.stop_id AND b.dep_min > a.dep_min GROUP BY ALL),
+   v_near AS (SELECT CAST(s.stop_id AS VARCHAR) AS a, CAST(b.stop_id AS VARCHAR) AS b, greatest({miles('b', 's')} / 3.0 * 60.0 * 1.29, 3.0) AS w FROM v_dense s JOIN v_dense b
+        ON s.kind = 'station' AND b.kind = 'bus' AND abs(s.lat - b.lat) < 0.01 AND abs(s.lon - b.lon) < 0.01 WHERE {miles('b', 's')} <= 0.15),
+   v_moves AS (SELECT a, b, w FROM v_near WHERE w <= 5 UNION ALL SELECT b, a, w FROM v_near WHERE w <= 5),
+   v_b0 AS (SELECT od_id, stop_id, w AS cost, w * 1.5 AS c, [stop_id] AS seen FROM v_reach WHERE side = 'o'),
+   v_r1 AS (SELECT od_id, alight AS stop_id, route_id AS route, route_id || ':' || board || '>' || alight AS sig, c + ride AS c, list_append(seen, alight) AS seen
+      FROM v_b0 b JOIN v_fast f ON f.board = b.stop_id AND NOT list_contains(seen, alight)),
+   v_b1 AS (SELECT od_id, stop_id, route, sig, c + 3 * 1.5 + 3 AS c, seen FROM v_r1 UNION ALL
+      SELECT od_id, b, route, sig, c + w * 1.5 + 3, list_append(seen, b) FROM v_r1 r JOIN v_moves m ON m.a = r.stop_id AND NOT list_contains(seen, b)),
+   v_r2 AS (SELECT od_id, alight AS stop_id, sig || '|' || route_id || ':' || board || '>' || alight AS sig, c + ride AS c
+      FROM v_b1 b JOIN v_fast f ON f.board = b.stop_id AND route <> route_id AND NOT list_contains(seen, alight)),
+   v_all AS (SELECT od_id, stop_id, '' AS sig, c, 0 AS transfers FROM v_b0 UNION ALL SELECT od_id, stop_id, sig, c, 0 FROM v_r1 UNION ALL SELECT od_id, stop_id, sig, c, 1 FROM v_r2),
+   v_best AS (SELECT a.od_id, a.sig AS signature, a.transfers, min(a.c + e.w * 1.5) AS total FROM v_all a JOIN v_reach e ON e.od_id = a.od_id AND e.side = 'd' AND e.stop_id = a.stop_id GROUP BY ALL)"""))
+def itineraries_dense(spark, sf_dir):
+    """All trips as rides in one period, one change, slow walking, places drawn closer."""
+    feed = Feed.from_tables(spark, sf_dir)
+    stops = save_table(shrink(feed.stops), "stops")
+    seq = feed.saved_sequences.withColumn("period", F.lit("all"))
+    rides = N.rides(seq).withColumn("line", F.col("route_id"))
+    near = intermodal_edges(stops.where(F.col("kind") == "station"), stops.where(F.col("kind") == "bus"))
+    od = shrink(od_pairs(spark, sf_dir), "o_", "d_").withColumn("period", F.lit("all"))
+    found = I.itineraries(od, reach(od, stops, "o"), reach(od, stops, "d"), rides,
+                          near.withColumn("period", F.lit("all")), k=3, max_transfers=1, walk_factor=1.5)
+    return found.select("od_id", F.col("rank").cast("bigint").alias("rank"), "signature", "transfers", F.round("total", 4).alias("total"))
+
+
+@query("bus_bus", with_views(["v_trip_stops", "v_stops"], """
+    SELECT od_id, rank, signature, round(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY total, signature) AS rank FROM v_timed WHERE total <= 90) WHERE rank <= 2""",
+    f"""{DENSE}, {REACH.replace('v_stops', 'v_dense')},
+   v_seq AS (SELECT t.route_id AS route, CAST(t.trip_id AS VARCHAR) AS dir, t.pos, CAST(t.stop_id AS VARCHAR) AS stop, s.lat, s.lon, t.dep_min AS m
+      FROM v_trip_stops t JOIN v_dense s USING (stop_id) WHERE t.mode = 'bus'),
+   v_place AS (SELECT DISTINCT stop, lat, lon FROM v_seq),
+   v_exit AS (SELECT o.od_id, q.route, q.dir, q.pos, q.stop, q.m, p.x FROM (SELECT o.od_id, p.stop, {miles('p', 'o')} AS x FROM (SELECT od_id, d_lat AS lat, d_lon AS lon FROM v_od) o
+      JOIN v_place p ON abs(p.lat - o.lat) < 0.01 AND abs(p.lon - o.lon) < 0.012) p JOIN v_od o USING (od_id) JOIN v_seq q ON q.stop = p.stop WHERE x <= 0.5),
+   v_second AS (SELECT e.od_id, t.route, t.dir, t.stop AS t_stop, t.m AS t_min, arg_min(struct_pack(x := e.x, pos := e.pos, stop := e.stop, m := e.m), struct_pack(x := e.x, p := -e.pos)) AS e
+      FROM v_exit e JOIN v_seq t ON t.route = e.route AND t.dir = e.dir AND t.pos < e.pos GROUP BY e.od_id, t.route, t.dir, t.pos, t.stop, t.m),
+   v_close AS (SELECT a.stop AS sk, b.stop AS t, {miles('a', 'b')} AS c FROM v_place a JOIN v_place b ON abs(a.lat - b.lat) < 0.005 AND abs(a.lon - b.lon) < 0.006 WHERE {miles('a', 'b')} <= 0.25),
+   v_arr AS (SELECT stop AS s, route, min(CAST(dir AS BIGINT) % 15) AS wait FROM v_seq GROUP BY ALL),
+   v_first AS (SELECT r.od_id, r.w, a.wait, a.route, q.dir, q.pos, q.stop, q.m, o.d_lat, o.d_lon, {miles('q', 'dd')} AS bm
+      FROM v_reach r JOIN v_arr a ON a.s = r.stop_id JOIN v_seq q ON q.stop = r.stop_id AND q.route = a.route JOIN v_od o ON o.od_id = r.od_id
+      JOIN (SELECT od_id, d_lat AS lat, d_lon AS lon FROM v_od) dd ON dd.od_id = r.od_id WHERE r.side = 'o' AND r.kind = 'bus'),
+   v_fwd AS (SELECT f.*, k.pos AS sk_pos, k.stop AS sk, k.m AS sk_min FROM v_first f JOIN v_seq k ON k.route = f.route AND k.dir = f.dir AND k.pos > f.pos
+      JOIN (SELECT od_id, d_lat AS lat, d_lon AS lon FROM v_od) dd ON dd.od_id = f.od_id WHERE {miles('k', 'dd')} < f.bm * 0.9),
+   v_cand AS (SELECT f.*, s.route AS rb, s.dir AS db, s.t_stop, s.t_min, s.e, n.c, f.w + f.wait + (n.c + s.e.x) * 25.8 AS score
+      FROM v_fwd f JOIN v_close n ON n.sk = f.sk JOIN v_second s ON s.od_id = f.od_id AND s.t_stop = n.t AND (s.route <> f.route OR s.dir <> f.dir)),
+   v_three AS (SELECT * FROM v_cand QUALIFY row_number() OVER (PARTITION BY od_id, stop, route, dir ORDER BY score, sk_pos, t_stop, rb, db, e.pos) <= 3),
+   v_one AS (SELECT * FROM v_three QUALIFY row_number() OVER (PARTITION BY od_id, route, dir, sk_pos, t_stop, rb, db, e.pos ORDER BY score, stop) = 1),
+   v_timed AS (SELECT od_id, route || ':' || stop || '>' || sk || '|' || rb || ':' || t_stop || '>' || e.stop AS signature,
+      (sk_min - m + 1440) % 1440 + (e.m - t_min + 1440) % 1440 + w + CASE WHEN sk = t_stop THEN 0 ELSE greatest(round(c / 3.0 * 60, 1), 3) END + round(e.x / 3.0 * 60, 1) + wait + 3 AS total FROM v_one)"""))
 def bus_bus(spark, sf_dir):
+    """Every bus trip is a sequence of its own, so that many lines can be combined."""
     feed = Feed.from_tables(spark, sf_dir)
-    net = TripNetwork.build(feed)
-    od = od_pairs(spark, sf_dir)
-    access = I.access_stops(od.select("od_id", F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon")),
-                            net.stops, I.serving_lines(net.edges)).where(F.col("mode") == "bus")
-    b = I.bus_bus(od, access, bus_arrivals(spark, sf_dir), bus_sequences(spark, sf_dir, feed, net))
-    return b.select("od_id", "rank", "signature", "total")
+    stops, od = save_table(shrink(feed.stops), "stops"), shrink(od_pairs(spark, sf_dir), "o_", "d_")
+    seq = feed.saved_sequences.where(F.col("mode") == "bus").withColumn("direction_id", F.col("trip_id")).join(
+        stops.select("stop_id", "lat", "lon"), "stop_id")
+    access = reach(od, stops, "o").where(F.col("mode") == "bus")
+    b = I.bus_bus(od, access, bus_arrivals(feed.saved_sequences), seq)
+    return b.select("od_id", F.col("rank").cast("bigint").alias("rank"), "signature", F.round("total", 4).alias("total"))
 
 
 ITINS = """v_legs AS (SELECT l_orderkey AS od_id, l_linenumber AS leg_no, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
