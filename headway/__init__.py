@@ -1 +1,9 @@
 """Transit and product analytics as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python helpers that run in tasks travel with the job, so executors
+# need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     place_queries,
     schedule_queries,
     spatial_queries,
+    stream_queries,
     trip_queries,
 )
 from .registry import ORACLES, QUERIES
