@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -83,13 +84,19 @@ def rate_limit(requests: DataFrame, limit: Limit, tick_us: int = US) -> DataFram
     r = requests.select("visit_id", "ip", epoch_us(F.col("ts")).alias("us"))
     chains = _chains(r, limit, tick_us)
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        rule = SlidingWindow(limit)
-        pdf = pdf.sort_values("at")
-        pdf["accepted"] = [rule.take(int(t), int(n)) for t, n in zip(pdf["at"], pdf["n"])]
-        return pdf[["ip", "at", "accepted"]]
-
-    taken = chains.groupBy("ip", "chain").applyInPandas(decide, "ip string, at long, accepted long")
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rule = None, SlidingWindow(limit)
+        for pdf in batches:
+            taken = []
+            for ip, chain, at, n in zip(pdf["ip"], pdf["chain"], pdf["at"], pdf["n"]):
+                if (ip, chain) != key:
+                    key, rule = (ip, chain), SlidingWindow(limit)
+                taken.append(rule.take(int(at), int(n)))
+            yield pdf[["ip", "at"]].assign(accepted=taken)
+
+    # chains are independent; a sorted pass carries the accepted times of one
+    taken = chains.repartition("ip", "chain").sortWithinPartitions("ip", "chain", "at").mapInPandas(
+        decide, "ip string, at long, accepted long")
     at = F.floor(F.col("us") / tick_us) * tick_us
     order = Window.partitionBy("ip", "at").orderBy("us", "visit_id")
     return (

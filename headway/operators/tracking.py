@@ -7,10 +7,11 @@ carries state.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -23,7 +24,7 @@ QUIET_US = 90 * 1_000_000
 TRIP_HOURS = 4
 
 
-def measured(pings: DataFrame, legs: DataFrame) -> DataFrame:
+def measured(pings: DataFrame, legs: DataFrame, *keep: str) -> DataFrame:
     """Each ping with its distance to every leg's end, walk path and walk steps.
 
     `pings`: trip_id, ts, lat, lon, on_vehicle, rerouted; `legs`: trip_id,
@@ -46,7 +47,7 @@ def measured(pings: DataFrame, legs: DataFrame) -> DataFrame:
             geo.path_metres(lat, lon, g["path"]).alias("to_path"), F.transform(near, lambda s: s["i"]).alias("steps"))
 
     return pings.join(per_trip, "trip_id").select(
-        "trip_id", epoch_us(F.col("ts")).alias("us"), "on_vehicle", "rerouted",
+        "trip_id", *keep, epoch_us(F.col("ts")).alias("us"), "on_vehicle", "rerouted",
         F.transform("legs", one).alias("legs"))
 
 
@@ -59,25 +60,28 @@ class Trip:
     quiet_until: int = 0
 
 
-def advance(trip: Trip, ping: Row) -> dict:
-    """Move to the next leg near the end of this one, mark steps, test the route."""
+def advance(trip: Trip, ping) -> dict:
+    """Move to the next leg near the end of this one, mark steps, test the route.
+
+    `ping` is a row of `measured`; its legs are rows or dicts.
+    """
     legs, cleared = ping.legs, False
     if ping.rerouted:
         trip.quiet_until = ping.us + QUIET_US
     if trip.leg < len(legs):
         here = legs[trip.leg]
-        reach = ADVANCE_VEHICLE_M if ping.on_vehicle and here.leg_type == "transit" else ADVANCE_M
-        if here.to_end is not None and here.to_end < reach and trip.leg + 1 < len(legs):
+        reach = ADVANCE_VEHICLE_M if ping.on_vehicle and here["leg_type"] == "transit" else ADVANCE_M
+        if here["to_end"] is not None and here["to_end"] < reach and trip.leg + 1 < len(legs):
             trip.leg += 1
-            cleared = legs[trip.leg].leg_type != "walk"
+            cleared = legs[trip.leg]["leg_type"] != "walk"
     added, off = [], None
-    if trip.leg < len(legs) and legs[trip.leg].leg_type == "walk":
+    if trip.leg < len(legs) and legs[trip.leg]["leg_type"] == "walk":
         now = legs[trip.leg]
-        near = [] if now.steps is None else now.steps
+        near = [] if now["steps"] is None else now["steps"]
         added = [k for k in (f"{trip.leg}-{i}" for i in near) if k not in trip.done]
         trip.done.update(added)
         if ping.us > trip.quiet_until:
-            off = now.to_path is None or now.to_path > OFF_ROUTE_M
+            off = now["to_path"] is None or now["to_path"] > OFF_ROUTE_M
     return {"leg": trip.leg, "new_steps": ",".join(added), "off_route": off, "cleared": cleared}
 
 
@@ -86,20 +90,20 @@ TRACK_SCHEMA = "trip_id long, us long, leg int, new_steps string, off_route bool
 
 def track_trips(pings: DataFrame, legs: DataFrame, gap_hours: int = TRIP_HOURS) -> DataFrame:
     """Batch twin: pings of a trip in order; progress is forgotten after the trip's lifetime."""
-    m = measured(pings, legs)
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        trip, last, rows = Trip(), None, []
-        for r in pdf.sort_values("us").itertuples(index=False):
-            if last is not None and r.us - last > gap_hours * 3_600_000_000:
-                trip = Trip()
-            last = r.us
-            ping = Row(us=r.us, on_vehicle=r.on_vehicle, rerouted=r.rerouted, legs=[Row(**g) for g in r.legs])
-            rows.append((r.trip_id, r.us, *advance(trip, ping).values()))
-        return pd.DataFrame(rows, columns=["trip_id", "us", "leg", "new_steps", "off_route", "cleared"])
-
-    # a pause longer than the lifetime starts afresh, so a trip is cut there
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, trip = None, Trip()
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                if (r.trip_id, r.part) != key:
+                    key, trip = (r.trip_id, r.part), Trip()
+                rows.append((r.trip_id, r.us, *advance(trip, r).values()))
+            yield pd.DataFrame(rows, columns=["trip_id", "us", "leg", "new_steps", "off_route", "cleared"])
+
+    # a pause longer than the lifetime starts afresh, so a trip is cut there; one
+    # sorted pass per partition carries the state of one trip at a time
     w = Window.partitionBy("trip_id").orderBy("us")
     cut = F.coalesce((F.col("us") - F.lag("us").over(w) > gap_hours * 3_600_000_000).cast("int"), F.lit(1))
-    parts = m.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(w)).drop("_cut")
-    return parts.groupBy("trip_id", "part").applyInPandas(follow, TRACK_SCHEMA)
+    at = pings.withColumn("us", epoch_us(F.col("ts"))).withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(w))
+    m = measured(at, legs, "part").repartition("trip_id", "part").sortWithinPartitions("trip_id", "part", "us")
+    return m.mapInPandas(follow, TRACK_SCHEMA)

@@ -73,11 +73,9 @@ def stream_daily_counters(visits: DataFrame, path: str, checkpoint: str, delay:
 def daily_visitors(visits: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Each (local day, address) once: the exact daily-active count is a count of rows."""
     v = visits.where(F.col("path").isin(VISIT_PATHS)).withColumn("at", F.col("ts").cast("timestamp"))
-    return (
-        v.withWatermark("at", delay).withColumn("day", local_date(F.col("ts")))
-        .select("day", "ip", "at").dropDuplicates(["day", "ip", "at"])
-        .withColumn("bucket", F.window("at", "1 day")["start"]).drop("at")
-    )
+    v = v.withWatermark("at", delay).select(
+        local_date(F.col("ts")).alias("day"), "ip", F.window("at", "1 day").alias("slot"))
+    return v.dropDuplicates(["slot", "day", "ip"]).select("day", "ip")
 
 
 # --- sessions and retention -----------------------------------------------------------
