@@ -40,21 +40,33 @@ def weekday(d: Column) -> Column:
     return F.weekday(d)
 
 
-def _part(text: Column, i: int) -> Column:
-    return F.try_element_at(F.split(F.trim(text), ":"), F.lit(i)).try_cast("int")
+def clock_parts(text: Column) -> Column:
+    """`HH:MM[:SS]` in pieces; name it as a column before using it more than once."""
+    return F.split(F.trim(text), ":")
+
+
+def _part(parts: Column, i: int) -> Column:
+    return F.get(parts, F.lit(i)).try_cast("int")
+
+
+def minutes_of(parts: Column) -> Column:
+    h, m, s = (_part(parts, i) for i in (0, 1, 2))
+    return (h * F.lit(60.0) + m + s / F.lit(60.0)).cast("double")
+
+
+def hhmm_of(parts: Column) -> Column:
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat(two(F.pmod(_part(parts, 0), F.lit(24))), F.lit(":"), two(_part(parts, 1)))
 
 
 def gtfs_minutes(text: Column) -> Column:
     """`HH:MM:SS` (hours may pass 24) to minutes since service-day midnight."""
-    h, m, s = (_part(text, i) for i in (1, 2, 3))
-    return (h * F.lit(60.0) + m + s / F.lit(60.0)).cast("double")
+    return minutes_of(clock_parts(text))
 
 
 def clock_hhmm(text: Column) -> Column:
     """`HH:MM[:SS]` to `HH:MM` within one day; null when malformed."""
-    h, m = _part(text, 1), _part(text, 2)
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.concat(two(F.pmod(h, F.lit(24))), F.lit(":"), two(m))
+    return hhmm_of(clock_parts(text))
 
 
 def minutes_text(minutes: Column) -> Column:

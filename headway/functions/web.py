@@ -66,12 +66,10 @@ def client_ip(real_ip: Column, forwarded: Column, peer: Column) -> Column:
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad to a whole number; null when malformed."""
-    p = F.split(ip, r"\.")
-    n = [F.try_element_at(p, F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
-    ok = F.size(p) == 4
-    for c in n:
-        ok = ok & c.between(0, 255)
-    return F.when(ok, ((n[0] * 256 + n[1]) * 256 + n[2]) * 256 + n[3])
+    octets = F.transform(F.split(ip, r"\."), lambda t: t.try_cast("bigint"))
+    num = F.aggregate(
+        octets, F.lit(0).cast("bigint"), lambda a, x: a * 256 + F.when(x.between(0, 255), x))
+    return F.when(F.regexp_count(ip, F.lit(r"\.")) == 3, num)
 
 
 def _xor_pad(key_hex: Column, pad: int) -> Column:

@@ -77,8 +77,9 @@ def suggestion_score(tier: Column, exact: Column, lat: Column, lon: Column) -> C
 def _asked(queries: DataFrame) -> DataFrame:
     """(q, tier, key): what each distinct query looks for in each tier."""
     q = queries.select(F.trim("query").alias("q")).where(F.col("q") != "").distinct()
-    norm, street = text.address(F.col("q")), text.street_name(F.col("q"))
-    cross = text.cross_street(F.col("q"))
+    q = q.select("q", text.address(F.col("q")).alias("norm"), text.street_name(F.col("q")).alias("street"),
+                 text.cross_street(F.col("q")).alias("cross"))
+    norm, street, cross = F.col("norm"), F.col("street"), F.col("cross")
     numbered = text.has_house_number(norm)
     pair = lambda s: F.concat_ws("|", s["a"], s["b"])
     typed = F.lower("q")

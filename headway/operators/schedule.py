@@ -266,9 +266,7 @@ def timetable_calls(stop_times: DataFrame, trips: DataFrame, buckets: DataFrame)
                      F.col("headsign").alias("trip_headsign"))
     return (
         stop_times.join(t, "trip_id").join(buckets, "service_id")
-        .withColumn("hhmm", clock_hhmm(F.col("dep_text")))
         .withColumn("seq", F.coalesce("seq", F.lit(0)))
-        .where(F.col("hhmm").isNotNull())
     )
 
 

@@ -115,11 +115,16 @@ def ring_nearest(points: DataFrame, stops: DataFrame, rings: list[float], k: int
                  stop_id: str = "stop_id") -> DataFrame:
     """The k nearest stops inside the first non-empty ring, in walking order.
 
-    The k nearest overall, cut at the ring of the nearest, are the same rows,
-    so one ranked join replaces a join per ring.
+    The first ring settles every point that has a stop in it. For the others the
+    k nearest overall, cut at the ring of the nearest, are the same rows, so one
+    join at the outer radius replaces a join per ring.
     """
     spots = points.select("lat", "lon").distinct()
-    pairs = radius_join(spots, stops, rings[-1])
+    pairs = radius_join(spots, stops, rings[0])
+    if len(rings) > 1:
+        settled = pairs.select("lat", "lon").distinct()
+        pairs = pairs.unionByName(
+            radius_join(spots.join(settled, ["lat", "lon"], "left_anti"), stops, rings[-1]))
     near = Window.partitionBy("lat", "lon").orderBy("miles", stop_id)
     top = pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
     first = F.min("miles").over(Window.partitionBy("lat", "lon"))

@@ -59,12 +59,14 @@ TRAIN = "struct<ctatt: struct<errCd: string, errNm: string, eta: string>>"
 def parse_train_arrivals(raw: DataFrame, body: str = "body") -> DataFrame:
     """Arrivals of payloads with `station_id, station_label` and local `now`; bad rows drop."""
     doc = F.from_json(F.col(body), TRAIN)["ctatt"]
-    ok = F.coalesce(doc["errCd"], F.lit("0")) == "0"
-    e = raw.withColumn("_doc", doc).where(ok).select(
-        "station_id", "station_label", "now", F.inline(one_or_many(F.col("_doc.eta"), ETA)))
-    at = feed_time(F.col("arrT"))
-    wait = F.greatest(F.lit(0.0), F.bround(_seconds_between(at, F.col("now")) / 60))
-    return e.where(at.isNotNull()).select(
+    # no filter here: one would make the payload parse a second time
+    e = raw.select("station_id", "station_label", "now", doc.alias("_doc"))
+    eta = F.when(F.coalesce(F.col("_doc.errCd"), F.lit("0")) == "0", F.col("_doc.eta"))
+    e = e.select("station_id", "station_label", "now", eta.alias("_eta"))
+    e = e.select("station_id", "station_label", "now", F.inline(one_or_many(F.col("_eta"), ETA)))
+    e = e.withColumn("_at", feed_time(F.col("arrT")))
+    wait = F.greatest(F.lit(0.0), F.bround(_seconds_between(F.col("_at"), F.col("now")) / 60))
+    return e.where(F.col("_at").isNotNull()).select(
         F.lit("train").alias("mode"), line_name(_text("rt")).alias("line"), _text("rt").alias("line_code"),
         F.coalesce("staNm", "station_label").alias("station"), F.col("station_id").alias("stop_id"),
         _text("stpDe").alias("platform"), _text("destNm").alias("destination"),

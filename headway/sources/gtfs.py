@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timecode import clock_hhmm, gtfs_minutes
+from ..functions.timecode import clock_parts, hhmm_of, minutes_of
 
 # The columns of each feed table and whether the file is optional.
 FEED_COLUMNS = {
@@ -88,16 +88,20 @@ def coerce(raw: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, D
           _text("service_id").alias("service_id"), _or("direction_id", "0").alias("direction_id"),
           F.nullif(_text("shape_id"), F.lit("")).alias("shape_id"),
           _text("trip_headsign").alias("headsign"))
-    arr = F.coalesce(F.nullif(_text("arrival_time"), F.lit("")),
-                     F.nullif(_text("departure_time"), F.lit("")))
-    dep = F.coalesce(F.nullif(_text("departure_time"), F.lit("")), arr)
-    seq = _or("stop_sequence", "0").try_cast("int")
-    split("stop_times", raw["stop_times"],  # a time without seconds only serves timetables
-          clock_hhmm(dep).isNotNull() & (_text("stop_id") != ""),
-          _text("trip_id").alias("trip_id"), _text("stop_id").alias("stop_id"), seq.alias("seq"),
-          gtfs_minutes(arr).alias("arr_min"), dep.alias("dep_text"),
-          F.coalesce(gtfs_minutes(dep), gtfs_minutes(arr)).alias("dep_min"),
-          F.nullif(_text("stop_headsign"), F.lit("")).alias("headsign"))
+    # texts, then their pieces, then numbers: each stage computed once per row
+    st = raw["stop_times"].withColumn("_arr", F.coalesce(
+        F.nullif(_text("arrival_time"), F.lit("")), F.nullif(_text("departure_time"), F.lit(""))))
+    st = st.withColumn("_dep", F.coalesce(F.nullif(_text("departure_time"), F.lit("")), F.col("_arr")))
+    st = st.withColumn("_a", clock_parts(F.col("_arr"))).withColumn("_d", clock_parts(F.col("_dep")))
+    arr_min, dep_min = minutes_of(F.col("_a")), minutes_of(F.col("_d"))
+    hhmm = hhmm_of(F.col("_d"))
+    split("stop_times", st,  # a time without seconds only serves timetables
+          hhmm.isNotNull() & (_text("stop_id") != ""),
+          _text("trip_id").alias("trip_id"), _text("stop_id").alias("stop_id"),
+          _or("stop_sequence", "0").try_cast("int").alias("seq"), arr_min.alias("arr_min"),
+          F.col("_dep").alias("dep_text"), F.coalesce(dep_min, arr_min).alias("dep_min"),
+          hhmm.alias("hhmm"), F.nullif(_text("stop_headsign"), F.lit("")).alias("headsign"))
+    bad["stop_times"] = bad["stop_times"].drop("_arr", "_dep", "_a", "_d")
     split("transfers", raw["transfers"], (_text("from_stop_id") != "") & (_text("to_stop_id") != ""),
           _text("from_stop_id").alias("from_id"), _text("to_stop_id").alias("to_id"),
           F.coalesce(_text("min_transfer_time").try_cast("double"), F.lit(0.0)).alias("seconds"))
