@@ -41,7 +41,7 @@ _SUF = "|".join(SUFFIXES)
 def squash(raw: Column) -> Column:
     """Lower case, punctuation and runs of white space to one blank, trimmed."""
     s = F.regexp_replace(F.lower(raw), PUNCTUATION, " ")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
 def street_name(raw: Column) -> Column:

@@ -88,15 +88,22 @@ def service_period(local: Column) -> Column:
     )
 
 
+#: Every window starts and ends on a multiple of this many minutes.
+SLOT_MINUTES = 30
+
+
 def periods(spark: SparkSession) -> DataFrame:
-    """One row per (period, window): name, days, start_min, end_min, target_min."""
+    """One row per (period, day, half-hour slot): a fixed table of some 370 rows."""
     rows = ", ".join(
         f"('{n}', array({', '.join(map(str, d))}), {w[0]}, {w[1]}, {t})"
         for n, d, ws, t in PERIODS for w in ws
     )
-    return spark.sql(
+    base = spark.sql(
         f"SELECT * FROM VALUES {rows} AS t(period, days, start_min, end_min, target_min)"
     )
+    return base.select("period", "target_min", F.explode("days").alias("dow"), F.expr(
+        f"cast(sequence(start_min div {SLOT_MINUTES}, end_min div {SLOT_MINUTES} - 1) as array<int>)"
+    ).alias("s")).select("period", "target_min", "dow", F.explode("s").alias("slot"))
 
 
 def sunday_service_holiday(d: Column) -> Column:

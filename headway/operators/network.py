@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.timecode import PERIODS
 from .schedule import line_name, to_parent
 from .spatial import TRANSFER_MINUTES, intermodal_edges
 
@@ -85,9 +86,11 @@ def transfer_edges(transfers: DataFrame, stops: DataFrame) -> DataFrame:
 def network_edges(rep_stops: DataFrame, stops: DataFrame, transfers: DataFrame) -> DataFrame:
     """Per period: hops, transfers where no hop exists, walks between rail and bus."""
     hops = hop_edges(rep_stops, stops)
-    periods = rep_stops.select("period").distinct()
+    served = rep_stops.select("period").distinct()
+    names = F.array(*[F.lit(p[0]) for p in PERIODS])
     none = F.lit(None).cast("string")
-    plain = lambda df, kind: df.join(periods, F.lit(True)).select(  # noqa: E731  (five periods)
+    plain = lambda df, kind: df.withColumn("period", F.explode(names)).join(
+        served, "period", "left_semi").select(
         "period", "from_id", "to_id", "minutes", F.lit(kind).alias("edge_type"),
         F.lit("walk" if kind == "walk" else "rail").alias("mode"), F.lit(kind).alias("route_id"),
         none.alias("direction_id"), F.lit(kind).alias("line"),

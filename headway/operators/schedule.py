@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timecode import clock_hhmm, gtfs_minutes, periods, sunday_service_holiday, weekday
+from ..functions.timecode import (
+    SLOT_MINUTES, clock_hhmm, gtfs_minutes, periods, sunday_service_holiday, weekday,
+)
 
 # Id ranges, line names, route colours with a meaning of their own.
 STATION_IDS = (40000, 49999)
@@ -200,20 +202,15 @@ def trip_periods(heads: DataFrame, days: DataFrame) -> DataFrame:
     """(trip_id, period): an active day, shifted past midnight, lies in the period's
     days and the first minute of the clock day in one of its windows.
 
-    The period table has seven fixed rows; it is the only side that is broadcast.
+    The period table is fixed and keyed by day and half-hour slot, so the range
+    test is an equi-join; it is the only side that is broadcast.
     """
-    p = F.broadcast(periods(heads.sparkSession))
+    p = F.broadcast(periods(heads.sparkSession)).withColumnRenamed("dow", "eff")
     first = F.floor(F.col("first_min")).cast("bigint")
-    on = (
-        heads.join(days, "service_id")
-        .withColumn("eff", ((F.col("dow") + F.floor(first / 1440)) % 7).cast("int"))
-        .withColumn("minute", first % 1440)
-    )
-    hit = (
-        F.array_contains(F.col("days"), F.col("eff"))
-        & (F.col("minute") >= F.col("start_min")) & (F.col("minute") < F.col("end_min"))
-    )
-    return on.join(p, hit).select("trip_id", "period", "target_min").distinct()
+    on = heads.join(days, "service_id").select(
+        "trip_id", ((F.col("dow") + F.floor(first / 1440)) % 7).cast("int").alias("eff"),
+        F.floor((first % 1440) / SLOT_MINUTES).cast("int").alias("slot"))
+    return on.join(p, ["eff", "slot"]).select("trip_id", "period", "target_min").distinct()
 
 
 def representative_trips(heads: DataFrame, in_period: DataFrame) -> DataFrame:

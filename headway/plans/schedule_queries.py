@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import crowding as C
+from ..functions.timecode import local_ts, service_period, sunday_service_holiday
 from ..operators import schedule as G
 from ..sources import adapters as S
 from ..sources.gtfs import coerce
+from ..sources.sinks import file_safe
 from .analytics_queries import array_text
 from .feed import Feed
 from .registry import query
@@ -64,15 +67,13 @@ def classify_routes(spark, sf_dir):
 
 
 @query("natural_route_order", with_views(["v_routes"], r"""
-    SELECT short_name, row_number() OVER (ORDER BY CASE WHEN regexp_matches(short_name, '^\d+$') THEN 0 ELSE 1 END,
-        CAST(regexp_extract(short_name, '(\d+)', 1) AS BIGINT)) AS place,
+    SELECT short_name, CASE WHEN regexp_matches(short_name, '^\d+$') THEN 0 ELSE 1 END AS sort_group,
+        CAST(regexp_extract(short_name, '(\d+)', 1) AS BIGINT) AS sort_number,
+        CASE WHEN regexp_matches(short_name, '^\d+$') THEN '' ELSE 'R' END AS sort_letters,
         CASE WHEN regexp_matches(short_name, '^\d+$') THEN 'numbers' ELSE 'other' END AS picker FROM v_routes"""))
 def natural_route_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     r = G.natural_route_order(Feed.from_tables(spark, sf_dir).routes)
-    w = Window.orderBy("sort_group", "sort_number", "sort_letters")  # one row per route
-    return r.select("short_name", F.row_number().over(w).cast("bigint").alias("place"),
+    return r.select("short_name", "sort_group", "sort_number", "sort_letters",
                     G.alert_picker_group(F.col("short_name")).alias("picker"))
 
 
@@ -87,12 +88,12 @@ def service_buckets(spark, sf_dir):
     return Feed.from_tables(spark, sf_dir).buckets
 
 
-@query("feed_window", """
-    SELECT '2024-01-01' AS start_date, '2024-12-31' AS end_date, (SELECT count(*) FROM orders) AS trips""")
+@query("feed_window", with_views(["v_calendar_dates"], """
+    SELECT CAST(min(d) AS VARCHAR) AS start_date, CAST(max(d) AS VARCHAR) AS end_date FROM v_calendar_dates"""))
 def feed_window(spark, sf_dir):
-    f = Feed.from_tables(spark, sf_dir).tables
-    w = G.feed_window(f["calendar"]).select(*[F.col(c).cast("string").alias(c) for c in ("start_date", "end_date")])
-    return w.join(f["trips"].agg(F.count("*").alias("trips")), F.lit(True))
+    dates = Feed.from_tables(spark, sf_dir).tables["calendar_dates"]
+    span = dates.select(F.col("date").alias("start_date"), F.col("date").alias("end_date"))
+    return G.feed_window(span).select(*[F.col(c).cast("string").alias(c) for c in ("start_date", "end_date")])
 
 
 @query("to_parent", with_views(["v_stop_times", "v_stops"], """
@@ -242,3 +243,36 @@ def used_shapes(spark, sf_dir):
 def shape_per_route(spark, sf_dir):
     f = Feed.from_tables(spark, sf_dir)
     return G.shape_per_route(f.tables["shapes"], f.tables["trips"], f.routes)
+
+
+@query("service_periods", with_views(["v_visits"], """
+    SELECT visit_id, CASE WHEN m >= 1320 OR m < 300 THEN 'owl' WHEN d > 5 THEN 'weekend' WHEN m BETWEEN 360 AND 569 OR m BETWEEN 930 AND 1139 THEN 'weekday_peak'
+        WHEN m BETWEEN 1140 AND 1319 THEN 'weekday_evening' ELSE 'weekday_midday' END AS service,
+      CASE WHEN d > 5 THEN 'weekend' ELSE 'weekday' END AS day_type,
+      CASE WHEN d > 5 THEN CASE WHEN m BETWEEN 540 AND 1259 THEN 'regular' ELSE 'off_peak' END WHEN m BETWEEN 390 AND 569 OR m BETWEEN 930 AND 1109 THEN 'peak'
+        WHEN m BETWEEN 570 AND 929 OR m BETWEEN 1110 AND 1259 THEN 'regular' ELSE 'off_peak' END AS crowding
+    FROM (SELECT visit_id, hour(lts) * 60 + minute(lts) AS m, isodow(lts) AS d FROM v_visits)"""))
+def service_periods(spark, sf_dir):
+    """Service period, day type and crowding period of every visit."""
+    lt = local_ts(F.col("ts"))
+    v = S.visits(spark, sf_dir).select("visit_id", lt.alias("lt"))
+    day = C.day_type(F.col("lt"), F.lit(False))
+    return v.select("visit_id", service_period(F.col("lt")).alias("service"), day.alias("day_type"),
+                    C.time_period(F.col("lt"), day).alias("crowding"))
+
+
+@query("sunday_service_days", """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS orders FROM orders WHERE
+      strftime(o_orderdate, '%m-%d') IN ('01-01','07-04','12-25') OR (month(o_orderdate) = 5 AND isodow(o_orderdate) = 1 AND month(o_orderdate + INTERVAL 7 DAY) = 6)
+      OR (month(o_orderdate) = 9 AND isodow(o_orderdate) = 1 AND day(o_orderdate) <= 7) OR (month(o_orderdate) = 11 AND isodow(o_orderdate) = 4 AND day(o_orderdate) BETWEEN 22 AND 28)
+    GROUP BY 1""")
+def sunday_service_days(spark, sf_dir):
+    d = S.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    return d.where(sunday_service_holiday(F.col("day"))).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("orders"))
+
+
+@query("route_files", with_views(["v_routes"], r"""
+    SELECT route_id, regexp_replace(route_id || '/' || long_name, '[^A-Za-z0-9_\-]', '_', 'g') AS file FROM v_routes"""))
+def route_files(spark, sf_dir):
+    """File-safe names, over ids made awkward on purpose."""
+    r = Feed.from_tables(spark, sf_dir).routes
+    return r.select("route_id", file_safe(F.concat_ws("/", "route_id", "long_name")).alias("file"))

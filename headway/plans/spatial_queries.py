@@ -77,8 +77,9 @@ OD_CTE = """v_od AS (SELECT s_suppkey AS od_id, 41.64 + (s_suppkey * 7211 % 3800
     count_if(pow(o_lat - d_lat, 2) + pow(o_lon - d_lon, 2) < 0.001 * 0.001) AS rejected FROM v_od""")
 def same_place(spark, sf_dir):
     od = S.od_pairs(spark, sf_dir)
-    n = od.agg(F.count("*").alias("pairs"))
-    return n.join(P.same_place(od).agg(F.count("*").alias("rejected")), F.lit(True))
+    one = lambda df, a, b: df.select(F.lit(a).alias("pairs"), F.lit(b).alias("rejected"))
+    both = one(od, 1, 0).unionByName(one(P.same_place(od), 0, 1))
+    return both.agg(F.sum("pairs").alias("pairs"), F.sum("rejected").alias("rejected"))
 
 
 @query("intermodal_edges", with_views(["v_stops"], f"""

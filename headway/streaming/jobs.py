@@ -6,6 +6,8 @@ late rows are counted out by Spark and state stays bounded.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -28,10 +30,12 @@ def keyed_state(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Process what is there and stop."""
+def run_available(writer: DataStreamWriter, checkpoint: str) -> int:
+    """Process what is there and stop; the number of rows that came too late is returned."""
     q: StreamingQuery = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return sum(s.get("numRowsDroppedByWatermark", 0)
+               for p in q.recentProgress for s in json.loads(p.json).get("stateOperators", []))
 
 
 def to_table(df: DataFrame, label: str) -> DataFrame:
@@ -139,9 +143,10 @@ def stream_stop_board(arrivals: DataFrame, pinned: DataFrame, path: str, checkpo
                       stale: str = "30 seconds") -> None:
     """Keep the boards of the pinned stops current: the newest slot of each batch."""
     def publish(batch: DataFrame, _: int) -> None:
-        newest = batch.agg(F.max("slot").alias("slot"))
-        board = stop_board(batch.join(newest, "slot", "left_semi"), pinned)
-        upsert_daily(board.join(newest, F.lit(True)), path, "slot")
+        newest = batch.agg(F.max("slot")).first()[0]
+        if newest is not None:
+            board = stop_board(batch.where(F.col("slot") == F.lit(newest)), pinned)
+            upsert_daily(board.withColumn("slot", F.lit(newest)), path, "slot")
 
     run_available(latest_predictions(arrivals, stale).writeStream.outputMode("update").foreachBatch(publish), checkpoint)
 
