@@ -34,7 +34,7 @@ def sessions_cte(gap: int) -> str:
         FROM v_visits),
       v_numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY sid, day ORDER BY us) AS session_no FROM v_marked),
       v_sessions AS (SELECT sid, day, session_no, min(us) AS start_us, max(us) AS last_us, count(*) AS visits,
-          count_if(path = '/recommend') AS recommends,
+          count(CASE WHEN path = '/recommend' THEN 1 END) AS recommends,
           max(list_position({STAGES_SQL}, event_name)) - 1 AS stage
         FROM v_numbered GROUP BY ALL)"""
 
@@ -42,9 +42,9 @@ def sessions_cte(gap: int) -> str:
 METRICS_SQL = """
     SELECT CAST(day AS VARCHAR) AS {d}, count(*) AS sessions,
            CAST(sum((last_us - start_us) // 1000000) AS BIGINT) AS total_duration_seconds,
-           count_if(recommends < 2) AS bounces,
+           count(CASE WHEN recommends < 2 THEN 1 END) AS bounces,
            round(sum((last_us - start_us) // 1000000) / count(*), 1) AS avg_duration_seconds,
-           round(100.0 * count_if(recommends < 2) / count(*), 1) AS bounce_rate_pct
+           round(100.0 * count(CASE WHEN recommends < 2 THEN 1 END) / count(*), 1) AS bounce_rate_pct
     FROM v_sessions GROUP BY day"""
 
 
@@ -89,8 +89,8 @@ def hourly_histogram(spark, sf_dir):
 
 
 @query("device_mix", with_views(["v_visits"], """
-    SELECT CAST(day AS VARCHAR) AS day, count_if(ua IN (0, 5)) AS mobile, count_if(ua = 2) AS tablet,
-           count_if(ua = 1) AS desktop, count_if(ua = 3) AS bot, count_if(ua = 4) AS unknown
+    SELECT CAST(day AS VARCHAR) AS day, count(CASE WHEN ua IN (0, 5) THEN 1 END) AS mobile, count(CASE WHEN ua = 2 THEN 1 END) AS tablet,
+           count(CASE WHEN ua = 1 THEN 1 END) AS desktop, count(CASE WHEN ua = 3 THEN 1 END) AS bot, count(CASE WHEN ua = 4 THEN 1 END) AS unknown
     FROM v_visits WHERE path = '/ping' GROUP BY 1"""))
 def device_mix(spark, sf_dir):
     return day_text(A.device_mix(S.visits(spark, sf_dir))).select("day", *DEVICE_BUCKETS)
@@ -100,13 +100,13 @@ OWN = ["spam-farm.example.org"]
 
 
 @query("referrer_mix", with_views(["v_referers"], """
-    SELECT CAST(day AS VARCHAR) AS day, count_if(host IS NULL OR host = 'spam-farm.example.org') AS direct,
-           count_if(host IN ('google.com','bing.com','duckduckgo.com') OR host LIKE '%.google.com'
-                    OR host LIKE '%.bing.com') AS search,
-           count_if(host IN ('facebook.com','x.com','t.co','reddit.com')) AS social,
-           count_if(NOT (host IS NULL OR host = 'spam-farm.example.org'
+    SELECT CAST(day AS VARCHAR) AS day, count(CASE WHEN host IS NULL OR host = 'spam-farm.example.org' THEN 1 END) AS direct,
+           count(CASE WHEN host IN ('google.com','bing.com','duckduckgo.com') OR host LIKE '%.google.com'
+                    OR host LIKE '%.bing.com' THEN 1 END) AS search,
+           count(CASE WHEN host IN ('facebook.com','x.com','t.co','reddit.com') THEN 1 END) AS social,
+           count(CASE WHEN NOT (host IS NULL OR host = 'spam-farm.example.org'
                     OR host IN ('google.com','bing.com','duckduckgo.com','facebook.com','x.com','t.co','reddit.com')
-                    OR host LIKE '%.google.com' OR host LIKE '%.bing.com')) AS other
+                    OR host LIKE '%.google.com' OR host LIKE '%.bing.com') THEN 1 END) AS other
     FROM v_referers GROUP BY 1"""))
 def referrer_mix(spark, sf_dir):
     return day_text(A.referrer_mix(S.referers(spark, sf_dir), OWN))
@@ -156,9 +156,9 @@ def metro_share(spark, sf_dir):
     return day_text(A.metro_share(by_city(spark, sf_dir), METRO))
 
 
-EVENT_SQL = ", ".join(f"count_if(event_name = '{n}') AS {n}" for n in A.ALLOWED_EVENTS)
-ANSWERED = """CASE WHEN count_if(event_name = 'recommend_submitted') = 0 THEN 0.0 ELSE
-    round(100.0 * count_if(event_name = 'recommend_returned') / count_if(event_name = 'recommend_submitted'), 1) END"""
+EVENT_SQL = ", ".join(f"count(CASE WHEN event_name = '{n}' THEN 1 END) AS {n}" for n in A.ALLOWED_EVENTS)
+ANSWERED = """CASE WHEN count(CASE WHEN event_name = 'recommend_submitted' THEN 1 END) = 0 THEN 0.0 ELSE
+    round(100.0 * count(CASE WHEN event_name = 'recommend_returned' THEN 1 END) / count(CASE WHEN event_name = 'recommend_submitted' THEN 1 END), 1) END"""
 NAMES_SQL = "'app_loaded','recommend_submitted','recommend_returned','trip_completed'"
 
 
@@ -198,10 +198,10 @@ def _session_queries(tag: str, gap: int) -> None:
 
     @query(f"funnel_{tag}", with_views(["v_visits"], """
         SELECT CAST(day AS VARCHAR) AS day,
-               concat_ws(',', count_if(stage >= 0), count_if(stage >= 1), count_if(stage >= 2),
-                         count_if(stage >= 3), count_if(stage >= 4), count_if(stage >= 5)) AS counts,
-               CASE WHEN count_if(stage >= 0) = 0 THEN 0.0
-                    ELSE round(100.0 * count_if(stage >= 2) / count_if(stage >= 0), 1) END AS result_rate_pct
+               concat_ws(',', count(CASE WHEN stage >= 0 THEN 1 END), count(CASE WHEN stage >= 1 THEN 1 END), count(CASE WHEN stage >= 2 THEN 1 END),
+                         count(CASE WHEN stage >= 3 THEN 1 END), count(CASE WHEN stage >= 4 THEN 1 END), count(CASE WHEN stage >= 5 THEN 1 END)) AS counts,
+               CASE WHEN count(CASE WHEN stage >= 0 THEN 1 END) = 0 THEN 0.0
+                    ELSE round(100.0 * count(CASE WHEN stage >= 2 THEN 1 END) / count(CASE WHEN stage >= 0 THEN 1 END), 1) END AS result_rate_pct
         FROM v_sessions WHERE stage >= 0 GROUP BY 1""", cte))
     def _funnel(spark, sf_dir):
         v = S.visits(spark, sf_dir)
@@ -212,8 +212,8 @@ _session_queries("30min", 1800)
 _session_queries("6h", 21600)
 
 RETENTION_SQL = with_views(["v_visits"], """
-    SELECT CAST(day AS VARCHAR) AS {d}, count_if(day = first_day) AS "new", count_if(day > first_day) AS returning,
-           count(*) AS total, round(100.0 * count_if(day > first_day) / count(*), 1) AS returning_pct
+    SELECT CAST(day AS VARCHAR) AS {d}, count(CASE WHEN day = first_day THEN 1 END) AS "new", count(CASE WHEN day > first_day THEN 1 END) AS returning,
+           count(*) AS total, round(100.0 * count(CASE WHEN day > first_day THEN 1 END) / count(*), 1) AS returning_pct
     FROM (SELECT sid, day, min(day) OVER (PARTITION BY sid) AS first_day
           FROM (SELECT DISTINCT sid, day FROM v_visits WHERE path = '/ping')) GROUP BY 1""")
 
@@ -261,7 +261,7 @@ def panel_geography(spark, sf_dir):
 @query("panel_sessions", with_views(["v_visits"], """
     SELECT CAST(day AS VARCHAR) AS date, count(*) AS sessions,
            round(sum((last_us - start_us) // 1000000) / count(*), 1) AS avg_duration_seconds,
-           round(100.0 * count_if(recommends < 2) / count(*), 1) AS bounce_rate_pct
+           round(100.0 * count(CASE WHEN recommends < 2 THEN 1 END) / count(*), 1) AS bounce_rate_pct
     FROM v_sessions GROUP BY day""", sessions_cte(1800)))
 def panel_sessions(spark, sf_dir):
     return panel(spark, sf_dir, A.session_metrics(A.sessionize(S.visits(spark, sf_dir))), "sessions")
@@ -280,29 +280,29 @@ def panel_hourly(spark, sf_dir):
 
 
 @query("panel_devices", with_views(["v_visits"], """
-    SELECT CAST(day AS VARCHAR) AS date, count_if(ua IN (0, 5)) AS mobile, count_if(ua = 2) AS tablet,
-           count_if(ua = 1) AS desktop, count_if(ua IN (0, 1, 2, 5)) AS total
+    SELECT CAST(day AS VARCHAR) AS date, count(CASE WHEN ua IN (0, 5) THEN 1 END) AS mobile, count(CASE WHEN ua = 2 THEN 1 END) AS tablet,
+           count(CASE WHEN ua = 1 THEN 1 END) AS desktop, count(CASE WHEN ua IN (0, 1, 2, 5) THEN 1 END) AS total
     FROM v_visits WHERE path = '/ping' GROUP BY 1"""))
 def panel_devices(spark, sf_dir):
     return panel(spark, sf_dir, A.device_mix(S.visits(spark, sf_dir)), "devices")
 
 
 @query("panel_referrers", with_views(["v_referers"], """
-    SELECT CAST(day AS VARCHAR) AS date, count_if(host IS NULL OR host = 'spam-farm.example.org') AS direct,
-           count_if(host LIKE '%.google.com' OR host IN ('google.com','bing.com')) AS search,
-           count_if(host IN ('facebook.com','x.com','t.co','reddit.com')) AS social,
-           count_if(NOT (host IS NULL OR host = 'spam-farm.example.org' OR host LIKE '%.google.com' OR host IN
-             ('google.com','bing.com','facebook.com','x.com','t.co','reddit.com'))) AS other, count(*) AS total
+    SELECT CAST(day AS VARCHAR) AS date, count(CASE WHEN host IS NULL OR host = 'spam-farm.example.org' THEN 1 END) AS direct,
+           count(CASE WHEN host LIKE '%.google.com' OR host IN ('google.com','bing.com') THEN 1 END) AS search,
+           count(CASE WHEN host IN ('facebook.com','x.com','t.co','reddit.com') THEN 1 END) AS social,
+           count(CASE WHEN NOT (host IS NULL OR host = 'spam-farm.example.org' OR host LIKE '%.google.com' OR host IN
+             ('google.com','bing.com','facebook.com','x.com','t.co','reddit.com')) THEN 1 END) AS other, count(*) AS total
     FROM v_referers GROUP BY 1"""))
 def panel_referrers(spark, sf_dir):
     return panel(spark, sf_dir, A.referrer_mix(S.referers(spark, sf_dir), OWN), "referrers")
 
 
 @query("panel_events", with_views(["v_visits"], f"""
-    SELECT CAST(day AS VARCHAR) AS date, count_if(event_name = 'recommend_submitted') AS recommend_submitted,
-           count_if(event_name = 'recommend_returned') AS recommend_returned, CAST(0 AS BIGINT) AS route_selected,
-           count_if(event_name = 'trip_completed') AS trip_completed,
-           count_if(event_name IN ('recommend_submitted','recommend_returned','trip_completed')) AS total
+    SELECT CAST(day AS VARCHAR) AS date, count(CASE WHEN event_name = 'recommend_submitted' THEN 1 END) AS recommend_submitted,
+           count(CASE WHEN event_name = 'recommend_returned' THEN 1 END) AS recommend_returned, CAST(0 AS BIGINT) AS route_selected,
+           count(CASE WHEN event_name = 'trip_completed' THEN 1 END) AS trip_completed,
+           count(CASE WHEN event_name IN ('recommend_submitted','recommend_returned','trip_completed') THEN 1 END) AS total
     FROM v_visits WHERE event_name IN ({NAMES_SQL}) GROUP BY 1"""))
 def panel_events(spark, sf_dir):
     return panel(spark, sf_dir, A.event_counts(S.visits(spark, sf_dir)), "events")
@@ -311,9 +311,9 @@ def panel_events(spark, sf_dir):
 @query("panel_funnel", with_views(["v_visits"], """
     SELECT CAST(day AS VARCHAR) AS date,
            'app_loaded,recommend_submitted,recommend_returned,route_selected,start_route_tapped,trip_completed' AS stages,
-           concat_ws(',', count_if(stage >= 0), count_if(stage >= 1), count_if(stage >= 2),
-                     count_if(stage >= 3), count_if(stage >= 4), count_if(stage >= 5)) AS counts,
-           round(100.0 * count_if(stage >= 2) / count_if(stage >= 0), 1) AS result_rate_pct
+           concat_ws(',', count(CASE WHEN stage >= 0 THEN 1 END), count(CASE WHEN stage >= 1 THEN 1 END), count(CASE WHEN stage >= 2 THEN 1 END),
+                     count(CASE WHEN stage >= 3 THEN 1 END), count(CASE WHEN stage >= 4 THEN 1 END), count(CASE WHEN stage >= 5 THEN 1 END)) AS counts,
+           round(100.0 * count(CASE WHEN stage >= 2 THEN 1 END) / count(CASE WHEN stage >= 0 THEN 1 END), 1) AS result_rate_pct
     FROM v_sessions WHERE stage >= 0 GROUP BY 1""", sessions_cte(1800)))
 def panel_funnel(spark, sf_dir):
     v = S.visits(spark, sf_dir)

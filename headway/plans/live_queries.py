@@ -259,10 +259,10 @@ def parse_forecast(spark, sf_dir):
     return D.parse_forecast(p).drop("short_forecast")
 
 
-@query("walk_factor", f"""WITH {PERIODS_SQL} SELECT payload_id, round(greatest(0.60, CASE precipitation WHEN 'freezing_rain' THEN 0.78 WHEN 'sleet' THEN 0.78
+@query("walk_factor", f"""WITH {PERIODS_SQL} SELECT payload_id, round(CAST(greatest(0.60, CASE precipitation WHEN 'freezing_rain' THEN 0.78 WHEN 'sleet' THEN 0.78
       WHEN 'rain' THEN CASE intensity WHEN 'heavy' THEN 0.82 WHEN 'moderate' THEN 0.90 ELSE 0.96 END
       WHEN 'snow' THEN CASE intensity WHEN 'heavy' THEN 0.74 WHEN 'moderate' THEN 0.84 ELSE 0.92 END ELSE 1.0 END
-      * CASE WHEN gust > 35 THEN 0.90 ELSE 1.0 END * CASE WHEN round(feels, 1) < 0 THEN 0.88 ELSE 1.0 END), 6) AS factor,
+      * CASE WHEN gust > 35 THEN 0.90 ELSE 1.0 END * CASE WHEN round(feels, 1) < 0 THEN 0.88 ELSE 1.0 END) AS DOUBLE), 6) AS factor,
     CASE WHEN hint = '' THEN '' ELSE 'Weight guidance: ' || hint || '.' END AS hint
     FROM (SELECT *, concat_ws('; ', CASE WHEN round(feels, 1) < 0 THEN 'outdoor exposure heavily prioritized due to dangerous wind chill'
         WHEN round(feels, 1) < 15 THEN 'outdoor exposure prioritized due to extreme cold' END,

@@ -287,8 +287,8 @@ def replay_cache(spark, sf_dir):
     return C.replay_cache(*cache_parts(spark, sf_dir), now=NOW).drop("lon")
 
 
-@query("replay_summary", f"""WITH {CACHE} SELECT count(*) AS keys, count_if(state = 'positive') AS positive,
-    count_if(state = 'negative') AS negative, count_if(state = 'malformed') AS malformed FROM k""")
+@query("replay_summary", f"""WITH {CACHE} SELECT count(*) AS keys, count(CASE WHEN state = 'positive' THEN 1 END) AS positive,
+    count(CASE WHEN state = 'negative' THEN 1 END) AS negative, count(CASE WHEN state = 'malformed' THEN 1 END) AS malformed FROM k""")
 def replay_summary(spark, sf_dir):
     snap, jour, _ = cache_parts(spark, sf_dir)
     return C.replay_summary(snap, jour)

@@ -39,8 +39,8 @@ def stream_rate_limit(spark, sf_dir):
 
 
 @query("stream_daily_counters", with_views(["v_visits"], """
-    SELECT CAST(day AS VARCHAR) AS date, count(*) AS visits, count_if(ua IN (0, 5) AND path = '/ping') AS mobile,
-           count_if(event_name = 'app_loaded') AS app_loaded, count_if(path = '/recommend') AS searches FROM v_visits GROUP BY 1"""))
+    SELECT CAST(day AS VARCHAR) AS date, count(*) AS visits, count(CASE WHEN ua IN (0, 5) AND path = '/ping' THEN 1 END) AS mobile,
+           count(CASE WHEN event_name = 'app_loaded' THEN 1 END) AS app_loaded, count(CASE WHEN path = '/recommend' THEN 1 END) AS searches FROM v_visits GROUP BY 1"""))
 def stream_daily_counters(spark, sf_dir):
     path = scratch_path(spark, "daily")
     J.stream_daily_counters(S.visits_from_events(stream(spark, sf_dir)), path, path + "-state")
@@ -65,7 +65,7 @@ def stream_sessions(spark, sf_dir):
 
 
 @query("stream_retention", with_views(["v_visits"], """
-    SELECT CAST(day AS VARCHAR) AS day, count_if(day = first_day) AS "new", count_if(day > first_day) AS returning
+    SELECT CAST(day AS VARCHAR) AS day, count(CASE WHEN day = first_day THEN 1 END) AS "new", count(CASE WHEN day > first_day THEN 1 END) AS returning
     FROM (SELECT sid, day, min(day) OVER (PARTITION BY sid) AS first_day FROM (SELECT DISTINCT sid, day FROM v_visits WHERE path = '/ping')) GROUP BY 1"""))
 def stream_retention(spark, sf_dir):
     t = J.to_table(J.stream_retention(S.visits_from_events(stream(spark, sf_dir))), "retention")

@@ -187,7 +187,7 @@ def bus_bus(spark, sf_dir):
 ITINS = """v_legs AS (SELECT l_orderkey AS od_id, l_linenumber AS leg_no, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
    v_kind AS (SELECT *, p % 5 = 0 AS walk, CASE WHEN p % 3 = 0 THEN 'rail' ELSE 'bus' END AS mode, 'R' || (p % 40) AS route_id, CAST(p % 17 AS DOUBLE) AS minutes FROM v_legs),
    v_itin AS (SELECT od_id, coalesce(string_agg(route_id || ':' || p, '|' ORDER BY leg_no) FILTER (NOT walk), '') AS signature,
-      greatest(count_if(NOT walk) - 1, 0) AS transfers, coalesce(sum(minutes) FILTER (NOT walk), 0) AS transit, coalesce(sum(minutes) FILTER (walk), 0) AS walks,
+      greatest(count(CASE WHEN NOT walk THEN 1 END) - 1, 0) AS transfers, coalesce(sum(minutes) FILTER (NOT walk), 0) AS transit, coalesce(sum(minutes) FILTER (walk), 0) AS walks,
       arg_min(CASE WHEN walk THEN minutes ELSE 0 END, leg_no) AS access, bool_or(NOT walk AND mode = 'rail') AS rail,
       list(CASE WHEN p % 4 = 0 THEN NULL ELSE p % 11 END ORDER BY leg_no) FILTER (NOT walk) AS waits FROM v_kind GROUP BY od_id)"""
 
@@ -312,7 +312,7 @@ def dedupe_by_line(spark, sf_dir):
         CASE WHEN e.walk THEN legs + 1 WHEN riding AND list_contains(served, cur) THEN legs WHEN riding THEN legs + 2 ELSE legs + 1 END, NOT e.walk,
         CASE WHEN e.walk THEN cur WHEN cur IS NOT NULL AND list_contains(served, cur) THEN cur ELSE e.route END
       FROM r JOIN e ON e.path_id = r.path_id AND e.n = r.n + 1)
-    SELECT path_id, arg_max(legs, n) AS legs, arg_max(cur, n) AS last_line, CAST((SELECT sum(m) FROM e WHERE e.path_id = r.path_id) AS DOUBLE) AS minutes FROM r GROUP BY path_id""")
+    SELECT path_id, CAST(arg_max(legs, n) AS BIGINT) AS legs, arg_max(cur, n) AS last_line, CAST((SELECT sum(m) FROM e WHERE e.path_id = r.path_id) AS DOUBLE) AS minutes FROM r GROUP BY path_id""")
 def legs_from_path(spark, sf_dir):
     """Legs, last line and edge minutes of one path per order."""
     p = F.col("p")
