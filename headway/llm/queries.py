@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, secrets
+from . import byte_bpe, decontamination, jaccard, secrets
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,7 +23,11 @@ def op6_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.op6_byte_bpe(read(spark, d, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_decontamination, op4_secrets, op6_byte_bpe)}
+def op8_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.op8_jaccard_join(read(spark, d, "documents"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op3_decontamination, op4_secrets, op6_byte_bpe, op8_jaccard_join)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -44,4 +48,13 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit,
  sha256(coalesce(its.s, '')) AS items_sha256,
  coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(w) AS contaminated
 FROM doc d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op8_jaccard_join": rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+ sh AS (SELECT DISTINCT doc_id, w[i:i + 4] AS g FROM doc, range(1, greatest(len(w) - 4, 1) + 1) r(i) WHERE len(w) > 0),
+ size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+ pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM sh a JOIN sh b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+ link AS (SELECT u, v FROM pair JOIN size x ON x.doc_id = u JOIN size y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, v FROM reach JOIN link ON b = u)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id
+FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) ON a = d.doc_id""",
 }
