@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, jaccard, secrets
+from . import byte_bpe, decontamination, jaccard, secrets, substrings
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,10 @@ def op4_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secrets.op4_secrets(read(spark, d, "documents"))
 
 
+def op5_substrings(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.op5_substrings(read(spark, d, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.op6_byte_bpe(read(spark, d, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -27,7 +31,7 @@ def op8_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.op8_jaccard_join(read(spark, d, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_decontamination, op4_secrets, op6_byte_bpe, op8_jaccard_join)}
+LLM_QUERIES = {f.__name__: f for f in (op3_decontamination, op4_secrets, op5_substrings, op6_byte_bpe, op8_jaccard_join)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -57,4 +61,13 @@ WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0
  reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, v FROM reach JOIN link ON b = u)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id
 FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) ON a = d.doc_id""",
+    "op5_substrings": r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ win AS (SELECT doc_id, i, w[i:i + 34] AS g FROM doc, range(1, len(w) - 33) r(i)),
+ dup AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+ pos AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN dup USING (g), range(0, 35) s(j)),
+ word AS (SELECT doc_id, p, w[p] AS t FROM doc, range(1, len(w) + 1) r(p)),
+ kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS s, count(*) AS n FROM word ANTI JOIN pos USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+ sha256(coalesce(s, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (doc_id)""",
 }
