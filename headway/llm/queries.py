@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, jaccard, secrets, substrings
+from . import byte_bpe, decontamination, jaccard, personal_data, secrets, substrings
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,7 +31,12 @@ def op8_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.op8_jaccard_join(read(spark, d, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_decontamination, op4_secrets, op5_substrings, op6_byte_bpe, op8_jaccard_join)}
+def op10_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.op10_personal_data(read(spark, d, "documents"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (
+    op3_decontamination, op4_secrets, op5_substrings, op6_byte_bpe, op8_jaccard_join, op10_personal_data)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
