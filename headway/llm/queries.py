@@ -5,12 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, jaccard, personal_data, secrets, substrings
+from . import byte_bpe, decontamination, jaccard, personal_data, quality, secrets, substrings, toxicity
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.op1_toxicity(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+def op2_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.op2_quality(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.op3_decontamination(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
@@ -36,7 +44,7 @@ def op10_personal_data(spark: SparkSession, d: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op3_decontamination, op4_secrets, op5_substrings, op6_byte_bpe, op8_jaccard_join, op10_personal_data)}
+    op1_toxicity, op2_quality, op3_decontamination, op4_secrets, op5_substrings, op6_byte_bpe, op8_jaccard_join, op10_personal_data)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
