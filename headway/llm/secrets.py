@@ -72,13 +72,13 @@ def dense_windows(s: str, limit: float, window: int = WINDOW) -> list[tuple[int,
     counts: dict[str, int] = {}
     total, out = 0.0, []
     for i, c in enumerate(s):
-        k = counts.get(c, 0)
-        total += term[k + 1] - term[k]
-        counts[c] = k + 1
         if i >= window:
             k = counts[s[i - window]]
             total += term[k - 1] - term[k]
             counts[s[i - window]] = k - 1
+        k = counts.get(c, 0)
+        total += term[k + 1] - term[k]
+        counts[c] = k + 1
         if i >= window - 1 and math.log2(window) - total / window >= limit - 1e-9:
             a = i + 1 - window
             if out and a <= out[-1][1]:
