@@ -159,17 +159,14 @@ def trip_calls(stop_times: DataFrame, trips: DataFrame, routes: DataFrame,
                stops: DataFrame) -> DataFrame:
     """Stop times of trips on known routes; rail at stations, bus at known bus stops.
 
-    (trip_id, seq) is the key of a feed table; should a feed repeat it, the
-    earliest call stands, which also bounds every trip by its sequence numbers.
+    Every call with a sequence number and a time is kept, also where a feed repeats a number.
     """
     r = routes.select("route_id", "mode")
     t = trips.join(r, "route_id").select("trip_id", "route_id", "direction_id", "service_id",
                                          "mode", F.col("headsign").alias("trip_headsign"))
     known = stops.select("stop_id", "kind", "parent_id")
     usable = F.col("seq").isNotNull() & F.col("arr_min").isNotNull()
-    calls = stop_times.where(usable).groupBy("trip_id", "seq").agg(
-        F.min(F.struct("arr_min", "stop_id", "dep_min", "dep_text", "headsign")).alias("c")
-    ).select("trip_id", "seq", "c.*")
+    calls = stop_times.where(usable).select("trip_id", "seq", "arr_min", "stop_id", "dep_min", "dep_text", "headsign")
     rail = F.col("mode") == "rail"
     at_platform = rail & (F.col("kind") == "platform")
     return (
@@ -182,8 +179,8 @@ def trip_calls(stop_times: DataFrame, trips: DataFrame, routes: DataFrame,
 
 
 def trip_stops(calls: DataFrame) -> DataFrame:
-    """Calls in order: 0-based `pos`, `n_stops` and the trip's first minute."""
-    w = Window.partitionBy("trip_id").orderBy("seq")
+    """Calls in order: 0-based `pos`, `n_stops` and the trip's first minute. Equal numbers follow time, then platform."""
+    w = Window.partitionBy("trip_id").orderBy("seq", "arr_min", "platform_id", "dep_min")
     whole = Window.partitionBy("trip_id")
     return calls.select(
         "*", (F.row_number().over(w) - 1).alias("pos"),
@@ -262,7 +259,7 @@ def timetable_calls(stop_times: DataFrame, trips: DataFrame, buckets: DataFrame)
     t = trips.select("trip_id", "route_id", "direction_id", "service_id",
                      F.col("headsign").alias("trip_headsign"))
     return (
-        stop_times.join(t, "trip_id").join(buckets, "service_id")
+        stop_times.where("hhmm IS NOT NULL").join(t, "trip_id").join(buckets, "service_id")
         .withColumn("seq", F.coalesce("seq", F.lit(0)))
     )
 

@@ -11,7 +11,7 @@ from ..sources import feeds as D
 from .analytics_queries import array_text
 from .feed import Feed
 from .registry import query
-from .views import with_views
+from .views import LINES, with_views
 
 ARRIVALS = """v_eta AS (SELECT o_orderkey AS k, o_custkey, 0 AS part, o_orderkey * 37 % 3600 - 300 AS s FROM orders WHERE o_orderkey % 50 <> 0
      UNION ALL SELECT o_orderkey, o_custkey, 1, o_orderkey * 37 % 3600 + 270 FROM orders WHERE o_orderkey % 50 <> 0 AND o_orderkey % 2 = 1 AND o_orderkey % 7 <> 0),
@@ -187,7 +187,7 @@ PICK = f"""{ARRIVALS}, {WALKS},
    v_c AS (SELECT walk_id, line_code, stop_id, destination, min(minutes) AS minutes FROM v_train JOIN v_walks USING (stop_id) WHERE minutes >= walk_minutes GROUP BY ALL),
    v_place AS (SELECT CAST(40000 + i AS VARCHAR) AS stop_id, {PLACE.format('(i * 3 + 1)')} FROM (SELECT DISTINCT s_suppkey % 50 AS i FROM supplier)),
    v_term AS (SELECT destination, 41.64 + (i * 7919 % 3800) / 10000.0 AS lat, -87.94 + (i * 2741 % 4200) / 10000.0 AS lon FROM (VALUES ('Howard', 5), ('95th', 17), ('Loop', 29)) t(destination, i)),
-   v_legs AS (SELECT l_orderkey * 10 + l_linenumber AS leg_id, any_value(l_suppkey) AS walk_id FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) = 1),
+   v_legs AS (SELECT l_orderkey * 100 + ln AS leg_id, l_suppkey AS walk_id FROM {LINES}),
    v_l AS (SELECT leg_id, walk_id, list_extract(['Red','Brn','G','Zz'], leg_id % 4 + 1) AS line_code, CAST(40000 + walk_id * 3 % 50 AS VARCHAR) AS from_id,
       CAST(40000 + (leg_id // 10) % 50 AS VARCHAR) AS to_id, CAST(40000 + (leg_id // 7) % 50 AS VARCHAR) AS final_id FROM v_legs),
    v_d AS (SELECT l.*, a.lat AS alat, a.lon AS alon, CASE WHEN sqrt(pow(b.lat - a.lat, 2) + pow(b.lon - a.lon, 2)) < 0.005 AND l.final_id <> l.to_id
@@ -203,9 +203,8 @@ PICK = f"""{ARRIVALS}, {WALKS},
 @query("pick_wait", f"""WITH {PICK} SELECT leg_id, CASE WHEN count(*) > 1 AND max(cs) FILTER (r = 1) IS NOT NULL AND
       (max(cs) FILTER (r = 2) IS NULL OR max(cs) FILTER (r = 1) - max(cs) FILTER (r = 2) >= 0.15) THEN max(minutes) FILTER (r = 1) ELSE min(minutes) END AS wait FROM v_r GROUP BY leg_id""")
 def pick_wait(spark, sf_dir):
-    li = S.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.count("*").alias("n"), F.max("l_suppkey").alias("walk_id")).where("n = 1")
-    leg = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    li = S.call_lines(spark, sf_dir).withColumnRenamed("l_suppkey", "walk_id")
+    leg = F.col("l_orderkey") * 100 + F.col("ln")
     sid = lambda i: (F.lit(40000) + i % 50).cast("bigint").cast("string")
     legs = li.select(leg.alias("leg_id"), "walk_id", S.pick(["Red", "Brn", "G", "Zz"], leg % 4).alias("line_code"),
                      sid(F.col("walk_id") * 3).alias("from_id"), sid(F.floor(leg / 10)).alias("to_id"), sid(F.floor(leg / 7)).alias("final_id"))
@@ -217,13 +216,13 @@ def pick_wait(spark, sf_dir):
     return V.pick_wait(legs, V.catchable(trains(spark, sf_dir), walks(spark, sf_dir)), places, terms)
 
 
-@query("transfer_boardings", """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
-    t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM l WHERE p % 5 <> 0)
+@query("transfer_boardings", f"""WITH l AS {LINES},
+    t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ln) AS n FROM l WHERE p % 5 <> 0)
     SELECT DISTINCT CASE WHEN p % 3 = 0 THEN 'rail' ELSE 'bus' END AS mode, CASE WHEN p % 3 = 0 THEN 'Red' ELSE CAST(p % 40 AS VARCHAR) END AS line_code, CAST(p AS VARCHAR) AS stop_id FROM t WHERE n > 1""")
 def transfer_boardings(spark, sf_dir):
     p = F.col("p")
-    li = S.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
-    legs = li.select(F.col("l_orderkey").alias("od_id"), F.lit(1).alias("itin_id"), F.col("l_linenumber").alias("leg_no"),
+    li = S.call_lines(spark, sf_dir)
+    legs = li.select(F.col("l_orderkey").alias("od_id"), F.lit(1).alias("itin_id"), F.col("ln").alias("leg_no"),
                      F.when(p % 5 == 0, "walk").otherwise("transit").alias("leg_type"), F.when(p % 3 == 0, "rail").otherwise("bus").alias("mode"),
                      F.when(p % 3 == 0, "Red").otherwise((p % 40).cast("string")).alias("line_code"), p.cast("string").alias("from_id"))
     return V.transfer_boardings(legs)

@@ -16,7 +16,7 @@ from .network_queries import HOPS
 from .registry import query
 from .spatial_queries import miles
 from .trips import TripNetwork, plan_trips
-from .views import with_views
+from .views import LINES, with_views
 
 
 def od_pairs(spark, sf_dir):
@@ -184,7 +184,7 @@ def bus_bus(spark, sf_dir):
     return b.select("od_id", F.col("rank").cast("bigint").alias("rank"), "signature", F.round("total", 4).alias("total"))
 
 
-ITINS = """v_legs AS (SELECT l_orderkey AS od_id, l_linenumber AS leg_no, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+ITINS = f"""v_legs AS (SELECT l_orderkey AS od_id, ln AS leg_no, p FROM {LINES}),
    v_kind AS (SELECT *, p % 5 = 0 AS walk, CASE WHEN p % 3 = 0 THEN 'rail' ELSE 'bus' END AS mode, 'R' || (p % 40) AS route_id, CAST(p % 17 AS DOUBLE) AS minutes FROM v_legs),
    v_itin AS (SELECT od_id, coalesce(string_agg(route_id || ':' || p, '|' ORDER BY leg_no) FILTER (NOT walk), '') AS signature,
       greatest(count(CASE WHEN NOT walk THEN 1 END) - 1, 0) AS transfers, coalesce(sum(minutes) FILTER (NOT walk), 0) AS transit, coalesce(sum(minutes) FILTER (walk), 0) AS walks,
@@ -196,8 +196,7 @@ def itins(spark, sf_dir):
     """Itineraries made of line items: one per order, legs by line number."""
     p = F.col("p")
     walk = p % 5 == 0
-    li = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("od_id"), F.col("l_linenumber").alias("leg_no")).agg(
-        F.min("l_partkey").alias("p"))
+    li = S.call_lines(spark, sf_dir).select(F.col("l_orderkey").alias("od_id"), F.col("ln").alias("leg_no"), "p")
     none = F.lit(None).cast("string")
     one = F.struct(
         "leg_no", walk.alias("walk"), p.alias("p"),
@@ -271,7 +270,7 @@ POINTS = """v_pts AS (SELECT od_id, leg_no, CASE WHEN p % 5 = 0 THEN 'walk' ELSE
       WHEN mode = 'rail' AND b_mode = 'rail' THEN 'rail-rail' WHEN mode = 'bus' AND b_mode = 'bus' THEN 'bus-bus' ELSE 'rail-bus' END AS kind, count(*) AS n
     FROM v_next WHERE b_type IS NOT NULL AND NOT (leg_type = 'walk' AND b_type = 'walk') GROUP BY ALL""")
 def transfer_points(spark, sf_dir):
-    li = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("od_id"), F.col("l_linenumber").alias("leg_no")).agg(F.min("l_partkey").alias("p"))
+    li = S.call_lines(spark, sf_dir).select(F.col("l_orderkey").alias("od_id"), F.col("ln").alias("leg_no"), "p")
     p = F.col("p")
     legs = li.select("od_id", F.lit(1).alias("itin_id"), "leg_no", F.when(p % 5 == 0, "walk").otherwise("transit").alias("leg_type"),
                      F.when(p % 3 == 0, "rail").otherwise("bus").alias("mode"), S.lat_of(p).alias("to_lat"), S.lon_of(p, 2741).alias("to_lon"),
@@ -303,7 +302,7 @@ def dedupe_by_line(spark, sf_dir):
     return I.dedupe_by_line(c, lines).select("od_id", "stop_id")
 
 
-@query("legs_from_path", """WITH RECURSIVE l AS (SELECT l_orderkey AS path_id, l_linenumber AS ln, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+@query("legs_from_path", f"""WITH RECURSIVE l AS (SELECT l_orderkey AS path_id, ln, p FROM {LINES}),
     e AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY ln) AS n, p, p % 6 = 0 AS walk, 'L' || (p % 4) AS route,
        CASE WHEN p % 3 = 0 THEN ['L' || (p % 4), 'L' || ((p + 1) % 4), 'L' || ((p + 2) % 4)] ELSE ['L' || (p % 4)] END AS served, p % 9 + 1.0 AS m FROM l),
     r(path_id, n, legs, riding, cur) AS (
@@ -316,7 +315,7 @@ def dedupe_by_line(spark, sf_dir):
 def legs_from_path(spark, sf_dir):
     """Legs, last line and edge minutes of one path per order."""
     p = F.col("p")
-    li = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path_id"), F.col("l_linenumber").alias("edge_no")).agg(F.min("l_partkey").alias("p"))
+    li = S.call_lines(spark, sf_dir).select(F.col("l_orderkey").alias("path_id"), F.col("ln").alias("edge_no"), "p")
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("path_id").orderBy("edge_no"))

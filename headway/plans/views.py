@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+#: Every line item with its place in its order, as line numbers repeat.
+LINES = """(SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+   l_extendedprice) AS ln, l_partkey AS p, l_suppkey FROM lineitem)"""
+
 VIEWS: dict[str, tuple[list[str], str]] = {
     "v_visits": ([], """
         SELECT event_id AS visit_id, ts,
@@ -57,10 +61,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                'To ' || o_orderstatus AS headsign
         FROM orders"""),
     "v_stop_times": ([], """
-        SELECT l_orderkey AS trip_id, l_linenumber AS seq, l_orderkey * 37 % 1700 + l_linenumber * 4 AS dep_min,
-               CASE part % 4 WHEN 0 THEN (part // 4) % 10000 + 40000
-                    WHEN 1 THEN (part // 4) % 10000 + 30000 ELSE part % 30000 END AS stop_id
-        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part FROM lineitem GROUP BY ALL)"""),
+        SELECT l_orderkey AS trip_id, ln AS seq, l_orderkey * 37 % 1700 + ln * 4 AS dep_min,
+               CASE p % 4 WHEN 0 THEN (p // 4) % 10000 + 40000
+                    WHEN 1 THEN (p // 4) % 10000 + 30000 ELSE p % 30000 END AS stop_id
+        FROM """ + LINES),
     "v_services": ([], """
         SELECT * FROM (VALUES ('S1',0),('S1',1),('S1',2),('S1',3),('S1',4),('S2',5),('S3',6),
           ('S4',5),('S4',6),('S5',0),('S5',1),('S5',2),('S5',3),('S5',4),('S5',5),('S5',6)) AS t(service_id, dow)"""),
@@ -74,7 +78,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         GROUP BY ALL HAVING count(*) >= 3"""),
     "v_trip_stops": (["v_stop_times", "v_trips", "v_routes", "v_stops"], """
         SELECT trip_id, route_id, direction_id, service_id, mode, stop_id, dep_min, platform_id, seq,
-               row_number() OVER (PARTITION BY trip_id ORDER BY seq) - 1 AS pos,
+               row_number() OVER (PARTITION BY trip_id ORDER BY seq, dep_min, platform_id) - 1 AS pos,
                count(*) OVER (PARTITION BY trip_id) AS n_stops,
                first_value(dep_min) OVER (PARTITION BY trip_id ORDER BY seq) AS first_min
         FROM (SELECT st.trip_id, t.route_id, t.direction_id, t.service_id, r.mode, st.seq, st.dep_min,

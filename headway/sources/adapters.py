@@ -6,7 +6,7 @@ grows with the data. The same shapes are spelled out in SQL in `plans.views`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecode import minutes_text
@@ -145,25 +145,22 @@ def trips_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item with its place `ln` in its order, as line numbers repeat; p is the part."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.row_number().over(place).cast("bigint").alias("ln"), F.col("l_partkey").alias("p"), "l_suppkey")
+
+
 def stop_times_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (trip, stop_sequence), the key a feed must keep unique.
-
-    Lines of an order that share a line number are one call of the trip, at
-    the smallest part. The aggregation combines before the shuffle, so an
-    order holding any share of the rows still ends as a handful of calls.
-    """
-    li = table(spark, sf_dir, "lineitem")
-    # trip and sequence are read back as aggregates: checks on the texts made of
-    # them then run once per call, not on every line of the table
-    calls = li.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_partkey").alias("part"), F.min("l_orderkey").alias("key"), F.min("l_linenumber").alias("seq"))
-    key, seq = F.col("key"), F.col("seq")
+    """One call of a trip per line item; see `call_lines` for its sequence number."""
+    key, seq = F.col("l_orderkey"), F.col("ln")
     minutes = key * 37 % 1700 + seq * 4
-    return calls.select(
+    return call_lines(spark, sf_dir).select(
         key.cast("string").alias("trip_id"),
         F.when((key + seq) % 11 == 0, "").otherwise(minutes_text(minutes)).alias("arrival_time"),
         minutes_text(minutes).alias("departure_time"),
-        stop_id_of(F.col("part")).alias("stop_id"),
+        stop_id_of(F.col("p")).alias("stop_id"),
         seq.cast("string").alias("stop_sequence"),
         F.lit("").alias("stop_headsign"),
     )

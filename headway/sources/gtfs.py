@@ -95,10 +95,10 @@ def coerce(raw: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, D
     st = st.withColumn("_a", clock_parts(F.col("_arr"))).withColumn("_d", clock_parts(F.col("_dep")))
     arr_min, dep_min = minutes_of(F.col("_a")), minutes_of(F.col("_d"))
     hhmm = hhmm_of(F.col("_d"))
-    split("stop_times", st,  # a time without seconds only serves timetables
-          hhmm.isNotNull() & (_text("stop_id") != ""),
+    split("stop_times", st,  # a time without seconds only serves timetables, an unreadable departure only sequences
+          (hhmm.isNotNull() | arr_min.isNotNull()) & (_text("stop_id") != ""),
           _text("trip_id").alias("trip_id"), _text("stop_id").alias("stop_id"),
-          _or("stop_sequence", "0").try_cast("int").alias("seq"), arr_min.alias("arr_min"),
+          _text("stop_sequence").try_cast("int").alias("seq"), arr_min.alias("arr_min"),
           F.col("_dep").alias("dep_text"), F.coalesce(dep_min, arr_min).alias("dep_min"),
           hhmm.alias("hhmm"), F.nullif(_text("stop_headsign"), F.lit("")).alias("headsign"))
     bad["stop_times"] = bad["stop_times"].drop("_arr", "_dep", "_a", "_d")
