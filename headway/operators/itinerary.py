@@ -1,9 +1,9 @@
 """Itineraries for whole tables of origin-destination pairs.
 
-Search runs in a fixed number of rounds (one per ride). After each round the
-k cheapest labels per (pair, stop, line) stay: a k-best itinerary cannot
-contain a prefix that k others at the same stop and line undercut, so the
-pruning is exact.
+Search runs in a fixed number of rounds (one per ride). A label goes only if k
+strictly cheaper ones at the same stop and line have visited nothing it has
+not (each may then be continued wherever it may), or if it already costs more
+than the k-th best itinerary found so far. Neither loses a k-best itinerary.
 """
 
 from __future__ import annotations
@@ -101,13 +101,21 @@ def coverage_status(od: DataFrame, access: DataFrame, egress: DataFrame) -> Data
 # --- search ------------------------------------------------------------------------
 
 
-def _keep_best(labels: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("od_id", "stop_id", "route_id").orderBy("cost", "signature")
+def _keep_best(labels: DataFrame, k: int, found: DataFrame) -> DataFrame:
+    """Labels that may still be part of one of the k best itineraries."""
     one = Window.partitionBy("od_id", "stop_id", "route_id", "signature").orderBy("cost")
-    return (
-        labels.withColumn("_s", F.row_number().over(one)).where("_s = 1")
-        .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_s", "_r")
-    )
+    kth = Window.partitionBy("od_id").orderBy("total")
+    bound = found.groupBy("od_id", "signature").agg(F.min("total").alias("total")).withColumn(
+        "_n", F.row_number().over(kth)).where(F.col("_n") == k).select("od_id", F.col("total").alias("_bound"))
+    left = labels.withColumn("_s", F.row_number().over(one)).where("_s = 1").drop("_s").join(bound, "od_id", "left").where(
+        F.col("_bound").isNull() | (F.col("cost") <= F.col("_bound")))
+    rest = [c for c in labels.columns if c not in ("od_id", "stop_id", "route_id")]
+    row = F.struct("cost", "signature", *(c for c in rest if c not in ("cost", "signature")))
+    beaten = lambda kept, x: F.size(F.filter(kept, lambda y: (y["cost"] < x["cost"]) & (
+        F.size(F.array_except(y["seen"], x["seen"])) == 0))) >= k
+    keep = lambda kept, x: F.when(beaten(kept, x), kept).otherwise(F.concat(kept, F.array(x)))
+    return left.groupBy("od_id", "stop_id", "route_id").agg(F.array_sort(F.collect_list(row)).alias("_rows")).select(
+        "od_id", "stop_id", "route_id", F.inline(F.aggregate("_rows", F.slice("_rows", 1, 0), keep))).select(*labels.columns)
 
 
 def itineraries(od: DataFrame, access: DataFrame, egress: DataFrame, rides: DataFrame,
@@ -132,9 +140,15 @@ def itineraries(od: DataFrame, access: DataFrame, egress: DataFrame, rides: Data
     out = egress.select("od_id", "stop_id", F.col("walk_minutes").alias("exit_walk"))
     board, done = start, [_finish(start, out, walk_factor, 0)]
     for n in range(1, max_transfers + 2):
-        hop = board.join(fastest.withColumnRenamed("route_id", "next_route"),
-                         (board["period"] == fastest["period"]) & (board["stop_id"] == F.col("board_id"))
-                         ).drop(fastest["period"])
+        ride = fastest.withColumnRenamed("route_id", "next_route")
+        if n > max_transfers:       # rides to an exit of the pair only, met on (pair, boarding stop)
+            to_exit = ride.join(out.select("od_id", F.col("stop_id").alias("alight_id")).join(
+                od.select("od_id", "period"), "od_id"), ["period", "alight_id"])
+            hop = board.join(to_exit.withColumnRenamed("board_id", "stop_id").drop("period"), ["od_id", "stop_id"]).withColumn(
+                "board_id", F.col("stop_id"))
+        else:
+            hop = board.join(ride, (board["period"] == fastest["period"]) & (board["stop_id"] == F.col("board_id"))
+                             ).drop(fastest["period"])
         fresh = (F.col("route_id").isNull() | (F.col("route_id") != F.col("next_route"))) & ~F.array_contains(
             "seen", F.col("alight_id"))
         sig = F.concat_ws("|", F.nullif("signature", F.lit("")), F.concat(
@@ -146,10 +160,12 @@ def itineraries(od: DataFrame, access: DataFrame, egress: DataFrame, rides: Data
             F.concat("seen", F.array("alight_id")).alias("seen"), sig.alias("signature"),
             (F.col("transit_minutes") + F.col("ride")).alias("transit_minutes"), "walk_minutes",
             (F.col("cost") + F.col("ride")).alias("cost"))
-        rode = save_table(_keep_best(rode, k), f"round-{n}")
-        done.append(_finish(rode, out, walk_factor, n - 1))
         if n > max_transfers:
+            # The last ride only counts where it ends at an exit of its pair.
+            done.append(_finish(rode, out, walk_factor, n - 1))
             break
+        rode = save_table(_keep_best(rode, k, _union(done)), f"round-{n}")
+        done.append(save_table(_finish(rode, out, walk_factor, n - 1), f"found-{n}"))
         stay = rode.select(
             "od_id", "period", "stop_id", "route_id",
             F.concat("legs", F.array(_walk(F.col("stop_id"), F.col("stop_id"), F.lit(TRANSFER_MINUTES)))).alias("legs"),
@@ -162,11 +178,15 @@ def itineraries(od: DataFrame, access: DataFrame, egress: DataFrame, rides: Data
             F.concat("seen", F.array("to_id")).alias("seen"), "signature", "transit_minutes",
             (F.col("walk_minutes") + F.col("w")).alias("walk_minutes"),
             (F.col("cost") + F.col("w") * walk_factor + TRANSFER_MINUTES).alias("cost"))
-        board = _keep_best(stay.unionByName(move), k)
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    return rank_itineraries(distinct_itineraries(found), k=k, walk_factor=walk_factor)
+        board = _keep_best(stay.unionByName(move), k, _union(done))
+    return rank_itineraries(distinct_itineraries(_union(done)), k=k, walk_factor=walk_factor)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _finish(labels: DataFrame, out: DataFrame, factor: float, transfers: int) -> DataFrame:

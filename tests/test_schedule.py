@@ -94,3 +94,25 @@ def test_upsert_replaces_only_its_days(spark, tmp_path):
     sinks.upsert_daily(mk([("2024-01-01", 1), ("2024-01-02", 2)]), p)
     sinks.upsert_daily(mk([("2024-01-02", 9)]), p)
     assert rows(spark.read.parquet(p).select("n"), "n") == [(1,), (9,)]
+
+
+def test_no_call_is_lost(spark):
+    """Repeated sequence numbers, an unreadable departure and a blank number each keep their row where it can serve."""
+    from headway.operators import schedule as S
+    from headway.sources import gtfs
+
+    cols = gtfs.FEED_COLUMNS["stop_times"]
+    rows = [{"trip_id": "t", "arrival_time": a, "departure_time": d, "stop_id": s, "stop_sequence": n}
+            for a, d, s, n in [("08:00:00", "08:00:00", "40001", "1"), ("08:05:00", "08:05:00", "40002", "1"),
+                               ("08:10:00", "late", "40003", "2"), ("08:15:00", "08:15:00", "40004", ""), ("", "x", "40005", "3")]]
+    raw = {n: spark.createDataFrame([], ", ".join(f"{c} string" for c in cs)) for n, cs in gtfs.FEED_COLUMNS.items()}
+    raw["stop_times"] = spark.createDataFrame([[r.get(c, "") for c in cols] for r in rows], ", ".join(f"{c} string" for c in cols))
+    good, bad = gtfs.coerce(raw)
+    st = {r.stop_id: r for r in good["stop_times"].collect()}
+    assert sorted(st) == ["40001", "40002", "40003", "40004"] and bad["stop_times"].count() == 1
+    assert st["40003"].dep_min == 490 and st["40003"].hhmm is None and st["40004"].seq is None
+    trips = spark.createDataFrame([("t", "r", "0", "s", None)], "trip_id string, route_id string, direction_id string, service_id string, headsign string")
+    routes = spark.createDataFrame([("r", "rail")], "route_id string, mode string")
+    stops = spark.createDataFrame([], "stop_id string, kind string, parent_id string")
+    got = S.trip_stops(S.trip_calls(good["stop_times"], trips, routes, stops)).orderBy("pos").collect()
+    assert [(r.stop_id, r.n_stops) for r in got] == [("40001", 3), ("40002", 3), ("40003", 3)]
