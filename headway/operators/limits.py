@@ -62,27 +62,22 @@ class SlidingWindow:
         return n
 
 
-def _chains(requests: DataFrame, limit: Limit, tick_us: int) -> DataFrame:
-    """Requests per (address, tick), cut into chains at idle spells.
+def _chains(requests: DataFrame, limit: Limit) -> DataFrame:
+    """Requests per (address, microsecond), cut into chains at idle spells.
 
     After a pause longer than the longest window nothing accepted before can
-    count, so a chain is decided alone. The rows of a chain are ticks, not
-    requests: combining first bounds a chain however busy the address is.
+    count, so a chain is decided alone. Requests of one instant combine first.
     """
-    at = F.floor(F.col("us") / tick_us) * tick_us
-    ticks = requests.groupBy("ip", at.alias("at")).agg(F.count("*").alias("n"))
+    ticks = requests.groupBy("ip", F.col("us").alias("at")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("ip").orderBy("at")
     cut = F.coalesce((F.col("at") - F.lag("at").over(w) > limit.reach_us).cast("int"), F.lit(1))
     return ticks.withColumn("_cut", cut).withColumn("chain", F.sum("_cut").over(w)).drop("_cut")
 
 
-def rate_limit(requests: DataFrame, limit: Limit, tick_us: int = US) -> DataFrame:
-    """Every request with `allowed`, decided in order of time, then id.
-
-    Times count in whole ticks, a second unless a finer one is asked for.
-    """
+def rate_limit(requests: DataFrame, limit: Limit) -> DataFrame:
+    """Every request with `allowed`, decided in order of time (to the microsecond), then id."""
     r = requests.select("visit_id", "ip", epoch_us(F.col("ts")).alias("us"))
-    chains = _chains(r, limit, tick_us)
+    chains = _chains(r, limit)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rule = None, SlidingWindow(limit)
@@ -97,10 +92,9 @@ def rate_limit(requests: DataFrame, limit: Limit, tick_us: int = US) -> DataFram
     # chains are independent; a sorted pass carries the accepted times of one
     taken = chains.repartition("ip", "chain").sortWithinPartitions("ip", "chain", "at").mapInPandas(
         decide, "ip string, at long, accepted long")
-    at = F.floor(F.col("us") / tick_us) * tick_us
-    order = Window.partitionBy("ip", "at").orderBy("us", "visit_id")
+    order = Window.partitionBy("ip", "at").orderBy("visit_id")
     return (
-        r.withColumn("at", at).join(taken, ["ip", "at"])
+        r.withColumn("at", F.col("us")).join(taken, ["ip", "at"])
         .withColumn("allowed", F.row_number().over(order) <= F.col("accepted"))
         .select("visit_id", "ip", "us", "allowed")
     )

@@ -262,15 +262,14 @@ def parse_forecast(spark, sf_dir):
       WHEN 'rain' THEN CASE intensity WHEN 'heavy' THEN 0.82 WHEN 'moderate' THEN 0.90 ELSE 0.96 END
       WHEN 'snow' THEN CASE intensity WHEN 'heavy' THEN 0.74 WHEN 'moderate' THEN 0.84 ELSE 0.92 END ELSE 1.0 END
       * CASE WHEN gust > 35 THEN 0.90 ELSE 1.0 END * CASE WHEN round(feels, 1) < 0 THEN 0.88 ELSE 1.0 END) AS DOUBLE), 6) AS factor,
-    CASE WHEN hint = '' THEN '' ELSE 'Weight guidance: ' || hint || '.' END AS hint
-    FROM (SELECT *, concat_ws('; ', CASE WHEN round(feels, 1) < 0 THEN 'outdoor exposure heavily prioritized due to dangerous wind chill'
-        WHEN round(feels, 1) < 15 THEN 'outdoor exposure prioritized due to extreme cold' END,
-      CASE WHEN precipitation <> 'none' AND intensity = 'heavy' THEN 'outdoor exposure prioritized due to heavy ' || precipitation END,
-      CASE WHEN gust > 35 THEN 'reliability weighted for high wind gusts (' || CAST(gust AS INTEGER) || ' mph)' END) AS hint FROM v_f WHERE place = 1)""")
+    conditions
+    FROM (SELECT *, concat_ws(',', CASE WHEN round(feels, 1) < 0 THEN 'wind_chill' WHEN round(feels, 1) < 15 THEN 'extreme_cold' END,
+      CASE WHEN precipitation <> 'none' AND intensity = 'heavy' THEN 'heavy_' || precipitation END,
+      CASE WHEN gust > 35 THEN 'high_gusts' END) AS conditions FROM v_f WHERE place = 1)""")
 def walk_factor(spark, sf_dir):
     p = D.parse_forecast(S.forecast_payloads(spark, sf_dir).select("payload_id", "body")).where(F.col("place") == 1)
     c = [F.col(x) for x in ("precipitation", "intensity", "gust_mph", "feels_like_f")]
-    return p.select("payload_id", F.round(W.walk_factor(*c), 6).alias("factor"), W.weather_hint(*c).alias("hint"))
+    return p.select("payload_id", F.round(W.walk_factor(*c), 6).alias("factor"), F.array_join(W.active_conditions(*c), ",").alias("conditions"))
 
 
 @query("forecast_alerts", """SELECT c_custkey AS payload_id, CASE c_custkey % 6 WHEN 0 THEN 'Warning 0' WHEN 1 THEN 'Warning 0,Event 1'

@@ -23,19 +23,35 @@ def stream(spark, sf_dir, name="events"):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
 
 
-@query("rate_limit")
+#: The rule by recursion over each address's requests; the hourly list also takes what the daily quota refuses.
+DECIDED = """WITH RECURSIVE v AS (SELECT event_id AS visit_id, user_id,
+      epoch_us(TIMESTAMP '2024-01-01') + (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 2000 AS us FROM events),
+    q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, visit_id) AS n FROM v),
+    s(user_id, n, visit_id, us, recent, daily, allowed) AS (
+      SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[], false FROM q UNION ALL
+      SELECT user_id, n, visit_id, us, CASE WHEN ok THEN list_append(rec, us) ELSE rec END,
+             CASE WHEN ok AND len(day) < 20 THEN list_append(day, us) ELSE day END, ok AND len(day) < 20
+      FROM (SELECT *, len(rec) < 6 AND len(list_filter(rec, lambda x: us - x <= 60000000)) < 2 AS ok
+            FROM (SELECT q.*, list_filter(recent, lambda x: q.us - x <= 3600000000) AS rec, list_filter(daily, lambda x: q.us - x <= 86400000000) AS day
+                  FROM s JOIN q ON q.user_id = s.user_id AND q.n = s.n + 1)))"""
+ALLOWED = DECIDED + " SELECT visit_id, us, allowed FROM s WHERE n > 0"
+
+
+@query("rate_limit", ALLOWED)
 def rate_limit(spark, sf_dir):
-    return M.rate_limit(S.visits(spark, sf_dir), TIGHT, tick_us=1)
+    return M.rate_limit(S.dense_requests(S.visits(spark, sf_dir)), TIGHT).select("visit_id", "us", "allowed")
 
 
-@query("rate_limit_summary")
+@query("rate_limit_summary", DECIDED + """ SELECT count(*) AS requests, count(*) FILTER (allowed) AS allowed
+    FROM s WHERE n > 0 GROUP BY user_id""")
 def rate_limit_summary(spark, sf_dir):
-    return M.limit_summary(M.rate_limit(S.visits(spark, sf_dir), M.BUCKETS["recommend"]))
+    return M.limit_summary(M.rate_limit(S.dense_requests(S.visits(spark, sf_dir)), TIGHT)).drop("ip")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", ALLOWED)
 def stream_rate_limit(spark, sf_dir):
-    return J.to_table(J.stream_rate_limit(S.visits_from_events(stream(spark, sf_dir)), TIGHT), "limits")
+    dense = S.dense_requests(S.visits_from_events(stream(spark, sf_dir)))
+    return J.to_table(J.stream_rate_limit(dense, TIGHT), "limits").select("visit_id", "us", "allowed")
 
 
 @query("stream_daily_counters", with_views(["v_visits"], """
