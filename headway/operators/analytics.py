@@ -118,7 +118,7 @@ def top_referrer_hosts(hosts: DataFrame, k: int = 10) -> DataFrame:
 
 
 def ip_to_city(visits: DataFrame, networks: DataFrame) -> DataFrame:
-    """Visits per (day, city); addresses outside every network are dropped.
+    """Visits per (day, city) by the narrowest IPv4 network that holds the address; others are dropped.
 
     Visits shrink to one row per (day, address) first. A network is listed
     under every /16 it touches, so the range test becomes an equi-join.
@@ -133,7 +133,9 @@ def ip_to_city(visits: DataFrame, networks: DataFrame) -> DataFrame:
     slabs = F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))
     nets = networks.withColumn("slab", F.explode(slabs))
     hit = F.col("num").between(F.col("start_ip"), F.col("end_ip"))
-    return v.join(nets, "slab").where(hit).groupBy("day", "city").agg(F.sum("n").alias("n"))
+    narrow = F.struct(F.col("end_ip") - F.col("start_ip"), "start_ip", "city")
+    one = v.join(nets, "slab").where(hit).groupBy("day", "ip").agg(F.min_by("city", narrow).alias("city"), F.max("n").alias("n"))
+    return one.groupBy("day", "city").agg(F.sum("n").alias("n"))
 
 
 def city_counts(by_city: DataFrame, floor: int = CITY_FLOOR) -> DataFrame:
