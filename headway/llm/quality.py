@@ -7,7 +7,7 @@ weighted sum is scored. Only document labels are known; passages get their
 weights from training.
 
 The network learns from at most `max_docs` labelled documents of the learning
-folds (by hash of the text, equal texts once, texts of up to `max_chars`
+folds (by hash of the id, equal texts once, texts of up to `max_chars`
 characters); every passage of every document is scored, whatever its length.
 
 Defined results: null and empty texts are one empty passage; repeated rows are
@@ -148,11 +148,12 @@ class GatedAttention:
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "text", max_docs: int = MAX_DOCS,
         max_chars: int = MAX_CHARS) -> GatedAttention:
     """A network trained on the learning folds."""
-    marked = labels.where(F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).join(marked.where("y is not null"), "doc_id").where(
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out).groupBy("doc_id").agg(
+        F.max("quality").alias("y"))
+    # At most max_docs ids, so texts are picked where they are read and never shuffled.
+    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
+    rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).join(chosen, "doc_id").where(
         F.length("text") <= max_chars).withColumn("h", F.xxhash64("text"))
-    chosen = rows.groupBy("h").agg(F.min("doc_id").alias("id")).orderBy("h").limit(max_docs)
-    rows = rows.join(F.broadcast(chosen), (rows["h"] == chosen["h"]) & (rows["doc_id"] == F.col("id")))
 
     def make():
         def run(v: dict) -> list:
@@ -162,9 +163,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "text"
             return [pa.array([flat[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.float64())), v["y"]]
         return run
 
-    got = map_rows(rows.select("text", "y"), make, ["text", "y"], [], {"x": "array<double>", "label": "int"}).toPandas()
+    got = map_rows(rows, make, ["text", "y"], ["doc_id", "h"], {"x": "array<double>", "label": "int"}).toPandas()
+    got = got.sort_values(["h", "doc_id"]).drop_duplicates("h")        # equal texts once
     if not len(got):
-        return GatedAttention()
+        net = GatedAttention()
+        net.p["c"][:] = 0
+        return net
     y = got["label"].to_numpy(np.float64)
     net = GatedAttention(float(np.clip(y.mean(), 0.01, 0.99)))
     if 0 < y.mean() < 1:
