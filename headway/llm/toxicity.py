@@ -15,7 +15,7 @@ document is scored over its whole text.
 
 Defined results: null and empty texts score the classifier's bias; repeated
 rows are scored each; a document with conflicting labels counts as toxic; rows
-with a null doc_id carry no label; without positives every score is 0.
+with a null doc_id carry no label; without positives no score is above 1e-9.
 """
 
 from __future__ import annotations
