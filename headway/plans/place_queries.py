@@ -279,12 +279,13 @@ CACHE = f"""e AS (SELECT ' Elm' || c_custkey || ' St' AS key, 0 AS phase, c_cust
           THEN {NOW} - CAST(regexp_extract(key, '(\\d+)', 1) AS BIGINT) * 5000 END, {NOW} - 30 * 86400), {NOW} - 86400), {NOW} - 60 * 86400) AS fetched_at
       FROM k WHERE state <> 'malformed'),
     r AS (SELECT query, CASE WHEN arg_max(state, first_seen) = 'positive' THEN CAST('41.' || arg_max(d, first_seen) AS DOUBLE) END AS lat,
+        CASE WHEN arg_max(state, first_seen) = 'positive' THEN CAST('-87.' || arg_max(d, first_seen) AS DOUBLE) END AS lon,
         CAST(arg_max(fetched_at, first_seen) AS BIGINT) AS fetched_at, count(*) - 1 AS collisions FROM c GROUP BY 1)"""
 
 
 @query("replay_cache", f"WITH {CACHE} SELECT * FROM r")
 def replay_cache(spark, sf_dir):
-    return C.replay_cache(*cache_parts(spark, sf_dir), now=NOW).drop("lon")
+    return C.replay_cache(*cache_parts(spark, sf_dir), now=NOW)
 
 
 @query("replay_summary", f"""WITH {CACHE} SELECT count(*) AS keys, count(CASE WHEN state = 'positive' THEN 1 END) AS positive,

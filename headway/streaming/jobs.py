@@ -75,11 +75,14 @@ def stream_daily_counters(visits: DataFrame, path: str, checkpoint: str, delay:
 
 
 def daily_visitors(visits: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Each (local day, address) once: the exact daily-active count is a count of rows."""
-    v = visits.where(F.col("path").isin(VISIT_PATHS)).withColumn("at", F.col("ts").cast("timestamp"))
-    v = v.withWatermark("at", delay).select(
-        local_date(F.col("ts")).alias("day"), "ip", F.window("at", "1 day").alias("slot"))
-    return v.dropDuplicates(["slot", "day", "ip"]).select("day", "ip")
+    """Each (local day, address) once: the exact daily-active count is a count of rows.
+
+    The local day is the event time, so its keys are kept until a day that
+    begins more than `delay` after its end has been seen.
+    """
+    v = visits.where(F.col("path").isin(VISIT_PATHS)).select(local_date(F.col("ts")).alias("day"), "ip")
+    v = v.withColumn("at", F.col("day").cast("timestamp")).withWatermark("at", f"1 day {delay}")
+    return v.dropDuplicates(["at", "ip"]).select("day", "ip")
 
 
 # --- sessions and retention -----------------------------------------------------------
