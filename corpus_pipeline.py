@@ -11,12 +11,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import byte_bpe, decontamination, secrets
+from headway.llm import byte_bpe, decontamination, jaccard, secrets, toxicity
 from headway.llm.common import read
 from headway.llm.queries import VOCABULARY
 from headway.session import save_table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose whole text scores as toxic go. The classifier sees no label of the held-out fold."""
+    held_out = toxicity.fold(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"), held_out)
+    scored = toxicity.score(docs, model, docs.columns)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by similar shingle sets the one with the least id stays."""
+    return jaccard.one_of_each(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +49,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
     ("benchmark_decontamination", decontaminate),
     ("secret_scans", scan_secrets),
     ("byte_level_bpe", tokenize),
