@@ -21,7 +21,7 @@ SLICE_CHARS = 2_000_000
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
     "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
-    "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
+    "array<tinyint>": pa.list_(pa.int8()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
     "array<struct<start:int,end:int>>": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
 }
 

@@ -31,13 +31,17 @@ from pyspark.sql import functions as F
 
 from ..operators.streets import components
 from ..session import save_table
-from .common import LOWER, gram_hashes, map_rows, mix, utf8, word_hashes
+from .common import LOWER, explode_rows, gram_hashes, map_rows, mix, utf8, word_hashes
 
 SHINGLE = 5
 #: Documents per token beyond which it counts as frequent.
 FREQUENT = 64
-#: Set sizes per extra shared token that the extended prefix asks for.
-PER_EXTRA = 25
+#: Extra shared tokens that the extended prefix asks for: one per SMALL of a small set, beyond BASE one per LARGE.
+SMALL, BASE, LARGE = 6, 8, 25
+#: Rounds in which candidates without enough shared tokens among candidates are dropped.
+PRUNINGS = 2
+#: Buckets of the two histograms that are compared before whole sets are.
+BUCKETS, FINE = 64, 256
 
 
 def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
@@ -56,9 +60,14 @@ def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def text_hash(text: str) -> Column:
+    """Hash of a text; null is an empty text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def extra(n):
     """Tokens that the extended prefixes of two sets are sure to share; `n` is the smaller size."""
-    return 1 + n // PER_EXTRA
+    return 1 + min(n // SMALL, BASE + n // LARGE)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -72,25 +81,36 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(x).view(np.int64)[0])
 
 
-def folded(docs: DataFrame, percent: int, k: int, text: str = "text") -> DataFrame:
-    """doc_id, sid, n and the prefix of each document; copies met again in a task leave theirs out."""
+def folded(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """doc_id, h, sid and n of each document."""
+    def make():
+        def run(v: dict) -> list:
+            sets = shingle_sets(v[text], k)
+            return [[set_id(s) for s in sets], [len(s) for s in sets]]
+        return run
+
+    return map_rows(docs, make, [text], ["doc_id", "h"], {"sid": "long", "n": "int"}, text)
+
+
+def prefix_tokens(docs: DataFrame, percent: int, k: int, text: str = "text") -> DataFrame:
+    """token and sid for each token of each extended prefix; sets met again in a task are left out."""
     def make():
         seen: set[int] = set()
 
         def run(v: dict) -> list:
-            ids, sizes, prefixes = [], [], []
+            tokens, sids, sizes = [np.zeros(0, np.uint64)], [], []
             for s in shingle_sets(v[text], k):
-                i = set_id(s)
-                ids.append(i)
-                sizes.append(len(s))
-                prefixes.append(None if i in seen else s[:prefix_length(len(s), percent)].view(np.int64))
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(i)
-            return [ids, sizes, prefixes]
+                if len(s) and (i := set_id(s)) not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(i)
+                    tokens.append(s[:prefix_length(len(s), percent)])
+                    sids.append(i)
+                    sizes.append(len(tokens[-1]))
+            return [np.concatenate(tokens).view(np.int64), np.repeat(np.array(sids, np.int64), sizes)]
         return run
 
-    return map_rows(docs, make, [text], ["doc_id"], {"sid": "long", "n": "int", "prefix": "array<long>"}, text)
+    return explode_rows(docs, make, [text], {"token": "long", "sid": "long"}, text)
 
 
 def groups_of(n: int) -> int:
@@ -137,60 +157,128 @@ def _index(candidates: DataFrame, percent: int) -> DataFrame:
     return candidates.select("sid", "n", "rare", "frequent").mapInArrow(run, "key long, sid long, n int")
 
 
+def _extra(n: Column) -> Column:
+    """`extra` as a column."""
+    return 1 + F.least(F.floor(n / SMALL), BASE + F.floor(n / LARGE))
+
+
+def _least(percent: int) -> Column:
+    """Prefix tokens that a set of n must share with any partner, the smallest included."""
+    return _extra(F.ceil(F.col("n") * percent / 100))
+
+
+def _band(percent: int) -> Column:
+    """Sizes fall into bands as wide as the threshold allows: a partner's band is the own or a neighbour."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")
+
+
+def _pruned(candidates: DataFrame, percent: int) -> DataFrame:
+    """Drops tokens that no other candidate of a possible size has, then candidates that keep too few."""
+    rows = candidates.select("sid", "rep", "n", _band(percent).alias("band"), F.inline("shared"))
+    seen = rows.groupBy("token", "band").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+    near = seen.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "lo", "hi")
+    near = near.groupBy("token", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
+    kept = rows.join(near.select("token", "band"), ["token", "band"], "left_semi")
+    return kept.groupBy("sid", "rep", "n").agg(F.collect_list(F.struct("token", "often")).alias("shared")).where(
+        F.size("shared") >= _least(percent))
+
+
 def _near_size(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def histogram(s: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """Tokens of a set by hash bucket, at most 127 each."""
+    return np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 127).astype(np.int8)
+
+
+def _close(x: Column, y: Column, n: Column, percent: int) -> Column:
+    """Whether histograms still allow the similarity of sets that have n tokens together.
+
+    Histograms differ by no more than the sets do, and with similarity t
+    n(1 - t) / (1 + t) tokens are in one set only.
+    """
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, d: a + d)
+    return apart * (100 + percent) <= n * (100 - percent)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
+    """The pairs (u, v) whose sets are similar enough; sets travel only for pairs with close histograms."""
+    a = sets.select(F.col("sid").alias("u"), F.col("fine").alias("x"), F.size("tokens").alias("nx"))
+    b = sets.select(F.col("sid").alias("v"), F.col("fine").alias("y"), F.size("tokens").alias("ny"))
+    close = pairs.join(a, "u").join(b, "v").where(
+        _close(F.col("x"), F.col("y"), F.col("nx") + F.col("ny"), percent)).select("u", "v")
     a = sets.select(F.col("sid").alias("u"), F.col("tokens").alias("x"))
     b = sets.select(F.col("sid").alias("v"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "u").join(b, "v").where(
+    return close.join(a, "u").join(b, "v").where(
         100 * both >= percent * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that share a hub and may be similar, each once.
+
+    `members`: hub, sid, n, hist, fine, component. Whatever shares an index entry
+    shares its hub; a pair is met once per hub, not once per entry, and only
+    with sizes and histograms that allow the similarity.
+    """
+    mixed = members.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
+    rows = members.join(mixed.select("hub"), "hub", "left_semi").withColumn("band", _band(percent))
+    left = rows.select("hub", "band", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"),
+                       F.col("hist").alias("x"), F.col("fine").alias("fx"))
+    right = rows.select("hub", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("sid").alias("v"),
+                        F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("hist").alias("y"), F.col("fine").alias("fy"))
+    return left.join(right, ["hub", "band"]).where(
+        (F.col("cu") != F.col("cv")) & (F.col("u") < F.col("v")) & _near_size(F.col("nu"), F.col("nv"), percent)
+        & _close(F.col("x"), F.col("y"), F.col("nu") + F.col("nv"), percent)
+        & _close(F.col("fx"), F.col("fy"), F.col("nu") + F.col("nv"), percent)).select("u", "v").distinct()
+
+
 def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id, the least doc_id reachable over links."""
-    docs = docs.select("doc_id", text)
-    fold = save_table(folded(docs, percent, k, text), "jaccard-sets")
+    """doc_id, h (hash of the text), n_shingles and component_id, the least doc_id reachable over links."""
+    docs = docs.select("doc_id", text, text_hash(text).alias("h"))
+    fold = save_table(folded(docs, k, text), "jaccard-sets")
     sets = fold.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    rows = fold.where("n > 0").select("sid", F.explode("prefix").alias("token"))
+    rows = prefix_tokens(docs, percent, k, text)
 
     # Tokens of at least two sets; the counts combine before the shuffle.
     live = rows.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("df"))
     live = live.where("lo != hi").select("token", (F.col("df") > FREQUENT).alias("often"))
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / PER_EXTRA)
-    candidates = rows.join(live, "token").groupBy("sid").agg(
-        F.collect_set(F.when(~F.col("often"), F.col("token"))).alias("rare"),
-        F.collect_set(F.when(F.col("often"), F.col("token"))).alias("frequent"))
-    candidates = save_table(
-        candidates.join(sets, "sid").where(F.size("rare") + F.size("frequent") >= least), "jaccard-candidates")
+    shared = rows.join(live, "token").groupBy("sid").agg(F.collect_set(F.struct("token", "often")).alias("shared"))
+    candidates = save_table(shared.join(sets, "sid").where(F.size("shared") >= _least(percent)), "jaccard-candidates")
+    for _ in range(PRUNINGS):
+        candidates = save_table(_pruned(candidates, percent), "jaccard-candidates")
+
+    def of(often: bool) -> Column:
+        return F.transform(F.filter("shared", lambda x: x["often"] == often), lambda x: x["token"])
+
+    candidates = candidates.select("sid", "rep", "n", of(False).alias("rare"), of(True).alias("frequent"))
 
     chosen = candidates.select("rep", "sid").distinct()
-    full = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["rep"]))
+    full = docs.drop("h").join(chosen, docs["doc_id"].eqNullSafe(chosen["rep"]))
 
     def tokens():
         def run(v: dict) -> list:
             found = shingle_sets(v[text], k)
             # An id may be repeated with another text; only the text the set came from counts.
             return [[i if set_id(s) == i else None for i, s in zip(v["sid"], found, strict=True)],
-                    [s.view(np.int64) for s in found]]
+                    [s.view(np.int64) for s in found], [histogram(s) for s in found], [histogram(s, FINE) for s in found]]
         return run
 
-    full = map_rows(full, tokens, [text, "sid"], [], {"sid": "long", "tokens": "array<long>"}, text)
-    full = save_table(full.where("sid is not null").dropDuplicates(["sid"]), "jaccard-tokens")
+    full = map_rows(full, tokens, [text, "sid"], [], {"sid": "long", "tokens": "array<long>", "hist": "array<tinyint>", "fine": "array<tinyint>"}, text)
+    full = save_table(full.where("sid is not null"), "jaccard-tokens")
 
     index = _index(candidates, percent)
-    shared = index.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("hi"), F.min_by("n", "sid").alias("hub_n"))
-    index = save_table(index.join(shared.where("hub != hi"), "key"), "jaccard-index")
+    hubs = index.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("hi"), F.min_by("n", "sid").alias("hub_n"))
+    star = index.join(hubs.where("hub != hi"), "key").where("sid != hub").groupBy("hub", "sid").agg(
+        F.count("*").alias("c"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
+    star = save_table(star, "jaccard-hubs")
 
     # First every set against the hub it shares most entries with, then against its other hubs,
-    # then whatever still shares an entry across components.
-    star = index.where("sid != hub").where(_near_size(F.col("n"), F.col("hub_n"), percent)).groupBy(
-        F.col("hub").alias("u"), F.col("sid").alias("v")).agg(F.count("*").alias("c"))
-    star = save_table(star, "jaccard-hubs")
-    best = star.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
+    # then whatever is still in different components but shares a hub.
+    possible = star.where(_near_size(F.col("n"), F.col("hub_n"), percent)).select(
+        F.col("hub").alias("u"), F.col("sid").alias("v"), "c")
+    best = possible.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
     links = save_table(verified(best, full, percent), "jaccard-links")
     nodes = candidates.select(F.col("sid").alias("node"))
 
@@ -200,20 +288,14 @@ def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, tex
         return pairs.join(a, "u").join(b, "v").where("cu != cv").select("u", "v")
 
     label = save_table(components(links, nodes), "jaccard-components")
-    rest = apart(star.select("u", "v"), label).join(best, ["u", "v"], "left_anti")
-    more = save_table(verified(rest, full, percent), "jaccard-links")
-    links = links.unionByName(more)
+    rest = apart(possible.select("u", "v"), label).join(best, ["u", "v"], "left_anti")
+    links = links.unionByName(save_table(verified(rest, full, percent), "jaccard-links"))
     label = save_table(components(links, nodes), "jaccard-components")
 
-    named = index.select("key", "sid", "n").join(label.withColumnRenamed("node", "sid"), "sid")
-    mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
-    named = named.join(mixed.select("key"), "key", "left_semi")
-    left = named.select("key", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    right = named.select("key", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    rest = left.join(right, "key").where((F.col("cu") != F.col("cv")) & (F.col("u") < F.col("v"))).where(
-        _near_size(F.col("nu"), F.col("nv"), percent)).select("u", "v").distinct()
-    rest = rest.join(star.select("u", "v"), ["u", "v"], "left_anti")
-    links = links.unionByName(verified(rest, full, percent))
+    members = star.select("hub", "sid", "n").unionByName(star.select("hub", F.col("hub").alias("sid"), F.col("hub_n").alias("n")).distinct())
+    members = members.join(label.withColumnRenamed("node", "sid"), "sid").join(full.select("sid", "hist", "fine"), "sid")
+    rest = across(members, percent).join(possible.select("u", "v"), ["u", "v"], "left_anti")
+    links = links.unionByName(save_table(verified(rest, full, percent), "jaccard-links"))
     label = components(links, nodes)
 
     # Names of components: the least doc_id of any member's copies.
@@ -221,10 +303,28 @@ def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, tex
     names = label.join(name, "component").select(F.col("node").alias("sid"), "name")
     copies = sets.select("sid", "rep").join(names, "sid", "left")
     return fold.join(copies, "sid", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        "doc_id", "h", F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("name", "rep", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 80, k: int = SHINGLE, text: str = "text") -> DataFrame:
+    """The rows of `docs` without near duplicates: of each component the document with the least id.
+
+    Of texts with the same id in one component the one with the least hash
+    stays, of repeated rows one; components of null ids keep one row each text.
+    """
+    rows = save_table(similar_components(docs, percent, k, text).select("doc_id", "h", "component_id"), "jaccard-kept")
+    named = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("h").alias("h"))
+    unnamed = rows.where("doc_id is null and component_id is null").select("doc_id", "h").distinct()
+    stay = named.unionByName(unnamed).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    kept = docs.withColumn("__hash", text_hash(text))
+    kept = kept.join(stay, kept["doc_id"].eqNullSafe(F.col("__id")) & (kept["__hash"] == F.col("__h")), "left_semi")
+    # Repeated rows are rare; only where there are any are the texts shuffled once more.
+    if rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "__hash"])
+    return kept.drop("__hash")
+
+
 def op8_jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document with the size of its set and its component."""
-    return similar_components(docs)
+    return similar_components(docs).drop("h")
