@@ -38,6 +38,8 @@ SHINGLE = 5
 FREQUENT = 64
 #: Extra shared tokens that the extended prefix asks for: one per SMALL of a small set, beyond BASE one per LARGE.
 SMALL, BASE, LARGE = 6, 8, 25
+#: Rows of two numbers up to which the documents to drop are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Rounds in which candidates without enough shared tokens among candidates are dropped.
 PRUNINGS = 2
 #: Buckets of the two histograms that are compared before whole sets are.
@@ -317,8 +319,13 @@ def one_of_each(docs: DataFrame, percent: int = 80, k: int = SHINGLE, text: str
     named = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("h").alias("h"))
     unnamed = rows.where("doc_id is null and component_id is null").select("doc_id", "h").distinct()
     stay = named.unionByName(unnamed).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    every = rows.select("doc_id", "h").distinct()
+    gone = every.join(stay, every["doc_id"].eqNullSafe(F.col("__id")) & (every["h"] == F.col("__h")), "left_anti")
+    gone = save_table(gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "jaccard-gone")
+    if gone.count() <= BROADCAST_ROWS:      # then texts need no shuffle
+        gone = F.broadcast(gone)
     kept = docs.withColumn("__hash", text_hash(text))
-    kept = kept.join(stay, kept["doc_id"].eqNullSafe(F.col("__id")) & (kept["__hash"] == F.col("__h")), "left_semi")
+    kept = kept.join(gone, kept["doc_id"].eqNullSafe(F.col("__id")) & (kept["__hash"] == F.col("__h")), "left_anti")
     # Repeated rows are rare; only where there are any are the texts shuffled once more.
     if rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "__hash"])
