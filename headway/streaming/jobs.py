@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -24,6 +24,9 @@ from .state import FirstVisit, RateLimiter, TripTracker
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: What a prediction is about.
+PREDICTED = ["mode", "line_code", "stop_id", "destination"]
+
 
 def keyed_state(df: DataFrame) -> None:
     """Large keyed state lives in RocksDB, checkpointed to the shared folder."""
@@ -135,23 +138,38 @@ def stream_rate_limit(requests: DataFrame, limit: Limit, delay: str = "1 minute"
 
 
 def latest_predictions(arrivals: DataFrame, stale: str = "30 seconds") -> DataFrame:
-    """Newest prediction per (mode, line, stop, destination) and 30-second slot."""
+    """Newest prediction per (mode, line, stop, destination) and 30-second slot; of one instant, the soonest."""
     a = arrivals.withColumn("at", F.col("fetched_at").cast("timestamp")).withWatermark("at", stale)
-    return a.groupBy(F.window("at", stale), "mode", "line_code", "stop_id", "destination").agg(
-        F.max_by("minutes", "at").alias("minutes")).select(
-        F.col("window.start").alias("slot"), "mode", "line_code", "stop_id", "destination", "minutes")
+    return a.groupBy(F.window("at", stale), *PREDICTED).agg(
+        F.max_by("minutes", F.struct("at", -F.col("minutes"))).alias("minutes"), F.max("at").alias("at")).select(
+        F.col("window.start").alias("slot"), *PREDICTED, "minutes", "at")
 
 
 def stream_stop_board(arrivals: DataFrame, pinned: DataFrame, path: str, checkpoint: str,
                       stale: str = "30 seconds") -> None:
-    """Keep the boards of the pinned stops current: the newest slot of each batch."""
-    def publish(batch: DataFrame, _: int) -> None:
-        newest = batch.agg(F.max("slot")).first()[0]
-        if newest is not None:
-            board = stop_board(batch.where(F.col("slot") == F.lit(newest)), pinned)
-            upsert_daily(board.withColumn("slot", F.lit(newest)), path, "slot")
-
-    run_available(latest_predictions(arrivals, stale).writeStream.outputMode("update").foreachBatch(publish), checkpoint)
+    """Keep one board of the pinned stops current, whatever order predictions come in.
+
+    The newest prediction per (mode, line, stop, destination) goes from batch
+    to batch, in two folders by turns, so that a repeated batch merges the same
+    rows. It is shown until the newest time seen is `stale` past its own time;
+    what the watermark drops is older than that.
+    """
+    newest = latest_predictions(arrivals, stale).drop("slot")
+
+    def live(spark: SparkSession, n: int) -> DataFrame:
+        rows = spark.read.schema(newest.schema).parquet(f"{path}-latest/{n % 2}")
+        clock = rows.agg(F.max(F.unix_micros("at"))).first()[0]
+        return rows.where(F.col("at") > F.timestamp_micros(F.lit(clock).cast("long")) - F.expr(f"INTERVAL {stale}"))
+
+    def publish(batch: DataFrame, n: int) -> None:
+        spark, rows = batch.sparkSession, batch
+        if n:
+            rows = rows.unionByName(live(spark, n - 1))
+        rows = rows.groupBy(*PREDICTED).agg(F.max_by(F.struct("minutes", "at"), F.struct("at", -F.col("minutes"))).alias("p"))
+        rows.select(*PREDICTED, "p.*").write.mode("overwrite").parquet(f"{path}-latest/{n % 2}")
+        stop_board(live(spark, n), pinned).write.mode("overwrite").parquet(path)
+
+    run_available(newest.writeStream.outputMode("update").foreachBatch(publish), checkpoint)
 
 
 def stream_alerts(alerts: DataFrame, refresh: str = "5 minutes") -> DataFrame:
