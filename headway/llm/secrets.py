@@ -4,7 +4,8 @@ The rules (assignments, access keys, long hexadecimal runs) always stand. The
 entropy scan walks every candidate string with a window, keeps the counts of
 its characters up to date as it slides, and reports the union of windows whose
 Shannon entropy passes the limit of the candidate's character class, unless
-the allow-list suppresses it.
+the allow-list suppresses it. What a rule span covers of such a stretch is
+reported by the rule, the rest of it as entropy.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned
 each; positions are code points, ends exclusive.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
 #: Least entropy in bits per character of a window, by character class of the candidate.
 LIMITS = {"hex": 3.0, "upper_digit": 3.4, "lower_digit": 3.4, "mixed": 3.8}
 WINDOW = 20
+SEPARATORS = "+/_=-"
 #: Strings that look random but are public: placeholders, well-known examples, ordered alphabets.
 ALLOWED = [re.compile(p) for p in (
     "(?i)example|sample|dummy|placeholder|changeme|xxxx+", "(?i)abcdefgh|01234567|12345678",
@@ -101,10 +104,34 @@ def entropy_spans(text: str, allowed: list[re.Pattern] | None = None) -> list[tu
     return out
 
 
+def outside(spans: list[tuple[int, int]], base: list[tuple[int, int, int]], text: str) -> list[tuple[int, int]]:
+    """What the rule spans leave of ordered spans; where one is cut, separators at the ends of the pieces go."""
+    out, first = [], 0
+    reach = list(accumulate((e for _, _, e in base), max))      # so that spans long past are skipped for good
+    for a, b in spans:
+        while first < len(base) and reach[first] <= a:
+            first += 1
+        at, i, pieces = a, first, []
+        while i < len(base) and base[i][0] < b:
+            pieces.append((at, base[i][0]))
+            at = max(at, base[i][2])
+            i += 1
+        pieces.append((at, b))
+        if at == a:
+            out.append((a, b))
+            continue
+        for s, e in pieces:
+            piece = text[s:e]
+            s += len(piece) - len(piece.lstrip(SEPARATORS))
+            if s < e:
+                out.append((s, s + len(piece.strip(SEPARATORS))))
+    return out
+
+
 def scan(text: str, allowed: list[re.Pattern] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Rule spans, and all spans: entropy spans are added where no rule span overlaps."""
+    """Rule spans, and all spans: of entropy spans what lies outside the rule spans is added."""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in entropy_spans(text, allowed) if not any(a < e and s < b for s, _, e in base)]
+    more = [(a, 3, b) for a, b in outside(entropy_spans(text, allowed), base, text)]
     return base, sorted(base + more)
 
 

@@ -55,3 +55,19 @@ def test_rows(make_docs):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in base) for j in range(3)]
         assert set(S.written(base).split(",")) <= set(r.spans.split(",")) | {""}
     assert S.op4_secrets(make_docs([])).count() == 0
+
+
+def test_rest_of_an_entropy_span_beside_a_rule_stays():
+    key, secret = "Xy7kQ9zLm2Np4Rs8TvWb3C", "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ3tH8sLk0Vd"
+    access = "AKIA" + "Q7W2E9R4T1Y6U3I8"
+    hexa = TOKEN[:32]
+    for text in (f"{key}-{hexa}", f"{hexa}-{key}", f"{access}/{secret}", f"{key}/{hexa}/{secret}", f"{key}-{hexa}_{access}={secret}"):
+        base, spans = S.scan(f"see {text} end")
+        assert base == plain(f"see {text} end") and set(base) <= set(spans)
+        got = [f"see {text} end"[a:b] for a, k, b in spans if k == 3]
+        want = [x for x in (key, secret) if x in text]
+        assert [w in g for w, g in zip(want, got, strict=True)] == [True] * len(want), (text, spans)
+        assert not any(part in S.redact(f"see {text} end", spans) for part in (key, secret, hexa, access))
+        found = set().union(*(range(a, b) for a, b in S.entropy_spans(f"see {text} end")))
+        kept = set().union(*(range(a, b) for a, _, b in spans))
+        assert all(f"see {text} end"[i] in S.SEPARATORS for i in found - kept)
