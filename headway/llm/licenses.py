@@ -3,9 +3,10 @@
 A sparse logistic regression over word uni- and bigrams (elastic net) tells
 licence families from ordinary paragraphs. It learns from the templates below,
 thinned and set into corpus text, and from at most MAX_UNKNOWN corpus
-paragraphs (by hash) as the unknown class. A third of those is held back: the
+paragraphs (by hash) as the unknown class, a third of which is held back. The
 probability a licence must reach is set so that at most one in a thousand of
-them would pass. What passes is confirmed by comparison with the templates of
+all distinct paragraphs of the corpus would pass, not counting those learned
+from and those that match a template. What passes is confirmed by comparison with the templates of
 the predicted family. Every paragraph (line with a visible character) of every
 whole text is judged inside its row: no shuffle, no Python.
 
@@ -81,11 +82,11 @@ TEMPLATES = {
 }
 FAMILIES = list(TEMPLATES)
 
-#: Corpus paragraphs the unknown class is learned from and calibrated on; variants made of each template.
+#: Corpus paragraphs the unknown class is learned from, with the third held back; variants made of each template.
 MAX_UNKNOWN, VARIANTS = 4_500, 30
 #: Share of a template's n-grams that a paragraph must hold to be confirmed, or to be kept out of the unknown class.
 CONFIRM = 0.6
-#: Share of held-back ordinary paragraphs that may pass as licences, before confirmation.
+#: Share of all ordinary paragraphs not learned from that may pass as licences, before confirmation.
 PASSING = 0.001
 
 
@@ -177,8 +178,9 @@ def fit(docs: DataFrame, text: str = "text") -> LicenseModel:
     spark = docs.sparkSession
     known = [{"label": r.label, "grams": list(r.grams)} for r in templates(spark).sort("label", "number").collect()]
     vocab = sorted({g for k in known for g in k["grams"]})
-    lines = docs.select(F.explode(paragraphs(F.col(text))).alias("p")).groupBy(F.xxhash64("p").alias("h")).agg(F.min("p").alias("p"))
-    sample = lines.orderBy("h").limit(MAX_UNKNOWN).select("h", words_of(F.col("p")).alias("words"))
+    every = docs.select(F.explode(paragraphs(F.col(text))).alias("p")).select("p", F.xxhash64("p").alias("h"))
+    least = every.select("h").distinct().orderBy("h").limit(MAX_UNKNOWN)      # hashes are shuffled, texts are not
+    sample = every.join(least, "h").groupBy("h").agg(F.min("p").alias("p")).select("h", words_of(F.col("p")).alias("words"))
     sample = sample.withColumn("grams", grams_of(F.col("words")))
     other = sample.where(likest(F.col("grams"), _constant(known, "array<struct<label:int,grams:array<bigint>>>")) < CONFIRM)
     other = other.withColumn("number", F.row_number().over(Window.orderBy("h")))      # MAX_UNKNOWN rows at most
@@ -204,12 +206,27 @@ def fit(docs: DataFrame, text: str = "text") -> LicenseModel:
     w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     weights = {g: [float(x) for x in w[:, i]] for i, g in enumerate(vocab) if w[:, i].any()}
     out = LicenseModel(weights, [float(x) for x in b], 0.5, known)
-    top = F.array_max(F.slice(out.probabilities(F.col("grams")), 2, len(FAMILIES)))
-    limit = other.where("held").agg(F.percentile_approx(F.coalesce(top, F.lit(0.0)), 1 - PASSING, 10_000)).first()[0]
+    tops = ordinary(every, out).join(other.where("not held").select("h"), "h", "left_anti")
+    limit = tops.agg(F.percentile_approx("top", 1 - PASSING, 10_000)).first()[0]
     out.limit = max(0.5, limit or 0.0)
     return out
 
 
+def ordinary(lines: DataFrame, model: LicenseModel) -> DataFrame:
+    """h and largest family probability of each distinct line (p, h) that matches no template; only these are shuffled.
+
+    Templates are compared from a probability of a half: no limit lies below.
+    """
+    known = _constant(model.known, "array<struct<label:int,grams:array<bigint>>>")
+
+    def judged(grams: Column) -> Column:
+        top = F.coalesce(F.array_max(F.slice(model.probabilities(grams), 2, len(FAMILIES))), F.lit(0.0))
+        return let(top, lambda t: F.when((t < 0.5) | (likest(grams, known) < CONFIRM), t))
+
+    tops = lines.select("h", let(grams_of(words_of(F.col("p"))), judged).alias("top"))
+    return tops.where("top is not null").groupBy("h").agg(F.max("top").alias("top"))
+
+
 def scan_licenses(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """`carry` columns with n_paragraphs and found: paragraph number, family, p and match of predicted licences."""
     model = fit(docs, text)

@@ -1,3 +1,8 @@
+import bisect
+import math
+
+from pyspark.sql import functions as F
+
 from headway.llm import licenses as L
 
 DIR = "/root/testdata/sf0.01"
@@ -30,3 +35,33 @@ def test_families(spark, make_docs):
 
 def test_learns_without_a_corpus(make_docs):
     assert [r.n_paragraphs for r in L.op9_licenses(make_docs([None, ""])).collect()] == [0, 0]
+
+
+def test_limit_is_taken_from_all_paragraphs(spark, make_docs, prose, monkeypatch):
+    """Two licence-like lines among those held back from the sample do not set the limit of 3,000."""
+    monkeypatch.setattr(L, "MAX_UNKNOWN", 300)
+
+    def hashed(lines):
+        df = spark.createDataFrame([(x,) for x in lines], "p string")
+        return sorted((r.h, r.p) for r in df.select("p", F.xxhash64("p").alias("h")).collect())
+
+    plain = hashed(prose(15, i) for i in range(3_000))
+    least, planted = [h for h, _ in plain], []
+    for h, line in hashed(f"Licensed under the terms agreed in town {i}." for i in range(3_000)):
+        at = bisect.bisect(least, h)
+        if len(planted) < 2 and (at + 1) % 3 == 0:
+            planted.append(line)
+            least.insert(at, h)
+            last = at
+    assert last < 300
+    lines = [p for _, p in plain] + planted
+    model = L.fit(make_docs(["\n".join(lines[i:i + 60]) for i in range(0, len(lines), 60)] + lines[:500]))
+    known = L._constant(model.known, "array<struct<label:int,grams:array<bigint>>>")
+    grams = L.grams_of(L.words_of(F.col("p")))
+    top = F.coalesce(F.array_max(F.slice(model.probabilities(grams), 2, len(L.FAMILIES))), F.lit(0.0))
+    rows = spark.createDataFrame([(x,) for x in lines], "p string").select(
+        "p", F.xxhash64("p").alias("h"), top.alias("top"), L.likest(grams, known).alias("match")).sort("h").collect()
+    assert all(r.match < L.CONFIRM for r in rows)
+    rest = sorted(r.top for i, r in enumerate(rows, 1) if i > 300 or i % 3 == 0)
+    assert model.limit == max(0.5, rest[math.ceil(0.999 * len(rest)) - 1])
+    assert model.limit < min(r.top for r in rows if r.p in planted)
