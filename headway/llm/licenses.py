@@ -224,7 +224,8 @@ def ordinary(lines: DataFrame, model: LicenseModel) -> DataFrame:
         return let(top, lambda t: F.when((t < 0.5) | (likest(grams, known) < CONFIRM), t))
 
     tops = lines.select("h", let(grams_of(words_of(F.col("p"))), judged).alias("top"))
-    return tops.where("top is not null").groupBy("h").agg(F.max("top").alias("top"))
+    # No filter on the result: it would be evaluated a second time for it, and max skips nulls.
+    return tops.groupBy("h").agg(F.max("top").alias("top"))
 
 
 def scan_licenses(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
