@@ -3,9 +3,10 @@
 The rules (assignments, access keys, long hexadecimal runs) always stand. The
 entropy scan walks every candidate string with a window, keeps the counts of
 its characters up to date as it slides, and reports the union of windows whose
-Shannon entropy passes the limit of the candidate's character class, unless
-the allow-list suppresses it. What a rule span covers of such a stretch is
-reported by the rule, the rest of it as entropy.
+Shannon entropy passes the limit of its character class. The allow-list takes
+out of a candidate the parts (between separators) that it matches, no more;
+what is left on either side is scanned. What a rule span covers of a dense
+stretch is reported by the rule, the rest of it as entropy.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned
 each; positions are code points, ends exclusive.
@@ -32,13 +33,15 @@ HEX = re.compile("[0-9a-f]{24,}")       # maximal runs of 24 or more are all the
 KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
-#: Least entropy in bits per character of a window, by character class of the candidate.
-LIMITS = {"hex": 3.0, "upper_digit": 3.4, "lower_digit": 3.4, "mixed": 3.8}
+#: Least entropy in bits per character of a window, by character class of the fragment. Words without
+#: digits reach more than random hex does, so letters alone must be nearly all different.
+LIMITS = {"hex": 3.0, "upper_digit": 3.4, "lower_digit": 3.4, "mixed": 3.8, "letters": 4.0, "one_case": 4.1}
 WINDOW = 20
 SEPARATORS = "+/_=-"
-#: Strings that look random but are public: placeholders, well-known examples, ordered alphabets.
+#: Parts that look random but are public: placeholders, well-known examples, ordered alphabets.
 ALLOWED = [re.compile(p) for p in (
     "(?i)example|sample|dummy|placeholder|changeme|xxxx+", "(?i)abcdefgh|01234567|12345678",
+    "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")]
 
 
@@ -55,11 +58,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def char_class(s: str) -> str | None:
-    """The class whose limit applies; None for strings that cannot be random keys."""
+    """The class whose limit applies; None for strings without letters."""
     digit = any(c.isdigit() for c in s)
     lower, upper = any("a" <= c <= "z" for c in s), any("A" <= c <= "Z" for c in s)
-    if not digit or not (lower or upper):
+    if not (lower or upper):
         return None
+    if not digit:
+        return "letters" if lower and upper else "one_case"
     if all(c in "0123456789abcdef" for c in s) or all(c in "0123456789ABCDEF" for c in s):
         return "hex"
     return "mixed" if lower and upper else "lower_digit" if lower else "upper_digit"
@@ -92,15 +97,30 @@ def dense_windows(s: str, limit: float, window: int = WINDOW) -> list[tuple[int,
 
 
 def entropy_spans(text: str, allowed: list[re.Pattern] | None = None) -> list[tuple[int, int]]:
-    """(start, end) of high-entropy stretches of candidate strings that no allow rule covers."""
+    """(start, end) of high-entropy stretches of what the allow rules leave of candidate strings."""
     allowed = ALLOWED if allowed is None else allowed
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        kind = char_class(s)
-        if kind is None or any(p.search(s) for p in allowed):
-            continue
-        out += [(m.start() + a, m.start() + b) for a, b in dense_windows(s, LIMITS[kind])]
+        for at, s in fragments(m[0], allowed):
+            if (kind := char_class(s)) is not None:
+                at += m.start()
+                out += [(at + a, at + b) for a, b in dense_windows(s, LIMITS[kind])]
+    return out
+
+
+def fragments(s: str, allowed: list[re.Pattern], window: int = WINDOW) -> list[tuple[int, str]]:
+    """(offset, string) of a candidate without the parts that an allow rule matches; shorter than a window is no fragment."""
+    out, at = [], 0
+    for a, b in sorted(m.span() for p in allowed for m in p.finditer(s)):
+        while a > at and s[a - 1] not in SEPARATORS:
+            a -= 1
+        if a - at >= window:
+            out.append((at, s[at:a]))
+        at = max(at, b)
+        while at < len(s) and s[at] not in SEPARATORS:
+            at += 1
+    if len(s) - at >= window:
+        out.append((at, s[at:]))
     return out
 
 

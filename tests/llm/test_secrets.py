@@ -47,6 +47,20 @@ def test_method_adds_and_allow_list_suppresses():
     assert S.redact("a token=abcdef12 b " + TOKEN, S.scan("a token=abcdef12 b " + TOKEN)[1]) == "a [SECRET] b [SECRET]"
 
 
+def test_allow_list_hides_no_neighbour():
+    key = "iK2ZWeqhFWCEPyYngFb51yBMWXaSCrUZoL8g5ubb"
+    letters = "QwZrTyUbOpAsDfGhJkLxCvBnMqWe"
+    for text in (f"SAMPLE_SERVICE_KEY={key}", f"/srv/example/{key}", f"{key}/dummy/{key}", f"12345678-{key}", f"run={letters}"):
+        want = [k for k in (key, letters) if k in text]
+        got = [text[a:b] for a, b in S.entropy_spans(text)]
+        assert got and all(any(w in g for g in got) for w in want), (text, got)
+        assert not any(w in S.redact(text, S.scan(text)[1]) for w in want)
+    assert S.entropy_spans("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
+    assert S.entropy_spans("internationalisation-of-documentation/handlers") == []
+    assert S.fragments("x" * 25, S.ALLOWED) == [] and S.fragments("", S.ALLOWED) == []
+    assert S.fragments("y" * 20 + "=sample=" + "z" * 19, S.ALLOWED) == [(0, "y" * 20 + "="), (27, "=" + "z" * 19)]
+
+
 def test_rows(make_docs):
     texts = [None, *CASES, "x " * 200_000 + TOKEN, TOKEN, TOKEN]
     got = S.op4_secrets(make_docs(texts)).sort("doc_id").collect()
