@@ -237,7 +237,10 @@ def across(members: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, text: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles and component_id, the least doc_id reachable over links."""
+    """doc_id, h (hash of the text), n_shingles, group and component_id, the least doc_id reachable over links.
+
+    `group` tells components apart even where ids repeat; it is null for an empty set.
+    """
     docs = docs.select("doc_id", text, text_hash(text).alias("h"))
     fold = save_table(folded(docs, k, text), "jaccard-sets")
     sets = fold.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
@@ -302,23 +305,27 @@ def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, tex
 
     # Names of components: the least doc_id of any member's copies.
     name = sets.join(label.withColumnRenamed("node", "sid"), "sid").groupBy("component").agg(F.min("rep").alias("name"))
-    names = label.join(name, "component").select(F.col("node").alias("sid"), "name")
-    copies = sets.select("sid", "rep").join(names, "sid", "left")
+    names = label.join(name, "component").select(F.col("node").alias("sid"), F.col("component").alias("group"), "name")
+    copies = sets.select("sid", "rep").join(names, "sid", "left").select(
+        "sid", "rep", "name", F.coalesce("group", "sid").alias("group"))
     return fold.join(copies, "sid", "left").select(
-        "doc_id", "h", F.col("n").cast("long").alias("n_shingles"),
+        "doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "group",
         F.coalesce("name", "rep", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, k: int = SHINGLE, text: str = "text") -> DataFrame:
     """The rows of `docs` without near duplicates: of each component the document with the least id.
 
-    Of texts with the same id in one component the one with the least hash
-    stays, of repeated rows one; components of null ids keep one row each text.
+    A null id counts as the largest. Of texts with the same id in one component
+    the one with the least hash stays, of repeated rows one; texts without words
+    have no copies, so of them only repeated rows go. An id that names two unlike
+    texts keeps both.
     """
-    rows = save_table(similar_components(docs, percent, k, text).select("doc_id", "h", "component_id"), "jaccard-kept")
-    named = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("h").alias("h"))
-    unnamed = rows.where("doc_id is null and component_id is null").select("doc_id", "h").distinct()
-    stay = named.unionByName(unnamed).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    rows = save_table(similar_components(docs, percent, k, text).select("doc_id", "h", "group"), "jaccard-kept")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("h").alias("h")))
+    named = rows.where("group is not null").groupBy("group").agg(first.alias("f")).select("f.id", "f.h")
+    empty = rows.where("group is null").select(F.col("doc_id").alias("id"), "h").distinct()
+    stay = named.unionByName(empty).select(F.col("id").alias("__id"), F.col("h").alias("__h"))
     every = rows.select("doc_id", "h").distinct()
     gone = every.join(stay, every["doc_id"].eqNullSafe(F.col("__id")) & (every["h"] == F.col("__h")), "left_anti")
     gone = save_table(gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "jaccard-gone")
@@ -334,4 +341,4 @@ def one_of_each(docs: DataFrame, percent: int = 80, k: int = SHINGLE, text: str
 
 def op8_jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document with the size of its set and its component."""
-    return similar_components(docs).drop("h")
+    return similar_components(docs).drop("h", "group")

@@ -8,7 +8,8 @@ def sets(t, k=5):
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def grouped(rows):
+    """Sets and group number of each row."""
     s = [sets(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -22,11 +23,29 @@ def brute(rows):
             k = len(s[i] & s[j])
             if k and 100 * k >= 80 * (len(s[i]) + len(s[j]) - k):
                 parent[top(i)] = top(j)
+    return s, [top(i) for i in range(len(s))]
+
+
+def brute(rows):
+    s, g = grouped(rows)
     name = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
-            name[top(i)] = min(name.get(top(i), d), d)
-    return sorted(((d, len(s[i]), name.get(top(i))) for i, (d, _) in enumerate(rows)), key=repr)
+            name[g[i]] = min(name.get(g[i], d), d)
+    return sorted(((d, len(s[i]), name.get(g[i])) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+def survivors(rows):
+    """(least id, texts that may stay for it) of each group; null ids last, texts without words by themselves."""
+    s, g = grouped(rows)
+    groups = {}
+    for i, (d, t) in enumerate(rows):
+        groups.setdefault(g[i] if s[i] else (d, t or ""), []).append((d is None, d, t))
+    out = []
+    for members in groups.values():
+        null, d, _ = min(members, key=lambda m: (m[0], m[1] or 0))
+        out.append((d, {t for a, b, t in members if b == d}))
+    return out
 
 
 def edited(t, r, n):
@@ -53,8 +72,18 @@ def test_equals_brute_force(spark, make_docs, prose, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
     kept = J.one_of_each(make_docs(texts, ids))
     assert kept.columns == make_docs(texts).columns
-    names = {d for d, _, c in brute(rows) if d == c and d is not None}
-    assert {x.doc_id for x in kept.collect()} - {None} == names
+    left = [(x.doc_id, x.text) for x in kept.collect()]
+    want = survivors(rows)
+    assert len(left) == len(want)
+    for d, texts in want:
+        left.remove(next((e, t) for e, t in left if e == d and t in texts))
+    assert not left
+
+
+def test_an_id_with_two_unlike_texts_keeps_both(make_docs, prose):
+    a, b, c = prose(40, 1), prose(40, 2), prose(40, 3)
+    kept = J.one_of_each(make_docs([a, b, b, c], [5, 5, 9, 7])).collect()
+    assert sorted((x.doc_id, x.text) for x in kept) == sorted([(5, a), (5, b), (7, c)])
 
 
 def test_prefixes_share_entries():
