@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, byte_bpe, decontamination, fingerprints, jaccard, licenses, personal_data, quality, secrets, substrings, toxicity
+from . import (
+    alignment, byte_bpe, decontamination, fingerprints, jaccard, licenses, packing, personal_data, quality, secrets, substrings, toxicity)
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PACKED = "word_bpe_49k.json"
 ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
@@ -52,13 +54,17 @@ def op10_personal_data(spark: SparkSession, d: str) -> DataFrame:
     return personal_data.op10_personal_data(read(spark, d, "documents"))
 
 
+def op11_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.op11_packing(read(spark, d, "documents"), public_tokenizers.path(PACKED))
+
+
 def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment.op13_alignment(read(spark, d, "documents"), *map(public_tokenizers.path, ALIGNED))
 
 
 LLM_QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_quality, op3_decontamination, op4_secrets, op5_substrings, op6_byte_bpe,
-    op7_fingerprints, op8_jaccard_join, op9_licenses, op10_personal_data, op13_alignment)}
+    op7_fingerprints, op8_jaccard_join, op9_licenses, op10_personal_data, op11_packing, op13_alignment)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
