@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    alignment, byte_bpe, decontamination, fingerprints, jaccard, licenses, packing, personal_data, quality, secrets, substrings, toxicity)
+    alignment, byte_bpe, conversations, decontamination, fingerprints, jaccard, licenses, packing, personal_data, quality, secrets, substrings,
+    toxicity)
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -58,15 +59,24 @@ def op11_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.op11_packing(read(spark, d, "documents"), public_tokenizers.path(PACKED))
 
 
+def op12_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.op12_conversations(read(spark, d, "conversations"))
+
+
 def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment.op13_alignment(read(spark, d, "documents"), *map(public_tokenizers.path, ALIGNED))
 
 
 LLM_QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_quality, op3_decontamination, op4_secrets, op5_substrings, op6_byte_bpe,
-    op7_fingerprints, op8_jaccard_join, op9_licenses, op10_personal_data, op11_packing, op13_alignment)}
+    op7_fingerprints, op8_jaccard_join, op9_licenses, op10_personal_data, op11_packing,
+    op12_conversations, op13_alignment)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of the text k, before its last inversion, a bit at a time.
+_CRC = ("list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda v, b: "
+        "list_reduce(list_concat([xor(v, b)], list_transform(range(8), lambda j: 0::BIGINT)), lambda w, j: "
+        "CASE WHEN w % 2 = 1 THEN xor(w // 2, 3988292384) ELSE w // 2 END))")
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 LLM_ORACLES = {
@@ -85,6 +95,43 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit,
  sha256(coalesce(its.s, '')) AS items_sha256,
  coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(w) AS contaminated
 FROM doc d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op12_conversations": rf"""
+WITH RECURSIVE place AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+ src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_CRC}, 4294967295) % 20 AS f FROM place),
+ dmg AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, c,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+         FROM src, range(CASE f WHEN 3 THEN 2 ELSE 1 END) r(c) WHERE f <> 0),
+ num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) AS nth FROM dmg),
+ flag AS (SELECT conv_id, turn, role, text, i, role[1] AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE 'k' END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS two FROM num),
+ ins(q, p, c, l, t) AS (VALUES (0, 0, 0, '', ''), (0, 2, 3, 'I', chr(10) || 'user:'), (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+         (1, 1, 0, '', ''), (1, 2, 3, 'I', chr(10) || 'user:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+         (2, 2, 0, '', ''), (2, 3, 3, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 3, 'I', chr(10) || 'user:')),
+ ed(p, l, r, n, c, s) AS (VALUES (0, 'D', '', 0, 4, ''), (1, 'D', '', 1, 4, ''), (2, 'D', '', 2, 4, ''), (3, 'D', '', 3, 4, ''),
+         (0, 'K', 's', 1, 0, ''), (0, 'K', 'u', 2, 0, ''), (1, 'K', 'u', 2, 0, ''), (3, 'K', 'u', 2, 0, ''), (2, 'K', 'a', 3, 0, ''),
+         (0, 'R', '', 2, 3, 'user'), (1, 'R', '', 2, 3, 'user'), (3, 'R', '', 2, 3, 'user'), (2, 'R', '', 3, 3, 'assistant')),
+ st(conv_id, i, q, cost, audit, rep) AS (
+   SELECT DISTINCT conv_id, 0::BIGINT, 0, 0, '', '' FROM conversations
+   UNION ALL
+   SELECT conv_id, i, q, cost, audit, rep FROM (
+     SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS best FROM (
+       SELECT st.conv_id, f.i, ed.n AS q, st.cost + ins.c + ed.c + CASE WHEN fault = 't' AND ed.l <> 'D' THEN 3 ELSE 0 END AS cost,
+         st.audit || ins.l || ed.l AS audit, st.rep || ins.t || CASE ed.l WHEN 'K' THEN chr(10) || f.role || ':' || f.text
+           WHEN 'R' THEN chr(10) || ed.s || ':' || f.text ELSE '' END AS rep
+       FROM st JOIN flag f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.i = st.i + 1 JOIN ins ON ins.q = st.q
+       JOIN ed ON ed.p = ins.p AND (ed.l <> 'K' OR ed.r = f.r) AND (ed.l = 'D' OR f.fault NOT IN ('b', 'd')))) WHERE best = 1),
+ last AS (SELECT st.conv_id, cost + ins.c AS cost, audit || ins.l AS audit, rep || ins.t AS rep,
+         row_number() OVER (PARTITION BY st.conv_id ORDER BY cost + ins.c, audit || ins.l) AS best
+         FROM st JOIN (SELECT conv_id, max(i) AS i FROM st GROUP BY 1) m ON m.conv_id IS NOT DISTINCT FROM st.conv_id AND m.i = st.i
+         JOIN ins ON ins.q = st.q WHERE ins.p IN (0, 3)),
+ fault AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM flag GROUP BY 1)
+SELECT l.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+ coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit, sha256(rep[2:]) AS repaired_sha256
+FROM last l LEFT JOIN fault f ON f.conv_id IS NOT DISTINCT FROM l.conv_id WHERE best = 1""",
     "op8_jaccard_join": rf"""
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
  sh AS (SELECT DISTINCT doc_id, w[i:i + 4] AS g FROM doc, range(1, greatest(len(w) - 4, 1) + 1) r(i) WHERE len(w) > 0),
