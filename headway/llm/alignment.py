@@ -43,7 +43,9 @@ from .common import map_rows, sha256, utf8
 #: Tokens of A per lane; longer documents are split into lanes.
 LANE = 256
 #: Distinct words whose tokens a task keeps.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
+#: New words encoded behind one another.
+GROUP = 256
 #: Id pairs sent to the tasks; the rarer rest is joined.
 BROADCAST_PAIRS = 2_000_000
 #: Links laid out at a time, and links of a group beyond which its ids are counted first.
@@ -88,11 +90,44 @@ class Encoders:
         n, m = len(self.a_bytes), len(self.b_bytes)
         self.written = [f"{c}{i}" for c, k in ((";", n), (",", n), ("|", m), (",", m)) for i in range(k)]
 
-    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each word by A and by B; a word starts with the space that B adds."""
-        a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        b = self.b.encode([w[1:] for w in words], num_threads=1)
-        return a, [i if w != " " else [self.space] for w, i in zip(words, b, strict=True)]
+    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of each word by A and by B, a word with the space that B adds, and whether both give back its bytes.
+
+        Words are encoded GROUP at a time, one behind the other, and taken apart at
+        their byte lengths. What does not give back its bytes, or ends in white
+        space, is encoded word by word.
+        """
+        alone = [w[-1].isspace() for w in words]
+        size = np.fromiter((len(utf8(w)) for w in words), np.int64, len(words))
+        joint = [i for i, odd in enumerate(alone) if not odd]
+        groups = [joint[k:k + GROUP] for k in range(0, len(joint), GROUP)]
+        texts = ["".join(map(words.__getitem__, g)) for g in groups]
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        ids: tuple[list, list] = [None] * len(words), [None] * len(words)
+        good = [True] * len(words)
+        for g, t, *both in zip(groups, texts, a, b, strict=True):
+            ends, data = np.cumsum(size[g]), utf8(t)
+            cuts = []
+            for x, sizes, names in zip(both, (self.a_size, self.b_size), (self.a_bytes, self.b_bytes), strict=True):
+                used = np.cumsum(sizes[x])
+                k = np.minimum(np.searchsorted(used, ends), len(used) - 1)
+                if not (used[k] == ends).all() or b"".join(map(names.__getitem__, x)) != data:
+                    break
+                cuts.append([0, *(k + 1).tolist()])
+            if len(cuts) < 2:
+                for i in g:
+                    alone[i] = True
+                continue
+            for out, x, cut in zip(ids, both, cuts, strict=True):
+                for i, lo, hi in zip(g, cut, cut[1:], strict=False):
+                    out[i] = x[lo:hi]
+        for i in (i for i, odd in enumerate(alone) if odd):
+            w = words[i]
+            ids[0][i] = x = self.a.encode(w, add_special_tokens=False).ids
+            ids[1][i] = y = self.b.encode(w[1:]) if w != " " else [self.space]
+            good[i] = b"".join(map(self.a_bytes.__getitem__, x)) == utf8(w) == b"".join(map(self.b_bytes.__getitem__, y))
+        return *ids, good
 
 
 @lru_cache(1)
@@ -138,7 +173,7 @@ class Words:
     def _add(self, words: list[str]) -> None:
         first = len(self.index)
         rows = np.zeros((5, len(words)), np.int64)
-        both = self.enc.encode(words)
+        *both, good = self.enc.encode(words)
         for k, ids in enumerate(both):
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
@@ -147,9 +182,7 @@ class Words:
             self.ids[k] = _grown(self.ids[k], self.used[k] + len(flat))
             self.ids[k][self.used[k]:self.used[k] + len(flat)] = flat
             self.used[k] += len(flat)
-        a, b = self.enc.a_bytes, self.enc.b_bytes
-        rows[4] = [b"".join(map(a.__getitem__, x)) == (w := utf8(word)) == b"".join(map(b.__getitem__, y))
-                   for word, x, y in zip(words, *both, strict=True)]
+        rows[4] = good
         while self.table.shape[1] < first + len(words):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
         self.table[:, first:first + len(words)] = rows
