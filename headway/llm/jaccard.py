@@ -31,17 +31,19 @@ from pyspark.sql import functions as F
 
 from ..operators.streets import components
 from ..session import save_table
-from .common import LOWER, explode_rows, gram_hashes, map_rows, mix, utf8, word_hashes
+from .common import LOWER, gram_hashes, map_rows, mix, utf8, word_hashes
 
 SHINGLE = 5
 #: Documents per token beyond which it counts as frequent.
 FREQUENT = 64
 #: Extra shared tokens that the extended prefix asks for: one per SMALL of a small set, beyond BASE one per LARGE.
 SMALL, BASE, LARGE = 6, 8, 25
-#: Rows of two numbers up to which the documents to drop are broadcast.
+#: Rows of two numbers up to which the documents to drop, or those whose sets are compared, are broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Rounds in which candidates without enough shared tokens among candidates are dropped.
 PRUNINGS = 2
+#: Members of a hub per block: beyond it the pairs of a hub are dealt out by pairs of blocks.
+BLOCK = 2048
 #: Buckets of the two histograms that are compared before whole sets are.
 BUCKETS, FINE = 64, 256
 
@@ -83,36 +85,30 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(x).view(np.int64)[0])
 
 
-def folded(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """doc_id, h, sid and n of each document."""
-    def make():
-        def run(v: dict) -> list:
-            sets = shingle_sets(v[text], k)
-            return [[set_id(s) for s in sets], [len(s) for s in sets]]
-        return run
+def folded(docs: DataFrame, percent: int, k: int, text: str = "text") -> DataFrame:
+    """doc_id, h, sid and n of each document, and the extended prefix of its set.
 
-    return map_rows(docs, make, [text], ["doc_id", "h"], {"sid": "long", "n": "int"}, text)
-
-
-def prefix_tokens(docs: DataFrame, percent: int, k: int, text: str = "text") -> DataFrame:
-    """token and sid for each token of each extended prefix; sets met again in a task are left out."""
+    The only pass over all texts. Sets met again in a task leave the prefix out.
+    """
     def make():
         seen: set[int] = set()
 
         def run(v: dict) -> list:
-            tokens, sids, sizes = [np.zeros(0, np.uint64)], [], []
+            sids, sizes, prefixes = [], [], []
             for s in shingle_sets(v[text], k):
-                if len(s) and (i := set_id(s)) not in seen:
-                    if len(seen) > 1_000_000:
+                i = set_id(s)
+                new = len(s) and i not in seen
+                if new:
+                    if len(seen) > 300_000:
                         seen.clear()
                     seen.add(i)
-                    tokens.append(s[:prefix_length(len(s), percent)])
-                    sids.append(i)
-                    sizes.append(len(tokens[-1]))
-            return [np.concatenate(tokens).view(np.int64), np.repeat(np.array(sids, np.int64), sizes)]
+                sids.append(i)
+                sizes.append(len(s))
+                prefixes.append(s[:prefix_length(len(s), percent)].view(np.int64) if new else None)
+            return [sids, sizes, prefixes]
         return run
 
-    return explode_rows(docs, make, [text], {"token": "long", "sid": "long"}, text)
+    return map_rows(docs, make, [text], ["doc_id", "h"], {"sid": "long", "n": "int", "prefix": "array<long>"}, text)
 
 
 def groups_of(n: int) -> int:
@@ -224,16 +220,24 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     shares its hub; a pair is met once per hub, not once per entry, and only
     with sizes and histograms that allow the similarity.
     """
-    mixed = members.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
-    rows = members.join(mixed.select("hub"), "hub", "left_semi").withColumn("band", _band(percent))
-    left = rows.select("hub", "band", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"),
+    mixed = members.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where(
+        "a != b").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    # Members fall into blocks by hash; a pair is met under the pair of its blocks, so a large hub becomes many join keys.
+    rows = members.join(mixed, "hub").withColumn("band", _band(percent))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    left = rows.select("hub", "band", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"),
+                       F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"),
                        F.col("hist").alias("x"), F.col("fine").alias("fx"))
-    right = rows.select("hub", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("sid").alias("v"),
+    right = rows.select("hub", F.expr("sequence(0, block)").alias("is"), F.col("block").alias("j"),
+                        F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("sid").alias("v"),
                         F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("hist").alias("y"), F.col("fine").alias("fy"))
-    return left.join(right, ["hub", "band"]).where(
-        (F.col("cu") != F.col("cv")) & (F.col("u") < F.col("v")) & _near_size(F.col("nu"), F.col("nv"), percent)
+    right = right.withColumn("i", F.explode("is")).drop("is")
+    once = (F.col("i") < F.col("j")) | (F.col("u") < F.col("v"))
+    return left.join(right, ["hub", "band", "i", "j"]).where(
+        (F.col("cu") != F.col("cv")) & once & _near_size(F.col("nu"), F.col("nv"), percent)
         & _close(F.col("x"), F.col("y"), F.col("nu") + F.col("nv"), percent)
-        & _close(F.col("fx"), F.col("fy"), F.col("nu") + F.col("nv"), percent)).select("u", "v").distinct()
+        & _close(F.col("fx"), F.col("fy"), F.col("nu") + F.col("nv"), percent)).select(
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -242,9 +246,9 @@ def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, tex
     `group` tells components apart even where ids repeat; it is null for an empty set.
     """
     docs = docs.select("doc_id", text, text_hash(text).alias("h"))
-    fold = save_table(folded(docs, k, text), "jaccard-sets")
+    fold = save_table(folded(docs, percent, k, text), "jaccard-sets")
     sets = fold.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    rows = prefix_tokens(docs, percent, k, text)
+    rows = fold.where("prefix is not null").select("sid", F.explode("prefix").alias("token"))
 
     # Tokens of at least two sets; the counts combine before the shuffle.
     live = rows.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("df"))
@@ -260,6 +264,8 @@ def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, tex
     candidates = candidates.select("sid", "rep", "n", of(False).alias("rare"), of(True).alias("frequent"))
 
     chosen = candidates.select("rep", "sid").distinct()
+    if chosen.count() <= BROADCAST_ROWS:      # then texts need no shuffle
+        chosen = F.broadcast(chosen)
     full = docs.drop("h").join(chosen, docs["doc_id"].eqNullSafe(chosen["rep"]))
 
     def tokens():
@@ -308,7 +314,7 @@ def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, tex
     names = label.join(name, "component").select(F.col("node").alias("sid"), F.col("component").alias("group"), "name")
     copies = sets.select("sid", "rep").join(names, "sid", "left").select(
         "sid", "rep", "name", F.coalesce("group", "sid").alias("group"))
-    return fold.join(copies, "sid", "left").select(
+    return fold.drop("prefix").join(copies, "sid", "left").select(
         "doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "group",
         F.coalesce("name", "rep", "doc_id").alias("component_id"))
 

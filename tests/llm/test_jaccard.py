@@ -57,6 +57,7 @@ def edited(t, r, n):
 
 def test_equals_brute_force(spark, make_docs, prose, monkeypatch):
     monkeypatch.setattr(J, "FREQUENT", 6)          # so that token pairs are indexed too
+    monkeypatch.setattr(J, "BLOCK", 4)             # so that hubs fall into blocks
     r = random.Random(3)
     texts = [None, "", " \n", "one", "One", "a b c d", "a b c d e", "A b c d e", "a b c d e f"]
     for seed in range(5):
