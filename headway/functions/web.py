@@ -72,6 +72,45 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(F.regexp_count(ip, F.lit(r"\.")) == 3, num)
 
 
+#: Hex digits before an IPv4 address in the address space of both families.
+IPV4_PREFIX = "0" * 20 + "ffff"
+
+
+def address_hex(ip: Column) -> Column:
+    """An address of either family as 32 hex digits, IPv4 as its mapped form; null when malformed.
+
+    Digits sort as addresses do. A zone (`%eth0`) is left out.
+    """
+    said = F.regexp_replace(F.lower(F.trim(ip)), "%.*$", "")
+    quad = F.regexp_extract(said, r"(?:^|:)(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    number = ipv4_number(F.nullif(quad, F.lit("")))
+    last = F.lpad(F.lower(F.hex(number)), 8, "0")
+    # A dotted tail of an IPv6 address is two groups.
+    text = F.when(quad == "", said).otherwise(F.concat(
+        F.left(said, F.length(said) - F.length(quad)), F.left(last, F.lit(4)), F.lit(":"), F.right(last, F.lit(4))))
+    sides = F.split(text, "::")
+
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+
+    head, tail = groups(F.get(sides, F.lit(0))), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    zeros = 8 - F.size(head) - F.size(tail)
+    legal = F.forall(F.concat(head, tail), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    legal = legal & F.when(F.size(sides) == 1, zeros == 0).otherwise((F.size(sides) == 2) & (zeros >= 1))
+    full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), tail)
+    six = F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(~text.contains(":"), F.lit(None)).when(said == quad, F.concat(F.lit(IPV4_PREFIX), last)).when(legal, six)
+
+
+def prefix_hex(address: Column, bits: Column) -> Column:
+    """The first `bits` bits of 32 hex digits, the last digit of them cut to its leading bits."""
+    whole = F.floor(bits / 4).cast("int")
+    rest = (bits % 4).cast("int")
+    digit = F.conv(F.substring(address, whole + 1, F.lit(1)), 16, 10).cast("int")
+    part = F.floor(digit / F.pow(F.lit(2), 4 - rest)).cast("int").cast("string")
+    return F.concat(F.left(address, whole), F.when(rest == 0, "").otherwise(F.concat(F.lit("/"), part)))
+
+
 def _xor_pad(key_hex: Column, pad: int) -> Column:
     """Key (hex, at most 64 bytes) padded with zeros and xor-ed with `pad`."""
     padded = F.rpad(key_hex, 128, "0")

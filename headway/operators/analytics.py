@@ -7,14 +7,16 @@ with any share of the traffic costs one small group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import web
 from ..functions.timecode import LOCAL_TZ, epoch_us, local_date, local_ts
 from ..functions.web import (
     DEVICE_BUCKETS,
     device_bucket,
-    ipv4_number,
     referrer_bucket,
     url_host,
 )
@@ -117,25 +119,52 @@ def top_referrer_hosts(hosts: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def ip_to_city(visits: DataFrame, networks: DataFrame) -> DataFrame:
-    """Visits per (day, city) by the narrowest IPv4 network that holds the address; others are dropped.
+def network_prefixes(networks: DataFrame) -> DataFrame:
+    """(bits, prefix, width, start, city) of networks given as `network` in CIDR form, of either family,
+    or as IPv4 numbers `start_ip` to `end_ip`.
 
-    Visits shrink to one row per (day, address) first. A network is listed
-    under every /16 it touches, so the range test becomes an equi-join.
+    A range falls into the aligned blocks it is made of, two of each size at
+    most; each keeps the width of its range.
     """
-    v = (
-        eligible(visits)
-        .groupBy(local_date(F.col("ts")).alias("day"), "ip")
-        .agg(F.count("*").alias("n"))
-        .withColumn("num", ipv4_number(F.col("ip")))
-        .withColumn("slab", F.shiftright("num", 16))
-    )
-    slabs = F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))
-    nets = networks.withColumn("slab", F.explode(slabs))
-    hit = F.col("num").between(F.col("start_ip"), F.col("end_ip"))
-    narrow = F.struct(F.col("end_ip") - F.col("start_ip"), "start_ip", "city")
-    one = v.join(nets, "slab").where(hit).groupBy("day", "ip").agg(F.min_by("city", narrow).alias("city"), F.max("n").alias("n"))
-    return one.groupBy("day", "city").agg(F.sum("n").alias("n"))
+    if "network" in networks.columns:
+        text = F.split("network", "/")
+        n = networks.select("city", web.address_hex(F.get(text, F.lit(0))).alias("start"), F.get(text, F.lit(0)).contains(":").alias("six"),
+                            F.get(text, F.lit(1)).try_cast("int").alias("said"))
+        most = F.when(F.col("six"), 128).otherwise(32)
+        n = n.withColumn("said", F.coalesce("said", most)).where(F.col("said").between(0, most) & F.col("start").isNotNull())
+        n = n.withColumn("bits", F.col("said") + 128 - most)
+        return n.select("bits", web.prefix_hex(F.col("start"), F.col("bits")).alias("prefix"),
+                        F.pow(F.lit(2.0), 128 - F.col("bits")).alias("width"), "start", "city")
+
+    def block(level: Column) -> Column:
+        size = F.pow(F.lit(2), level).cast("bigint")
+        low, high = F.ceil(F.col("start_ip") / size), F.floor((F.col("end_ip") + 1) / size)
+        took = F.filter(F.array(F.when(low % 2 == 1, low), F.when(high % 2 == 1, high - 1)), lambda x: x.isNotNull())
+        return F.transform(F.when(low < high, F.array_distinct(took)).otherwise(F.array().cast("array<bigint>")),
+                           lambda x: F.struct((128 - level).alias("bits"), (x * size).alias("at")))
+
+    blocks = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(32)), block))
+    n = networks.select("city", "start_ip", (F.col("end_ip") - F.col("start_ip") + 1).cast("double").alias("width"), F.inline(blocks))
+    mapped = lambda c: F.concat(F.lit(web.IPV4_PREFIX), F.lpad(F.lower(F.hex(c)), 8, "0"))
+    return n.select("bits", web.prefix_hex(mapped(F.col("at")), F.col("bits")).alias("prefix"), "width",
+                    mapped(F.col("start_ip")).alias("start"), "city")
+
+
+def ip_to_city(visits: DataFrame, *networks: DataFrame) -> DataFrame:
+    """Visits per (day, city) by the narrowest network that holds the address; others are dropped.
+
+    Addresses of both families are 128 bits. Visits shrink to one row per (day,
+    address) first; each distinct address is looked up once, by equi-joins on
+    the prefix lengths that occur. Of equally narrow networks the first counts.
+    """
+    v = eligible(visits).groupBy(local_date(F.col("ts")).alias("day"), "ip").agg(F.count("*").alias("n"))
+    nets = reduce(DataFrame.unionByName, map(network_prefixes, networks))
+    lengths = sorted(r.bits for r in nets.select("bits").distinct().collect())      # at most 129 numbers
+    asked = v.select("ip").distinct().withColumn("address", web.address_hex(F.col("ip"))).where("address is not null")
+    asked = asked.withColumn("bits", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")))
+    asked = asked.select("ip", "bits", web.prefix_hex(F.col("address"), F.col("bits")).alias("prefix"))
+    found = asked.join(nets, ["bits", "prefix"]).groupBy("ip").agg(F.min_by("city", F.struct("width", "start", "city")).alias("city"))
+    return v.join(found, "ip").groupBy("day", "city").agg(F.sum("n").alias("n"))
 
 
 def city_counts(by_city: DataFrame, floor: int = CITY_FLOOR) -> DataFrame:

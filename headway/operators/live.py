@@ -203,29 +203,40 @@ def active_lines(positions: DataFrame) -> DataFrame:
 # --- weather ------------------------------------------------------------------------
 
 
+def forecast_intervals(forecasts: DataFrame, within: int = FORECAST_SECONDS) -> DataFrame:
+    """(c_lat, c_lon, since, until, f): each forecast from its time until the next of its cell, `within` seconds at most.
+
+    Half-open, in microseconds. An interval ends in its own time bucket or the
+    next, so a cell is ordered bucket by bucket. Of forecasts of one instant one counts.
+    """
+    us = within * 1_000_000
+    cell = ["c_lat", "c_lon"]
+    f = forecasts.select(snap2(F.col("lat")).alias("c_lat"), snap2(F.col("lon")).alias("c_lon"),
+                         epoch_us(F.col("ts")).alias("since"), F.struct("*").alias("f")).where("since is not null")
+    f = f.withColumn("bucket", F.floor(F.col("since") / us))
+    w = Window.partitionBy(*cell, "bucket").orderBy("since", F.xxhash64("f"))
+    onward = f.groupBy(*cell, (F.col("bucket") - 1).alias("bucket")).agg(F.min("since").alias("onward"))
+    f = f.withColumn("next", F.lead("since").over(w)).join(onward, [*cell, "bucket"], "left")
+    until = F.least(F.col("since") + us + 1, F.coalesce("next", "onward"))
+    return f.select(*cell, "since", until.alias("until"), "f").where("until > since")
+
+
 def weather_asof(requests: DataFrame, forecasts: DataFrame, within: int = FORECAST_SECONDS) -> DataFrame:
     """Each request with the latest forecast of its two-decimal cell, at most 30 min old.
 
-    A forecast is listed in its own time bucket and the next. One ordered pass
-    per (cell, bucket) carries it to the requests; no pairs are formed.
+    An equi-join on (cell, bucket) with the intervals in which forecasts hold:
+    one matches at most. Requests are neither ordered nor grouped, so a cell
+    with any share of them only makes a join partition that Spark may split.
+    A request without a point or time has no forecast.
     """
-    us = within * 1_000_000
-    cell = [snap2(F.col("lat")).alias("c_lat"), snap2(F.col("lon")).alias("c_lon")]
-    f = forecasts.select(*cell, epoch_us(F.col("ts")).alias("us"), F.struct("*").alias("f"))
-    f = f.withColumn("b0", F.floor(F.col("us") / us)).withColumn(
-        "bucket", F.explode(F.array(F.col("b0"), F.col("b0") + 1)))
-    r = requests.select(*cell, epoch_us(F.col("ts")).alias("us"), F.struct("*").alias("r")).withColumn(
-        "bucket", F.floor(F.col("us") / us))
-    u = f.select("c_lat", "c_lon", "bucket", "us", F.lit(0).alias("kind"), "f",
-                 F.lit(None).cast(r.schema["r"].dataType).alias("r")).unionByName(
-        r.select("c_lat", "c_lon", "bucket", "us", F.lit(1).alias("kind"),
-                 F.lit(None).cast(f.schema["f"].dataType).alias("f"), "r"))
-    w = Window.partitionBy("c_lat", "c_lon", "bucket").orderBy("us", "kind").rowsBetween(
-        Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct("us", "f")), ignorenulls=True).over(w)
-    out = u.withColumn("last", last).where(F.col("kind") == 1)
-    fresh = F.col("last.us") >= F.col("us") - us
-    return out.select("r.*", F.when(fresh, F.col("last.f")).alias("forecast"))
+    us = within * 1_000_000 // 4
+    f = forecast_intervals(forecasts, within)
+    f = f.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("since") / us), F.floor((F.col("until") - 1) / us))))
+    r = requests.select(F.struct("*").alias("r"), snap2(F.col("lat")).alias("r_lat"), snap2(F.col("lon")).alias("r_lon"),
+                        epoch_us(F.col("ts")).alias("at"))
+    met = ((F.col("r_lat") == F.col("c_lat")) & (F.col("r_lon") == F.col("c_lon")) & (F.floor(F.col("at") / us) == F.col("bucket"))
+           & (F.col("at") >= F.col("since")) & (F.col("at") < F.col("until")))
+    return r.join(f, met, "left").select("r.*", F.col("f").alias("forecast"))
 
 
 def forecast_turn(current: Column, coming: Column) -> Column:

@@ -136,6 +136,16 @@ def ip_to_city(spark, sf_dir):
     return day_text(by_city(spark, sf_dir))
 
 
+@query("ip_to_city_both_families", with_views(["v_visits", "v_networks"], """
+    SELECT CAST(v.day AS VARCHAR) AS day, CASE WHEN v.sid::BIGINT % 3 <> 0 THEN n.city
+      WHEN v.sid::BIGINT % 4096 % 128 < 2 THEN m.n_name || ' inner' ELSE m.n_name END AS city, count(*) AS n
+    FROM v_visits v LEFT JOIN v_networks n ON v.sid::BIGINT % 3 <> 0 AND v.ip BETWEEN n.start_ip AND n.end_ip
+      LEFT JOIN nation m ON v.sid::BIGINT % 3 = 0 AND v.sid::BIGINT % 4096 // 128 = m.n_nationkey AND v.sid::BIGINT % 4096 % 128 < 64
+    WHERE n.city IS NOT NULL OR m.n_name IS NOT NULL GROUP BY ALL"""))
+def ip_to_city_both_families(spark, sf_dir):
+    return day_text(A.ip_to_city(S.visits_both_families(spark, sf_dir), S.networks(spark, sf_dir), S.networks_six(spark, sf_dir)))
+
+
 @query("city_counts", with_views(["v_by_city"], """
     SELECT CAST(day AS VARCHAR) AS day, CASE WHEN n < 5 THEN 'Other' ELSE city END AS city,
            CAST(sum(n) AS BIGINT) AS n FROM v_by_city GROUP BY 1, 2"""))

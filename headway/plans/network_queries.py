@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import network as N
 from ..operators import spatial as P
 from ..operators import streets as R
+from ..operators import walks as W
 from ..sources import adapters as S
 from .feed import Feed
 from .registry import query
@@ -172,3 +173,57 @@ def detour_factor(spark, sf_dir):
         (k2 * 7919 % 3800 - k1 * 7919 % 3800) / 10000.0)) + 360) % 360) / 45) AS INTEGER) % 8 + 1) AS direction FROM s""")
 def walk_steps(spark, sf_dir):
     return R.walk_steps(S.path_edges(spark, sf_dir)).drop("start_lat", "start_lon")
+
+
+#: Three blocks up and three across, one pair for every 25th part.
+WALK_PAIRS = """v_ask AS (SELECT p_partkey AS source, p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 123 ELSE 77 END AS target FROM part WHERE p_partkey % 25 = 3
+      AND p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 123 ELSE 77 END IN (SELECT p_partkey FROM part)),
+   v_arc AS (SELECT u, v, length::DOUBLE AS length, edge_id FROM v_edges UNION ALL SELECT v, u, length, edge_id FROM v_edges
+      UNION ALL SELECT p_partkey, p_partkey, 0, NULL FROM part),
+   v_reach(i, source, node, metres, hops, prev, edge_id) AS (
+      SELECT 0, source, source, 0.0::DOUBLE, 0, NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT source FROM v_ask)
+      UNION ALL SELECT i + 1, source, v, metres, hops, prev, edge_id FROM (SELECT *, row_number() OVER (PARTITION BY source, v
+        ORDER BY metres, hops, prev NULLS FIRST, edge_id NULLS FIRST) AS best FROM (
+          SELECT i, source, v, metres + length AS metres, CASE WHEN a.edge_id IS NULL THEN hops ELSE hops + 1 END AS hops,
+            CASE WHEN a.edge_id IS NULL THEN prev ELSE u END AS prev, coalesce(a.edge_id, r.edge_id) AS edge_id
+          FROM v_reach r JOIN v_arc a ON a.u = r.node WHERE i < 12 AND metres + length <= 0.75 * 1609.344)) WHERE best = 1),
+   v_label AS (SELECT * FROM v_reach WHERE i = (SELECT max(i) FROM v_reach)),
+   v_path(source, target, edge_no, u, v, edge_id, metres) AS (
+      SELECT l.source, target, hops - 1, prev, node, edge_id, metres FROM v_label l JOIN v_ask a ON a.source = l.source AND a.target = l.node WHERE hops > 0
+      UNION ALL SELECT p.source, target, hops - 1, prev, node, l.edge_id, l.metres FROM v_path p JOIN v_label l ON l.source = p.source AND l.node = p.u WHERE hops > 0)"""
+
+
+def walk_pairs(spark, sf_dir):
+    k, p = F.col("p_partkey"), S.table(spark, sf_dir, "part")
+    target = k + F.when(k % 3 == 0, 123).otherwise(77)
+    ask = p.where(k % 25 == 3).select(k.alias("source"), target.alias("target"))
+    return ask.join(p.select(k.alias("target")), "target", "left_semi")
+
+
+def found_paths(spark, sf_dir):
+    e = R.clean_street_edges(S.street_edges_raw(spark, sf_dir))
+    return W.street_paths(walk_pairs(spark, sf_dir), e, S.street_nodes(spark, sf_dir), 0.75), e
+
+
+@query("street_paths", f"""WITH RECURSIVE {STREETS}, {WALK_PAIRS}
+    SELECT source, target, edge_no, u, v, edge_id, metres FROM v_path""")
+def street_paths(spark, sf_dir):
+    return found_paths(spark, sf_dir)[0]
+
+
+@query("street_steps", f"""WITH RECURSIVE {STREETS}, {WALK_PAIRS},
+    e AS (SELECT source || '-' || target AS path_id, p.edge_no, name AS street, CASE WHEN name = '' AND (edge_id // 3) % 27 = 0 THEN 'crosswalk'
+        WHEN highway = 'footway' THEN CASE WHEN (edge_id // 3) % 27 = 0 THEN 'crosswalk' ELSE 'footway' END
+        WHEN (edge_id // 3) % 27 = 0 THEN 'crosswalk' ELSE '' END AS path_type, p.metres, e.length
+      FROM v_path p JOIN v_edges e USING (edge_id)),
+    f AS (SELECT *, CASE WHEN street <> '' THEN 's:' || street ELSE 't:' || path_type END AS key FROM e),
+    g AS (SELECT *, CASE WHEN lag(key) OVER (PARTITION BY path_id ORDER BY edge_no) = key THEN 0 ELSE 1 END AS fresh FROM f),
+    h AS (SELECT *, sum(fresh) OVER (PARTITION BY path_id ORDER BY edge_no) AS step_no FROM g),
+    s AS (SELECT path_id, step_no, arg_min(street, edge_no) AS street, arg_min(path_type, edge_no) AS path_type, sum(length) AS m, count(*) AS n FROM h GROUP BY 1, 2)
+    SELECT path_id, CAST(step_no AS BIGINT) AS step_no, street, path_type, CASE WHEN m / n >= 150 THEN 'long' ELSE 'short' END AS block_type,
+      greatest(0.5, round(m / CASE WHEN m / n >= 150 THEN 201.17 ELSE 100.58 END * 2) / 2) AS blocks, round(CAST(m AS DOUBLE) / (3.0 * 1609.34 / 3600) / 60, 1) AS minutes
+    FROM s WHERE step_no <= 15""")
+def street_steps(spark, sf_dir):
+    found, e = found_paths(spark, sf_dir)
+    steps = R.walk_steps(W.directed_edges(found, e, S.street_nodes(spark, sf_dir)))
+    return steps.select("path_id", "step_no", "street", "path_type", "block_type", "blocks", "minutes")

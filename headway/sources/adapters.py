@@ -93,6 +93,23 @@ def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("n_name").alias("city"))
 
 
+def visits_both_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visits; every third user comes by an IPv6 address, in short and long spellings."""
+    v, user = visits(spark, sf_dir), F.col("sid").cast("bigint")
+    group = lambda n: F.lower(F.hex(n))
+    six = F.when(user % 2 == 0, F.concat(F.lit("2001:db8:"), group(user % 4096), F.lit("::"), group(user % 60000))).otherwise(
+        F.concat(F.lit("2001:0DB8:"), group(user % 4096), F.lit(":0:0:0:0:"), group(user % 60000)))
+    return v.withColumn("ip", F.when(user % 3 == 0, six).otherwise(F.col("ip")))
+
+
+def networks_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv6 networks of 64 /48 blocks a nation, the first two of which are a smaller network of the next one."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey").cast("bigint")
+    at = F.concat(F.lit("2001:db8:"), F.lower(F.hex(k * 128)), F.lit("::"))
+    return n.select(F.concat(at, F.lit("/42")).alias("network"), F.col("n_name").alias("city")).unionByName(
+        n.select(F.concat(at, F.lit("/47")).alias("network"), F.concat(F.col("n_name"), F.lit(" inner")).alias("city")))
+
+
 def stop_id_of(part: Column) -> Column:
     """A quarter of the parts are stations, a quarter platforms, the rest bus stops."""
     slot = F.floor(part / 4) % 10000
