@@ -27,11 +27,11 @@ def array_text(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def sessions_cte(gap: int) -> str:
+def sessions_cte(gap: int, rows: str = "v_visits") -> str:
     return f"""
       v_marked AS (SELECT sid, day, us, path, event_name,
           CASE WHEN us - lag(us) OVER (PARTITION BY sid, day ORDER BY us) <= {gap}000000 THEN 0 ELSE 1 END AS fresh
-        FROM v_visits),
+        FROM {rows}),
       v_numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY sid, day ORDER BY us) AS session_no FROM v_marked),
       v_sessions AS (SELECT sid, day, session_no, min(us) AS start_us, max(us) AS last_us, count(*) AS visits,
           count(CASE WHEN path = '/recommend' THEN 1 END) AS recommends,

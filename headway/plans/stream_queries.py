@@ -10,7 +10,7 @@ from ..operators import tracking as K
 from ..session import scratch_path
 from ..sources import adapters as S
 from ..streaming import jobs as J
-from .analytics_queries import array_text, day_text, sessions_cte
+from .analytics_queries import STAGES_SQL, array_text, day_text, sessions_cte
 from .registry import query
 from .views import with_views
 
@@ -54,6 +54,13 @@ def stream_rate_limit(spark, sf_dir):
     return J.to_table(J.stream_rate_limit(dense, TIGHT), "limits").select("visit_id", "us", "allowed")
 
 
+@query("stream_rate_limit_in_order", ALLOWED + " AND us <= (SELECT max(us) // 1000 * 1000 FROM s) - 60000000")
+def stream_rate_limit_in_order(spark, sf_dir):
+    """What the watermark has passed by the end of the input."""
+    dense = S.dense_requests(S.visits_from_events(stream(spark, sf_dir)))
+    return J.to_table(J.stream_rate_limit(dense, TIGHT, in_order=True), "limits").select("visit_id", "us", "allowed")
+
+
 @query("stream_daily_counters", with_views(["v_visits"], """
     SELECT CAST(day AS VARCHAR) AS date, count(*) AS visits, count(CASE WHEN ua IN (0, 5) AND path = '/ping' THEN 1 END) AS mobile,
            count(CASE WHEN event_name = 'app_loaded' THEN 1 END) AS app_loaded, count(CASE WHEN path = '/recommend' THEN 1 END) AS searches FROM v_visits GROUP BY 1"""))
@@ -80,6 +87,19 @@ def stream_sessions(spark, sf_dir):
     return day_text(J.to_table(J.stream_sessions(S.visits_from_events(stream(spark, sf_dir))), "sessions"))
 
 
+@query("stream_sessions_with_events", with_views(["v_visits"], """
+    SELECT sid, CAST(day AS VARCHAR) AS day, start_us, last_us, visits, recommends, CAST(coalesce(max(e.stage), -1) AS INTEGER) AS stage
+    FROM v_sessions s LEFT JOIN v_named e ON e.esid = sid AND e.eday = day AND e.eus BETWEEN start_us AND last_us + 21600000000
+    WHERE last_us + 21600000000 < (SELECT max(us) FROM v_visits) - 600000000 GROUP BY ALL""",
+    f"""v_named AS (SELECT sid AS esid, day AS eday, us AS eus, list_position({STAGES_SQL}, event_name) - 1 AS stage FROM v_visits
+      WHERE event_name IN ('recommend_returned', 'trip_completed'))""",
+    sessions_cte(21600, "v_visits WHERE event_name NOT IN ('recommend_returned', 'trip_completed')")))
+def stream_sessions_with_events(spark, sf_dir):
+    """Visits and named events as two streams; sessions that are over by the end of the input."""
+    rows, named = S.visits_from_events(stream(spark, sf_dir)), F.col("event_name").isin("recommend_returned", "trip_completed")
+    return day_text(J.to_table(J.stream_sessions(rows.where(~named), rows.where(named), gap_seconds=21600), "sessions"))
+
+
 @query("stream_retention", with_views(["v_visits"], """
     SELECT CAST(day AS VARCHAR) AS day, count(CASE WHEN day = first_day THEN 1 END) AS "new", count(CASE WHEN day > first_day THEN 1 END) AS returning
     FROM (SELECT sid, day, min(day) OVER (PARTITION BY sid) AS first_day FROM (SELECT DISTINCT sid, day FROM v_visits WHERE path = '/ping')) GROUP BY 1"""))

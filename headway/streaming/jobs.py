@@ -6,11 +6,12 @@ late rows are counted out by Spark and state stays bounded.
 
 from __future__ import annotations
 
-import json
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions.timecode import epoch_us, local_date, local_ts
 from ..functions.web import DEVICE_BUCKETS, device_bucket
@@ -20,7 +21,8 @@ from ..operators.live import stop_board
 from ..operators.tracking import measured
 from ..session import scratch_path
 from ..sources.sinks import upsert_daily
-from .state import FirstVisit, RateLimiter, TripTracker
+from .state import (
+    FirstVisit, OrderedFirstVisit, OrderedRateLimiter, OrderedTripTracker, RateLimiter, SessionTracker, TripTracker)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,18 +35,75 @@ def keyed_state(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def run_available(writer: DataStreamWriter, checkpoint: str) -> int:
-    """Process what is there and stop; the number of rows that came too late is returned."""
-    q: StreamingQuery = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return sum(s.get("numRowsDroppedByWatermark", 0)
-               for p in q.recentProgress for s in json.loads(p.json).get("stateOperators", []))
+class LateRows(StreamingQueryListener):
+    """Counts the rows that each operator of each stream dropped as late, report by report.
+
+    A query keeps only its newest reports; this listener sees all of them. With
+    `attach` it is heard for a session, `save` appends what it has counted to a table.
+    """
+
+    SCHEMA = "run_id string, name string, operator int, dropped long, reports long"
+
+    def __init__(self) -> None:
+        self.counted: dict[tuple[str, str, int], list[int]] = {}
+        self.over: dict[str, threading.Event] = {}
+
+    def attach(self, spark: SparkSession) -> LateRows:
+        spark.streams.addListener(self)
+        return self
+
+    def ended(self, run_id: str) -> threading.Event:
+        return self.over.setdefault(str(run_id), threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self.ended(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        for i, s in enumerate(p.stateOperators):
+            seen = self.counted.setdefault((str(p.runId), p.name or "", i), [0, 0])
+            seen[0] += s.numRowsDroppedByWatermark
+            seen[1] += 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended(event.runId).set()
+
+    def dropped(self, run_id: str, wait: float = 60.0) -> int:
+        """Late rows of a finished run; its last report is waited for."""
+        self.ended(run_id).wait(wait)
+        return sum(n for (run, _, _), (n, _) in self.counted.items() if run == str(run_id))
+
+    def save(self, spark: SparkSession, path: str, run_id: str) -> None:
+        """Appends the counts of a finished run to the table at `path`."""
+        self.dropped(run_id)
+        rows = [(*k, *v) for k, v in sorted(self.counted.items()) if k[0] == str(run_id)]
+        spark.createDataFrame(rows, self.SCHEMA).write.mode("append").parquet(path)
 
 
-def to_table(df: DataFrame, label: str) -> DataFrame:
+def run_available(writer: DataStreamWriter, checkpoint: str, late: str | None = None) -> int:
+    """Process what is there and stop; the number of rows that came too late is returned.
+
+    `late` names a table to which the counts by operator are appended.
+    """
+    spark = SparkSession.active()
+    heard = LateRows().attach(spark)
+    try:
+        q: StreamingQuery = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if late:
+            heard.save(spark, late, q.runId)
+        return heard.dropped(q.runId)
+    finally:
+        spark.streams.removeListener(heard)
+
+
+def to_table(df: DataFrame, label: str, late: str | None = None) -> DataFrame:
     """Run a stream over the available input into a Parquet table and read it."""
     path = scratch_path(df.sparkSession, label)
-    run_available(df.writeStream.format("parquet").option("path", path).outputMode("append"), path + "-state")
+    run_available(df.writeStream.format("parquet").option("path", path).outputMode("append"), path + "-state", late)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -96,15 +155,14 @@ def stream_sessions(visits: DataFrame, events: DataFrame | None = None, gap_seco
     """Sessions closed by the watermark, with their highest funnel stage.
 
     One row per session of (sid, local start day). Named events ride on the
-    visit rows or come as a second stream; they set the stage but, being no
-    visits, neither open nor lengthen what is counted as the session's time.
+    visit rows or come as a second stream: then sessions are made of visits
+    alone, and an event sets the stage of the session it falls into.
     """
     idx = F.array_position(F.array(*[F.lit(s) for s in stages or FUNNEL_STAGES]), F.col("event_name")) - 1
     visits = visits.where(F.col("path").isin(VISIT_PATHS))
     v = visits.select("sid", "ts", "path", F.coalesce(idx, F.lit(-1)).alias("stage"))
     if events is not None:
-        e = events.where(idx >= 0).select("sid", "ts", F.lit("event").alias("path"), idx.alias("stage"))
-        v = visits.select("sid", "ts", "path", F.lit(-1).cast("bigint").alias("stage")).unionByName(e)
+        return _sessions_with_events(visits, events.where(idx >= 0).withColumn("stage", idx), gap_seconds, delay)
     us = epoch_us(F.col("ts"))
     v = v.withColumn("day", local_date(F.col("ts"))).withColumn("us", us).withColumn(
         "at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
@@ -116,25 +174,52 @@ def stream_sessions(visits: DataFrame, events: DataFrame | None = None, gap_seco
     return g.where(F.col("visits") > 0).drop("session_window")
 
 
-def stream_retention(visits: DataFrame, days: int = 90, delay: str = "10 minutes") -> DataFrame:
-    """(rid, day, returning) once per visitor and day; visitors fade after 90 quiet days."""
+def _sessions_with_events(visits: DataFrame, events: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
+    keyed_state(visits)
+    # At one instant visits go before events, so that an event falls into the session its visit opens.
+    v = visits.select("sid", "ts", F.concat(F.col("path"), F.lit(" -1")).alias("payload"), F.lit(0).cast("long").alias("tie"))
+    e = events.select("sid", "ts", F.concat(F.lit("event "), F.col("stage")).alias("payload"), (F.col("stage") + 1).cast("long").alias("tie"))
+    v = v.withColumn("tie", F.when(F.col("payload").startswith("/recommend"), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    rows = v.unionByName(e).withColumn("day", local_date(F.col("ts"))).withColumn("us", epoch_us(F.col("ts"))).withColumn(
+        "at", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("at", delay).groupBy("sid", "day").transformWithState(
+        SessionTracker(gap_seconds), "sid string, day date, start_us long, last_us long, visits long, recommends long, stage int",
+        "Append", "EventTime")
+
+
+def stream_retention(visits: DataFrame, days: int = 90, delay: str = "10 minutes", in_order: bool = False) -> DataFrame:
+    """(rid, day, returning) once per visitor and day; visitors fade after 90 quiet days.
+
+    `in_order`: a day counts once the watermark has passed it, so that days of
+    late files still come in order.
+    """
     keyed_state(visits)
     v = visits.where(F.col("path") == "/ping").select(
         "rid", F.col("ts").cast("timestamp").alias("at"), epoch_us(F.col("ts")).alias("us"),
         local_date(F.col("ts")).cast("string").alias("day"))
+    if in_order:
+        # Visits of a day at one instant are one row; on release only the first of a day counts.
+        v = v.select("rid", "at", "us", F.lit(0).cast("long").alias("tie"), F.col("day").alias("payload"))
     return v.withWatermark("at", delay).groupBy("rid").transformWithState(
-        FirstVisit(days), "rid string, day string, returning boolean", "Append", "EventTime")
+        OrderedFirstVisit(days) if in_order else FirstVisit(days), "rid string, day string, returning boolean", "Append", "EventTime")
 
 
 # --- limits, boards, alerts, trips -----------------------------------------------------
 
 
-def stream_rate_limit(requests: DataFrame, limit: Limit, delay: str = "1 minute") -> DataFrame:
-    """Each request with `allowed`, from the accepted times kept per address."""
+def stream_rate_limit(requests: DataFrame, limit: Limit, delay: str = "1 minute", in_order: bool = False) -> DataFrame:
+    """Each request with `allowed`, from the accepted times kept per address.
+
+    By default requests of a batch are decided at once, as a gate must; with
+    `in_order` they are decided when the watermark has passed them, in order of
+    time over all batches.
+    """
     keyed_state(requests)
     r = requests.select("visit_id", "ip", F.col("ts").cast("timestamp").alias("at"), epoch_us(F.col("ts")).alias("us"))
+    if in_order:
+        r = r.select("ip", "at", "us", F.col("visit_id").cast("long").alias("tie"), F.lit("").alias("payload"))
     return r.withWatermark("at", delay).groupBy("ip").transformWithState(
-        RateLimiter(limit), "visit_id long, ip string, us long, allowed boolean", "Append", "EventTime")
+        OrderedRateLimiter(limit) if in_order else RateLimiter(limit), "visit_id long, ip string, us long, allowed boolean", "Append", "EventTime")
 
 
 def latest_predictions(arrivals: DataFrame, stale: str = "30 seconds") -> DataFrame:
@@ -178,10 +263,17 @@ def stream_alerts(alerts: DataFrame, refresh: str = "5 minutes") -> DataFrame:
     return a.withWatermark("at", refresh).dropDuplicatesWithinWatermark(["alert_id"]).drop("at")
 
 
-def stream_trips(pings: DataFrame, legs: DataFrame, delay: str = "5 minutes") -> DataFrame:
-    """Progress of each trip; distances come from a stream-static join with its legs."""
+def stream_trips(pings: DataFrame, legs: DataFrame, delay: str = "5 minutes", in_order: bool = False) -> DataFrame:
+    """Progress of each trip; distances come from a stream-static join with its legs.
+
+    `in_order`: pings are followed in order of time over all batches, each once
+    the watermark has passed it.
+    """
     keyed_state(pings)
     m = measured(pings, legs).withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
+    if in_order:
+        m = m.withColumn("payload", F.to_json(F.struct("on_vehicle", "rerouted", "legs"))).select(
+            "trip_id", "at", "us", F.xxhash64("payload").alias("tie"), "payload")
     return m.groupBy("trip_id").transformWithState(
-        TripTracker(), "trip_id long, us long, leg int, new_steps string, off_route boolean, cleared boolean",
+        OrderedTripTracker() if in_order else TripTracker(), "trip_id long, us long, leg int, new_steps string, off_route boolean, cleared boolean",
         "Append", "EventTime")

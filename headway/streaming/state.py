@@ -1,8 +1,10 @@
-"""Keyed state of the streams: rate limits, first visits, trip progress."""
+"""Keyed state of the streams: rate limits, first visits, sessions, trip progress."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,9 +26,13 @@ class Expiring(StatefulProcessor):
         self.value = handle.getValueState(name, schema)
 
     def extend(self, last_us: int) -> None:
+        """Keeps the state until `keep_ms` after the last row; an older row does not shorten its life."""
+        until = last_us // 1000 + self.keep_ms
         for t in list(self.handle.listTimers()):
+            if t >= until:
+                return
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(last_us // 1000 + self.keep_ms)
+        self.handle.registerTimer(until)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.value.clear()
@@ -103,3 +109,178 @@ class TripTracker(Expiring):
             yield Row(trip_id=key[0], us=now, **advance(trip, r))
         self.value.update((trip.leg, sorted(trip.done), trip.quiet_until))
         self.extend(now)
+
+
+# --- rows in order of their own time ---------------------------------------------------
+
+
+class InOrder(StatefulProcessor):
+    """Rows wait in keyed state until the watermark has passed their time, then count in order of time.
+
+    What comes before the watermark is dropped by Spark, so no earlier row can
+    follow: the decisions are those of one sorted pass, however rows and batches
+    arrive. Rows are (us, tie, payload); equal ones are kept with their number.
+    The value is kept until `keep_ms` after the newest row that counted, and
+    that time only moves forward.
+    """
+
+    keep_ms = DAY_MS
+
+    def start(self, handle: StatefulProcessorHandle, name: str, *fields: StructField) -> None:
+        self.handle = handle
+        self.value = handle.getValueState(name, StructType([*fields, StructField("until", LongType())]))
+        self.waiting = handle.getMapState(
+            "waiting", StructType([StructField("us", LongType()), StructField("tie", LongType())]),
+            StructType([StructField("payload", StringType()), StructField("n", LongType())]))
+
+    def wake(self, ms: int) -> None:
+        """A timer at `ms`, unless an earlier one is set."""
+        if not any(t <= ms for t in self.handle.listTimers()):
+            self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = None
+        for r in rows:
+            place = (r.us, r.tie)
+            n = self.waiting.getValue(place)[1] if self.waiting.containsKey(place) else 0
+            self.waiting.updateValue(place, (r.payload, n + 1))
+            first = r.us if first is None else min(first, r.us)
+        if first is not None:
+            self.wake(-(-first // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = [(k[0], k[1], v[0], v[1]) for k, v in self.waiting.iterator()]
+        ready = sorted(r for r in rows if r[0] <= now * 1000)
+        old = self.value.get() if self.value.exists() else None
+        state = self.load(None if old is None else tuple(old)[:-1])
+        until = 0 if old is None else old[-1]
+        for us, tie, payload, n in ready:
+            for _ in range(n):
+                yield from self.count(key, state, us, tie, payload)
+            self.waiting.removeKey((us, tie))
+            until = max(until, us // 1000 + self.keep_ms)
+        yield from self.passed(key, state, now)
+        coming = min((r[0] for r in rows if r[0] > now * 1000), default=None)
+        if until > now:
+            self.value.update((*self.store(state), until))
+            self.wake(until + 1)
+        else:
+            self.value.clear()
+        if coming is not None:
+            self.wake(-(-coming // 1000))
+
+    def passed(self, key, state, now_ms: int) -> Iterator[Row]:
+        """Rows that the passing of time alone yields."""
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class OrderedRateLimiter(InOrder):
+    """As RateLimiter, with requests decided in order of time over all batches."""
+
+    def __init__(self, limit: Limit):
+        self.limit = limit
+        self.keep_ms = limit.reach_us // 1000 + 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.start(handle, "times", StructField("recent", ArrayType(LongType())), StructField("daily", ArrayType(LongType())))
+
+    def load(self, old) -> SlidingWindow:
+        return SlidingWindow(self.limit, *(old or ([], [])))
+
+    def store(self, rule: SlidingWindow) -> tuple:
+        return list(rule.recent), list(rule.daily)
+
+    def count(self, key, rule: SlidingWindow, us: int, tie: int, payload: str) -> Iterator[Row]:
+        yield Row(visit_id=tie, ip=key[0], us=us, allowed=rule.take(us, 1) == 1)
+
+
+class OrderedFirstVisit(InOrder):
+    """Days of a visitor in order: the first is new, later ones are returning."""
+
+    def __init__(self, days: int = 90):
+        self.keep_ms = days * DAY_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.start(handle, "seen", StructField("last", StringType()))
+
+    def load(self, old) -> SimpleNamespace:
+        return SimpleNamespace(last=old[0] if old else None)
+
+    def store(self, seen: SimpleNamespace) -> tuple:
+        return (seen.last,)
+
+    def count(self, key, seen: SimpleNamespace, us: int, tie: int, payload: str) -> Iterator[Row]:
+        if seen.last is None or payload > seen.last:
+            yield Row(rid=key[0], day=payload, returning=seen.last is not None)
+            seen.last = payload
+
+
+class SessionTracker(InOrder):
+    """Sessions of one (sid, local day) from visits alone; named events raise the stage of the session they fall into.
+
+    A session is over when the watermark is past its last visit by more than the
+    gap. An event neither opens a session nor keeps one open.
+    """
+
+    def __init__(self, gap_seconds: int):
+        self.gap_us = gap_seconds * 1_000_000
+        self.keep_ms = gap_seconds * 1000 + 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        numbers = ("start_us", "last_us", "visits", "recommends", "stage")
+        self.start(handle, "session", *(StructField(n, LongType()) for n in numbers))
+
+    def load(self, old) -> list:
+        return list(old) if old and old[2] else [0, 0, 0, 0, -1]
+
+    def store(self, s: list) -> tuple:
+        return tuple(s)
+
+    def _end(self, key, s: list) -> Iterator[Row]:
+        if s[2]:
+            yield Row(sid=key[0], day=key[1], start_us=s[0], last_us=s[1], visits=s[2], recommends=s[3], stage=s[4])
+        s[:] = [0, 0, 0, 0, -1]
+
+    def count(self, key, s: list, us: int, tie: int, payload: str) -> Iterator[Row]:
+        path, stage = payload.rsplit(" ", 1)
+        if s[2] and us - s[1] > self.gap_us:
+            yield from self._end(key, s)
+        if path != "event":
+            s[:] = [s[0] if s[2] else us, us, s[2] + 1, s[3] + (path == "/recommend"), s[4]]
+        if s[2]:
+            s[4] = max(s[4], int(stage))
+
+    def passed(self, key, s: list, now_ms: int) -> Iterator[Row]:
+        if now_ms * 1000 > s[1] + self.gap_us:
+            yield from self._end(key, s)
+
+
+class OrderedTripTracker(InOrder):
+    """As TripTracker, with pings followed in order of time over all batches."""
+
+    keep_ms = TRIP_HOURS * 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.start(handle, "trip", StructField("leg", LongType()), StructField("done", ArrayType(StringType())),
+                   StructField("quiet_until", LongType()), StructField("last_us", LongType()))
+
+    def load(self, old) -> SimpleNamespace:
+        leg, done, quiet, last = old or (0, [], 0, None)
+        return SimpleNamespace(trip=Trip(leg, set(done), quiet), last=last)
+
+    def store(self, s: SimpleNamespace) -> tuple:
+        return s.trip.leg, sorted(s.trip.done), s.trip.quiet_until, s.last
+
+    def count(self, key, s: SimpleNamespace, us: int, tie: int, payload: str) -> Iterator[Row]:
+        if s.last is not None and us - s.last > self.keep_ms * 1000:
+            s.trip = Trip()
+        s.last = us
+        ping = json.loads(payload)
+        legs = [{"leg_type": None, "to_end": None, "to_path": None, "steps": None} | g for g in ping.get("legs", [])]
+        row = SimpleNamespace(us=us, on_vehicle=ping.get("on_vehicle"), rerouted=ping.get("rerouted"), legs=legs)
+        yield Row(trip_id=key[0], us=us, **advance(s.trip, row))
