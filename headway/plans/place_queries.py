@@ -204,17 +204,34 @@ def autocomplete(spark, sf_dir):
     return L.autocomplete(S.place_queries(spark, sf_dir), corpus(spark, sf_dir), crossings(spark, sf_dir))
 
 
+#: Names at or above the similarity floor of what no landmark equals, by the matching-block ratio: the longest
+#: common block, earliest in the name, then in the query; the same left and right of it.
+FUZZY = """v_typed AS (SELECT DISTINCT lower(query) || CASE query_id % 6 WHEN 1 THEN 'nue' ELSE '' END AS t FROM v_queries WHERE query_id % 6 IN (1, 2)),
+   v_close AS (SELECT t, name FROM v_typed JOIN v_marks ON levenshtein(t, name) <= floor((length(t) + length(name)) * 0.05 + 1e-9)
+      WHERE t NOT IN (SELECT name FROM v_marks)),
+   v_block(t, name, spot, a, b, m) AS (
+      SELECT t, name, '', name, t, 0::BIGINT FROM v_close
+      UNION ALL
+      SELECT t, name, spot || side, CASE side WHEN 'l' THEN a[:i - 1] ELSE a[i + k:] END, CASE side WHEN 'l' THEN b[:j - 1] ELSE b[j + k:] END,
+        CASE side WHEN 'l' THEN k ELSE 0 END
+      FROM (SELECT *, row_number() OVER (PARTITION BY t, name, spot ORDER BY k DESC, i, j) AS best FROM (
+          SELECT t, name, spot, a, b, i, j, len(list_filter(range(1, least(len(a) - i, len(b) - j) + 2), lambda x: a[i:i + x - 1] = b[j:j + x - 1])) AS k
+          FROM v_block, range(1, len(a) + 1) x(i), range(1, len(b) + 1) y(j) WHERE a[i] = b[j])), (VALUES ('l'), ('r')) s(side) WHERE best = 1),
+   v_alike AS (SELECT t, name, 2.0 * sum(m) / (length(t) + length(name)) AS score FROM v_block GROUP BY t, name),
+   v_fuzzy AS (SELECT t, arg_min(v_marks.lat, struct_pack(s := -score, n := name)) AS lat FROM v_alike JOIN v_marks USING (name) WHERE score >= 0.95 GROUP BY t)"""
+
+
 @query("geocode", with_views(["v_stops"], """
-    SELECT query_id, CASE query_id % 6 WHEN 0 THEN 'coordinates' WHEN 1 THEN CASE WHEN m.name IS NOT NULL THEN 'landmark' ELSE 'unresolved' END
-        WHEN 2 THEN CASE WHEN f.name IS NOT NULL THEN 'fuzzy' ELSE 'unresolved' END
+    SELECT query_id, CASE query_id % 6 WHEN 0 THEN 'coordinates' WHEN 1 THEN CASE WHEN m.name IS NOT NULL THEN 'landmark' WHEN f.t IS NOT NULL THEN 'fuzzy' ELSE 'unresolved' END
+        WHEN 2 THEN CASE WHEN f.t IS NOT NULL THEN 'fuzzy' ELSE 'unresolved' END
         ELSE CASE WHEN r.q IS NOT NULL THEN 'suggestion' ELSE 'unresolved' END END AS tier,
       round(CASE query_id % 6 WHEN 0 THEN CAST('41.' || lpad(CAST(query_id % 60 AS VARCHAR), 2, '0') AS DOUBLE)
-        WHEN 1 THEN m.lat WHEN 2 THEN f.lat ELSE r.lat END, 5) AS lat,
+        WHEN 1 THEN coalesce(m.lat, f.lat) WHEN 2 THEN f.lat ELSE r.lat END, 5) AS lat,
       query_id % 6 = 0 AND CAST('41.' || lpad(CAST(query_id % 60 AS VARCHAR), 2, '0') AS DOUBLE) < 41.64 AS outside_city
-    FROM v_queries v LEFT JOIN v_marks m ON m.name = lower(query) || 'nue'
-    LEFT JOIN v_marks f ON f.name = replace(lower(query), 'plza', 'plaza') AND query_id % 6 = 2
+    FROM v_queries v LEFT JOIN v_marks m ON query_id % 6 = 1 AND m.name = lower(query) || 'nue'
+    LEFT JOIN v_fuzzy f ON query_id % 6 IN (1, 2) AND f.t = lower(query) || CASE query_id % 6 WHEN 1 THEN 'nue' ELSE '' END
     LEFT JOIN (SELECT q, arg_min(lat, struct_pack(t := tier, p := place)) AS lat FROM v_ranked GROUP BY q) r
-      ON query_id % 6 > 2 AND r.q = trim(query)""", SUGGEST))
+      ON query_id % 6 > 2 AND r.q = trim(query)""", SUGGEST + ", " + FUZZY).replace("WITH ", "WITH RECURSIVE ", 1))
 def geocode(spark, sf_dir):
     q, marks = S.place_queries(spark, sf_dir), landmarks(spark, sf_dir)
     return L.geocode(q, marks, corpus(spark, sf_dir), crossings(spark, sf_dir)).select(

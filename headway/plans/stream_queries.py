@@ -92,8 +92,8 @@ def stream_sessions(spark, sf_dir):
     FROM v_sessions s LEFT JOIN v_named e ON e.esid = sid AND e.eday = day AND e.eus BETWEEN start_us AND last_us + 21600000000
     WHERE last_us + 21600000000 < (SELECT max(us) FROM v_visits) - 600000000 GROUP BY ALL""",
     f"""v_named AS (SELECT sid AS esid, day AS eday, us AS eus, list_position({STAGES_SQL}, event_name) - 1 AS stage FROM v_visits
-      WHERE event_name IN ('recommend_returned', 'trip_completed'))""",
-    sessions_cte(21600, "v_visits WHERE event_name NOT IN ('recommend_returned', 'trip_completed')")))
+      WHERE event_name IN ('recommend_returned', 'trip_completed')), """
+    + sessions_cte(21600, "v_visits WHERE event_name NOT IN ('recommend_returned', 'trip_completed')")))
 def stream_sessions_with_events(spark, sf_dir):
     """Visits and named events as two streams; sessions that are over by the end of the input."""
     rows, named = S.visits_from_events(stream(spark, sf_dir)), F.col("event_name").isin("recommend_returned", "trip_completed")
