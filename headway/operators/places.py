@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from ..session import save_table
 from .spatial import ADDRESS_METRES, LANDMARK_METRES, in_city, nearest_within
 
 # Suggestion tiers in order, their base scores, bonuses, limits.
@@ -104,15 +105,23 @@ def autocomplete(queries: DataFrame, corpus: DataFrame, crossings: DataFrame,
     """Ranked suggestions per distinct query over five tiers.
 
     A prefix match is an equi-join on the prefix itself: corpus keys are spread
-    over their own prefixes, kept where some query asks for that prefix, and
-    cut to the best `cap` per prefix before any query is attached. Neither a
-    popular prefix nor a popular query multiplies the other.
+    over their own prefixes of the lengths that are asked for, kept where some
+    query asks for that prefix, and cut to the best `cap` per prefix before any
+    query is attached. Neither a popular prefix nor a popular query multiplies
+    the other.
     """
-    asked = _asked(queries)
+    asked = save_table(_asked(queries), "asked")
     keys = asked.select("tier", F.col("key").alias("ask")).distinct()
+    # As many rows as there are lengths of one text field.
+    lengths: dict[str, list[int]] = {}
+    for r in asked.groupBy("tier", F.length("key").alias("n")).count().collect():
+        lengths.setdefault(r.tier, []).append(r.n)
+    of_tier = F.array().cast("array<int>")
+    for name, some in lengths.items():
+        of_tier = F.when(F.col("tier") == name, F.array(*(F.lit(n) for n in sorted(some)))).otherwise(of_tier)
     inside = in_city(F.col("lat"), F.col("lon")) if city_only else F.lit(True)
     spread = corpus.where(inside).withColumn("ask", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("key")), lambda i: F.substring(F.col("key"), F.lit(1), i)
+        F.filter(of_tier, lambda n: n <= F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n)
     )))
     named = crossings.where(inside).select(
         F.lit("intersection").alias("tier"), F.concat_ws("|", "name_a", "name_b").alias("key"),
@@ -171,11 +180,19 @@ def fuzzy_candidates(queries: DataFrame, names: DataFrame,
                      floor: float = text.SIMILARITY_FLOOR) -> DataFrame:
     """Distinct (query, name) pairs that can reach the similarity floor.
 
-    Reaching it allows k = 2 (1 - floor) / floor * |text| edits, each of
-    which touches four 4-grams, so the 4k + 1 rarest grams of both texts must
-    meet. Joining only on those keeps frequent grams out of the join.
+    Reaching it allows few edits, so texts of very unequal length go first:
+    only queries as long as some name are cut into grams. It allows
+    k = 2 (1 - floor) / floor * |text| edits, each of which touches four
+    4-grams, so the 4k + 1 rarest grams of both texts must meet. Joining only on
+    those keeps frequent grams out of the join.
     """
-    qg, ng = _blocks(queries, "query"), _blocks(names, "name")
+    # As many rows as there are lengths of a name.
+    long = [r.n for r in names.select(F.length("name").alias("n")).where("n is not null").distinct().collect()]
+    size = F.length("query")
+    near = F.exists(F.array(*map(F.lit, sorted(long))).cast("array<int>"), lambda n: F.abs(n - size) <= F.floor(
+        (n + size) * F.lit(1.0 - floor) + F.lit(1e-9)))
+    queries = queries.select("query").distinct().where(near)
+    qg, ng = (save_table(_blocks(df, c), "grams") for df, c in ((queries, "query"), (names, "name")))
     freq = ng.groupBy("g").agg(F.count("*").alias("df"))
     k = F.floor(F.length("t") * F.lit(2.0 * (1.0 - floor) / floor) + F.lit(1e-9))
 

@@ -189,10 +189,15 @@ def trip_stops(calls: DataFrame) -> DataFrame:
     )
 
 
-def trip_heads(sequences: DataFrame) -> DataFrame:
-    """One row per trip: what the choice of a representative needs."""
-    cols = ["trip_id", "route_id", "direction_id", "service_id", "mode", "n_stops", "first_min"]
-    return sequences.where(F.col("pos") == 0).select(*cols)
+def trip_heads(calls: DataFrame) -> DataFrame:
+    """One row per trip: what the choice of a representative needs.
+
+    Counts and minima combine before the shuffle; no trip is put in order for it.
+    """
+    cols = ["route_id", "direction_id", "service_id", "mode"]       # the same for all calls of a trip
+    return calls.groupBy("trip_id").agg(
+        *(F.first(c).alias(c) for c in cols), F.count("*").alias("n_stops"),
+        F.min(F.struct("seq", "arr_min"))["arr_min"].alias("first_min"))
 
 
 def trip_periods(heads: DataFrame, days: DataFrame) -> DataFrame:
@@ -223,9 +228,10 @@ def representative_trips(heads: DataFrame, in_period: DataFrame) -> DataFrame:
     )
 
 
-def representative_stops(sequences: DataFrame, reps: DataFrame) -> DataFrame:
-    """Stop sequences of the representative trips, per period."""
-    return sequences.join(reps.select("period", "trip_id"), "trip_id")
+def representative_stops(calls: DataFrame, reps: DataFrame) -> DataFrame:
+    """Stop sequences of the representative trips, per period; only their calls are put in order."""
+    chosen = reps.select("trip_id").distinct()
+    return trip_stops(calls.join(chosen, "trip_id", "left_semi")).join(reps.select("period", "trip_id"), "trip_id")
 
 
 # --- departures and timetables ----------------------------------------------------

@@ -45,9 +45,14 @@ class Feed:
 
     @cached_property
     def saved_sequences(self) -> DataFrame:
-        """The sequences as a written table: three later steps read them."""
+        """The sequences as a written table, for jobs that read all of them more than once."""
         return save_table(self.sequences, "sequences")
 
+    @cached_property
+    def heads(self) -> DataFrame:
+        """One row per trip, written as the periods and the choice of representatives read it."""
+        return save_table(G.trip_heads(self.calls), "heads")
+
     @cached_property
     def days(self) -> DataFrame:
         return G.service_days(self.tables["calendar"], self.tables["calendar_dates"])
@@ -58,15 +63,15 @@ class Feed:
 
     @cached_property
     def periods(self) -> DataFrame:
-        return G.trip_periods(G.trip_heads(self.saved_sequences), self.days)
+        return G.trip_periods(self.heads, self.days)
 
     @cached_property
     def reps(self) -> DataFrame:
-        return G.representative_trips(G.trip_heads(self.saved_sequences), self.periods)
+        return G.representative_trips(self.heads, self.periods)
 
     @cached_property
     def rep_stops(self) -> DataFrame:
-        return save_table(G.representative_stops(self.saved_sequences, self.reps), "representatives")
+        return save_table(G.representative_stops(self.calls, save_table(self.reps, "chosen")), "representatives")
 
     @cached_property
     def timetable_calls(self) -> DataFrame:
