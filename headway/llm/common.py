@@ -7,15 +7,18 @@ input column has the name of a result column the result replaces it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text held as Python objects or numpy arrays at a time (a longer text stands alone).
+#: Bytes of text held as Python objects or numpy arrays at a time (a longer text stands alone).
 SLICE_CHARS = 2_000_000
 
 ARROW = {
@@ -49,8 +52,8 @@ def sha256(data: bytes | str) -> str:
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about SLICE_CHARS bytes of text."""
-    sizes = np.nan_to_num(batch.column(column).to_pandas().str.len().to_numpy(dtype="float64", na_value=0))
-    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_CHARS, prepend=0)) if len(sizes) else []
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE_CHARS, prepend=0)) if len(sizes) else []
     edges = [0, *(int(c) for c in cut if c), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
@@ -61,7 +64,10 @@ def release(fn: Callable) -> None:
     """What a task leaves in its reused worker process: caches go (`fn.done`), freed memory returns to the system."""
     if done := getattr(fn, "done", None):
         done()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):     # glibc keeps what numpy has freed
+        trim(0)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], read_cols: list[str], carry: list[str],
