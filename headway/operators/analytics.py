@@ -38,6 +38,8 @@ BOUNCE_BELOW = 2
 IDLE_SECONDS = 1800
 VISIT_PATHS = ["/ping", "/recommend"]
 DAILY_CALL_CAP = 4900
+#: Binary logarithm of the entries of a visitor sketch.
+SKETCH_ENTRIES = 14
 
 
 def eligible(visits: DataFrame) -> DataFrame:
@@ -325,6 +327,33 @@ def new_vs_returning(visits: DataFrame) -> DataFrame:
     )
 
 
+def visitor_sketches(visits: DataFrame, lg_entries: int = SKETCH_ENTRIES) -> DataFrame:
+    """(day, visitors): one theta sketch of the day's visitors. Sketches merge, so raw rows may go."""
+    days = visits.where((F.col("path") == "/ping") & F.col("rid").isNotNull()).select("rid", local_date(F.col("ts")).alias("day"))
+    return days.groupBy("day").agg(F.theta_sketch_agg("rid", lg_entries).alias("visitors"))
+
+
+def roll_up(sketches: DataFrame, span: str) -> DataFrame:
+    """Day sketches merged by calendar span (`week`, `month`, …), named by its first day."""
+    return sketches.groupBy(F.trunc("day", span).alias("day")).agg(F.theta_union_agg("visitors", SKETCH_ENTRIES).alias("visitors"))
+
+
+def returning_sketched(sketches: DataFrame) -> DataFrame:
+    """As `new_vs_returning`, from sketches of days or longer spans: met with, or less, the union of all spans before.
+
+    Exact while all visitors fit into one sketch, 2 ** 14 by default; beyond it
+    counts are estimates, off by about 1 / sqrt(2 ** 14) = 0.8 % of all visitors
+    up to that span in one of three. The table has one row per span.
+    """
+    before = F.theta_union_agg("visitors", SKETCH_ENTRIES).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    s = sketches.withColumn("before", before)
+    count = lambda c: F.round(F.theta_sketch_estimate(c)).cast("long")
+    known = F.col("before").isNotNull()
+    s = s.select("day", F.when(known, count(F.theta_difference("visitors", "before"))).otherwise(count(F.col("visitors"))).alias("new"),
+                 F.when(known, count(F.theta_intersection("visitors", "before"))).otherwise(0).alias("returning"))
+    return s.withColumn("total", F.col("new") + F.col("returning")).withColumn("returning_pct", pct(F.col("returning"), F.col("total")))
+
+
 def call_budget(calls: DataFrame, cap: int = DAILY_CALL_CAP) -> DataFrame:
     """Calls per UTC day against the cap."""
     return (

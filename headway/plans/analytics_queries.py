@@ -233,6 +233,20 @@ def new_vs_returning(spark, sf_dir):
     return day_text(A.new_vs_returning(S.visits(spark, sf_dir)))
 
 
+@query("returning_sketched", RETENTION_SQL.format(d="day"))
+def returning_sketched(spark, sf_dir):
+    return day_text(A.returning_sketched(A.visitor_sketches(S.visits(spark, sf_dir))))
+
+
+@query("returning_by_week", with_views(["v_visits"], """
+    SELECT CAST(week AS VARCHAR) AS day, count(*) FILTER (week = first) AS "new", count(*) FILTER (week > first) AS returning
+    FROM (SELECT DISTINCT rid, week, min(week) OVER (PARTITION BY rid) AS first
+          FROM (SELECT sid AS rid, CAST(date_trunc('week', day) AS DATE) AS week FROM v_visits WHERE path = '/ping')) GROUP BY 1"""))
+def returning_by_week(spark, sf_dir):
+    weeks = A.roll_up(A.visitor_sketches(S.visits(spark, sf_dir)), "week")
+    return day_text(A.returning_sketched(weeks)).select("day", "new", "returning")
+
+
 @query("call_budget", """
     SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls,
            greatest(300 - count(*), 0) AS remaining, count(*) > 300 AS over_cap

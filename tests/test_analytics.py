@@ -124,3 +124,18 @@ def test_stream_sessions_keep_the_exact_gap_together_across_batches(spark, tmp_p
     src = spark.readStream.schema(visits(spark, rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = sorted((r.sid, r.visits, r.recommends) for r in J.to_table(J.stream_sessions(src, delay="2 hours"), "s").collect())
     assert got == [("a", 1, 0), ("a", 2, 1)]
+
+
+def test_sketched_visitors_stay_within_their_error(spark):
+    """More visitors than a sketch holds: counts are near the exact ones; small spans are exact."""
+    day = "timestampadd(DAY, cast(id % 5 as int), TIMESTAMP_NTZ'2024-01-02 18:00:00')"
+    v = spark.range(60_000).selectExpr("concat('v', id * 7 % 40000 + id % 5 * 3000) AS rid", f"{day} AS ts", "'/ping' AS path")
+    want = {r.day: r for r in A.new_vs_returning(v).collect()}
+    got = {r.day: r for r in A.returning_sketched(A.visitor_sketches(v)).collect()}
+    assert got.keys() == want.keys()
+    for d in want:
+        assert abs(got[d].new - want[d].new) <= 0.03 * 60_000 and abs(got[d].returning - want[d].returning) <= 0.03 * 60_000
+    few = v.where("cast(substr(rid, 2) as int) < 3000")
+    rows = lambda df: sorted((r.day, r.new, r.returning, r.returning_pct) for r in df.collect())
+    assert rows(A.returning_sketched(A.visitor_sketches(few))) == rows(A.new_vs_returning(few))
+    assert A.returning_sketched(A.visitor_sketches(few.limit(0))).count() == 0
