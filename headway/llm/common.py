@@ -50,10 +50,10 @@ def sha256(data: bytes | str) -> str:
     return hashlib.sha256(data if isinstance(data, bytes) else utf8(data)).hexdigest()
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of about SLICE_CHARS bytes of text."""
+def slices(batch: pa.RecordBatch, column: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about `size` (SLICE_CHARS) bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    cut = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE_CHARS, prepend=0)) if len(sizes) else []
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // (size or SLICE_CHARS), prepend=0)) if len(sizes) else []
     edges = [0, *(int(c) for c in cut if c), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
@@ -64,6 +64,7 @@ def release(fn: Callable) -> None:
     """What a task leaves in its reused worker process: caches go (`fn.done`), freed memory returns to the system."""
     if done := getattr(fn, "done", None):
         done()
+    gc.enable()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):     # glibc keeps what numpy has freed

@@ -22,26 +22,30 @@ no sequences.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import save_table
-from .common import release, slices, utf8
+from .common import release, slices
 
 CAPACITY = 2048
 #: Id that ends every document.
 END = 0
-#: Distinct words, and parts of words, whose ids a task keeps.
-CACHE_WORDS, CACHE_PARTS = 150_000, 250_000
+#: Distinct parts of words whose ids a task keeps, and bytes of text taken at a time.
+CACHE_PARTS, SLICE = 500_000, 6_000_000
+#: New words encoded behind one another.
+GROUP = 500
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces per block, islands per block, rounds between which elites move.
 BLOCK, ISLANDS, ROUNDS = 2048, 2, 2
@@ -53,79 +57,98 @@ WELL_FILLED, LOOSE = 0.999, 8
 
 @lru_cache(1)
 def _tokenizer(path: str):
+    """The tokenizer, and for each id whether it ends a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    t = Tokenizer.from_file(path)
+    ends = np.zeros(t.get_vocab_size(), bool)
+    ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+    return t, ends
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) >= n else np.append(x, np.zeros(max(n - len(x), len(x)), x.dtype))
 
 
 class WordIds:
-    """Ids of whole texts from the ids of their words.
+    """Ids of whole texts from the ids of the parts of their words.
 
-    The vocabulary drops white space and merges within words only, so words
-    between ASCII spaces are encoded once each; of a Latin word with punctuation
-    behind it the letters, in lower case, and the punctuation are.
+    The vocabulary drops white space and merges within words only, so each
+    distinct word between ASCII spaces is looked up once a slice. Of a word of
+    Latin letters with punctuation behind it the letters, in lower case, and the
+    punctuation are encoded apart; any other word is one part.
     """
 
     def __init__(self, path: str):
-        self.encode_batch = _tokenizer(path).encode_batch_fast
-        self.forget()
-        self.parts: dict[str, list[int]] = {"": []}
-
-    def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.start, self.size, self.ids = (np.zeros(1024, t) for t in (np.int64, np.int64, np.uint32))
-        self.used = 0
-
-    def _ids(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, by its parts."""
-        heads, tails = [], []
-        for w in map(bytes.decode, words):
-            head = w.rstrip(PUNCTUATION)
-            latin = head.isalpha() and max(head) < "\u0250"
-            heads.append(head.lower() if latin else w)
-            tails.append(w[len(head):] if latin else "")
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {"": []}
-        parts = self.parts
-        if fresh := list({p: None for p in chain(heads, tails) if p not in parts}):
-            parts.update(zip(fresh, (e.ids for e in self.encode_batch(fresh, add_special_tokens=False)), strict=True))
-        return [parts[a] + parts[b] if b else parts[a] for a, b in zip(heads, tails, strict=True)]
-
-    def _add(self, words: list[bytes]) -> None:
-        got = self._ids(words)
-        first, n = len(self.index), len(self.index) + len(words)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
-        self.start, self.size = (x if len(x) >= n else np.append(x, np.zeros(max(n, len(x)), x.dtype)) for x in (self.start, self.size))
+        tokenizer, self.ends = _tokenizer(path)
+        self.encode_batch = tokenizer.encode_batch_fast
+        self._clear()
+
+    def _clear(self) -> None:
+        self.parts: dict[str, int] = {"": 0}
+        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)      # ids of each part
+        self.ids, self.used = np.zeros(4096, np.uint32), 0
+
+    def _put(self, parts: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        """New parts with their ids, one behind another."""
+        first, n = len(self.parts), len(self.parts) + len(parts)
+        self.start, self.size = (_room(x, n) for x in (self.start, self.size))
         self.start[first:n], self.size[first:n] = self.used + np.cumsum(size) - size, size
-        if len(self.ids) < self.used + len(flat):
-            self.ids = np.append(self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32))
+        self.ids = _room(self.ids, self.used + len(flat))
         self.ids[self.used:self.used + len(flat)] = flat
         self.used += len(flat)
-        self.index.update(zip(words, range(first, n), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.parts.update(zip(parts, range(first, n), strict=True))
+
+    def _runs(self, letters: list[str]) -> None:
+        """Encodes runs of letters, GROUP at a time behind one another: the last id of each ends a word."""
+        groups = [letters[i:i + GROUP] for i in range(0, len(letters), GROUP)]
+        for g, e in zip(groups, self.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            flat = np.array(e.ids, np.uint32)
+            last = np.flatnonzero(self.ends[flat])
+            if len(last) == len(g):
+                self._put(g, flat, np.diff(last, prepend=-1))
+
+    def _numbers(self, parts: pa.Array, runs: bool) -> np.ndarray:
+        """The number of each part; new ones are encoded."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        known = self.parts
+        fresh = [p for p in names if p not in known]
+        if runs and (letters := [p for p in fresh if p.isalpha() and max(p) < "\u0100"]):
+            self._runs(letters)
+            fresh = [p for p in fresh if p not in known]
+        if fresh:
+            got = [e.ids for e in self.encode_batch(fresh, add_special_tokens=False)]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            self._put(fresh, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size)
+        numbers = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        return numbers[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by END; ids of each text with it)."""
-        split = [utf8(t).split() for t in texts]
-        words = list(chain.from_iterable(split))
-        if len(self.index) > CACHE_WORDS:
-            self.forget()
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            fresh = list(dict.fromkeys(map(words.__getitem__, new)))
-            for i in range(0, len(fresh), 20_000):
-                self._add(fresh[i:i + 20_000])
-            at[new] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, new)), np.int64, len(new))
-        size = self.size[at]
+        if len(self.parts) > CACHE_PARTS:
+            self._clear()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        head = pc.utf8_rtrim(words, PUNCTUATION)
+        latin = pc.and_(pc.utf8_is_alpha(head), pc.invert(pc.match_substring_regex(words, "[^\\x00-\\xFF]")))
+        behind = pc.subtract(pc.utf8_length(words), pc.utf8_length(head)).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(latin.to_numpy(zero_copy_only=False) & (behind > 0))
+        tails = np.zeros(len(words), np.int64)
+        if len(cut):
+            tails[cut] = self._numbers(pa.array([w[-n:] for w, n in zip(words.take(pa.array(cut)).to_pylist(), behind[cut].tolist(), strict=True)]), False)
+        heads = self._numbers(pc.if_else(latin, pc.utf8_lower(head), words), True)
+        part = np.stack([heads, tails])[:, coded.indices.to_numpy()].T.ravel()          # head, tail, head, tail, …
+        size = self.size[part]
         edge = np.append(0, np.cumsum(size))
-        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        last = 2 * np.cumsum(split.value_lengths().to_numpy())
         counts = np.diff(edge[last], prepend=0) + 1
         out = np.full(int(counts.sum()), END, np.uint32)
         inner = np.ones(len(out), bool)
         inner[np.cumsum(counts) - 1] = False
-        out[inner] = self.ids[np.repeat(self.start[at] - edge[:-1], size) + np.arange(int(size.sum()))]
+        out[inner] = self.ids[np.repeat(self.start[part] - edge[:-1], size) + np.arange(int(size.sum()))]
         return out, counts
 
 
@@ -138,10 +161,11 @@ def cut_pieces(docs: DataFrame, path: str, carry: list[str], text: str = "text",
     ddl = ", ".join([*(f"`{c}` {types[c]}" for c in carry), *(f"{k} {v}" for k, v in results.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()        # nothing here makes cycles, and the caches are large; `release` turns it on again
         encoder = WordIds(path)
         for batch in batches:
-            for part in slices(batch, text):
-                ids, counts = encoder.encode([t or "" for t in part.column(text).to_pylist()])
+            for part in slices(batch, text, SLICE):
+                ids, counts = encoder.encode(part.column(text))
                 pieces = -(-counts // capacity)
                 row = np.repeat(np.arange(len(counts)), pieces)
                 number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

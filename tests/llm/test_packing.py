@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -65,9 +66,10 @@ def test_pieces_and_sequences(make_docs, prose, library, monkeypatch):
 
 def test_word_ids_equal_the_library(prose, library, monkeypatch):
     texts = [t or "" for t in cases(prose)]
-    monkeypatch.setattr(K, "CACHE_WORDS", 5)
+    ids, counts = K.WordIds(PATH).encode(pa.array(texts))
     monkeypatch.setattr(K, "CACHE_PARTS", 3)
-    ids, counts = K.WordIds(PATH).encode(texts)
+    encoder = K.WordIds(PATH)
+    assert np.concatenate([encoder.encode(pa.array([t]))[0] for t in texts]).tolist() == ids.tolist()
     at = 0
     for t, n in zip(texts, counts.tolist(), strict=True):
         assert ids[at:at + n].tolist() == [*library.encode(t, add_special_tokens=False).ids, 0], t[:40]
