@@ -123,7 +123,7 @@ def itineraries(od: DataFrame, access: DataFrame, egress: DataFrame, rides: Data
                 walk_factor: float = 1.0) -> DataFrame:
     """The k best distinct itineraries per pair: walk, one to three rides, walk.
 
-    `od`: od_id, period; `access` / `egress`: od_id, stop_id, walk_minutes;
+    `od`: od_id, period and, where the pace of a pair is its own, walk_factor; `access` / `egress`: od_id, stop_id, walk_minutes;
     `rides`: period, route_id, mode, line, board_id, alight_id, minutes;
     `walks`: period, from_id, to_id, minutes. Total = ride + walk * factor +
     3 minutes per transfer, the sum the ranking uses. Each round is written to
@@ -131,14 +131,16 @@ def itineraries(od: DataFrame, access: DataFrame, egress: DataFrame, rides: Data
     """
     fastest = rides.groupBy("period", "route_id", "mode", "line", "board_id", "alight_id").agg(
         F.min("minutes").alias("ride"))
-    start = access.join(od.select("od_id", "period"), "od_id").select(
-        "od_id", "period", "stop_id", F.lit(None).cast("string").alias("route_id"),
+    paced = od.select("od_id", "period", (F.col("walk_factor") if "walk_factor" in od.columns else F.lit(walk_factor)).cast("double").alias("factor"))
+    factor = F.col("factor")
+    start = access.join(paced, "od_id").select(
+        "od_id", "period", "factor", "stop_id", F.lit(None).cast("string").alias("route_id"),
         F.array(_walk("origin", F.col("stop_id"), F.col("walk_minutes"))).alias("legs"),
         F.array(F.col("stop_id")).alias("seen"), F.lit("").alias("signature"),
         F.lit(0.0).alias("transit_minutes"), F.col("walk_minutes").cast("double").alias("walk_minutes"),
-        (F.col("walk_minutes") * walk_factor).alias("cost"))
+        (F.col("walk_minutes") * factor).alias("cost"))
     out = egress.select("od_id", "stop_id", F.col("walk_minutes").alias("exit_walk"))
-    board, done = start, [_finish(start, out, walk_factor, 0)]
+    board, done = start, [_finish(start, out, 0)]
     for n in range(1, max_transfers + 2):
         ride = fastest.withColumnRenamed("route_id", "next_route")
         if n > max_transfers:       # rides to an exit of the pair only, met on (pair, boarding stop)
@@ -154,7 +156,7 @@ def itineraries(od: DataFrame, access: DataFrame, egress: DataFrame, rides: Data
         sig = F.concat_ws("|", F.nullif("signature", F.lit("")), F.concat(
             F.col("next_route"), F.lit(":"), F.col("board_id"), F.lit(">"), F.col("alight_id")))
         rode = hop.where(fresh).select(
-            "od_id", "period", F.col("alight_id").alias("stop_id"), F.col("next_route").alias("route_id"),
+            "od_id", "period", "factor", F.col("alight_id").alias("stop_id"), F.col("next_route").alias("route_id"),
             F.concat("legs", F.array(leg("transit", F.col("mode"), F.col("next_route"), F.col("line"),
                                          F.col("board_id"), F.col("alight_id"), F.col("ride")))).alias("legs"),
             F.concat("seen", F.array("alight_id")).alias("seen"), sig.alias("signature"),
@@ -162,24 +164,24 @@ def itineraries(od: DataFrame, access: DataFrame, egress: DataFrame, rides: Data
             (F.col("cost") + F.col("ride")).alias("cost"))
         if n > max_transfers:
             # The last ride only counts where it ends at an exit of its pair.
-            done.append(_finish(rode, out, walk_factor, n - 1))
+            done.append(_finish(rode, out, n - 1))
             break
         rode = save_table(_keep_best(rode, k, _union(done)), f"round-{n}")
-        done.append(save_table(_finish(rode, out, walk_factor, n - 1), f"found-{n}"))
+        done.append(save_table(_finish(rode, out, n - 1), f"found-{n}"))
         stay = rode.select(
-            "od_id", "period", "stop_id", "route_id",
+            "od_id", "period", "factor", "stop_id", "route_id",
             F.concat("legs", F.array(_walk(F.col("stop_id"), F.col("stop_id"), F.lit(TRANSFER_MINUTES)))).alias("legs"),
             "seen", "signature", "transit_minutes", (F.col("walk_minutes") + TRANSFER_MINUTES).alias("walk_minutes"),
-            (F.col("cost") + TRANSFER_MINUTES * walk_factor + TRANSFER_MINUTES).alias("cost"))
+            (F.col("cost") + TRANSFER_MINUTES * factor + TRANSFER_MINUTES).alias("cost"))
         move = rode.join(walks.select("period", F.col("from_id").alias("stop_id"), "to_id", F.col("minutes").alias("w")),
                          ["period", "stop_id"]).where(~F.array_contains("seen", F.col("to_id"))).select(
-            "od_id", "period", F.col("to_id").alias("stop_id"), "route_id",
+            "od_id", "period", "factor", F.col("to_id").alias("stop_id"), "route_id",
             F.concat("legs", F.array(_walk(F.col("stop_id"), F.col("to_id"), F.col("w")))).alias("legs"),
             F.concat("seen", F.array("to_id")).alias("seen"), "signature", "transit_minutes",
             (F.col("walk_minutes") + F.col("w")).alias("walk_minutes"),
-            (F.col("cost") + F.col("w") * walk_factor + TRANSFER_MINUTES).alias("cost"))
+            (F.col("cost") + F.col("w") * factor + TRANSFER_MINUTES).alias("cost"))
         board = _keep_best(stay.unionByName(move), k, _union(done))
-    return rank_itineraries(distinct_itineraries(_union(done)), k=k, walk_factor=walk_factor)
+    return rank_itineraries(distinct_itineraries(_union(done)), k=k)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -189,11 +191,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _finish(labels: DataFrame, out: DataFrame, factor: float, transfers: int) -> DataFrame:
+def _finish(labels: DataFrame, out: DataFrame, transfers: int) -> DataFrame:
     return labels.join(out, ["od_id", "stop_id"]).select(
         "od_id", "signature", F.lit(transfers).alias("transfers"), "transit_minutes",
         (F.col("walk_minutes") + F.col("exit_walk")).alias("walk_minutes"),
-        (F.col("cost") + F.col("exit_walk") * factor).alias("total"),
+        (F.col("cost") + F.col("exit_walk") * F.col("factor")).alias("total"),
         F.concat("legs", F.array(_walk(F.col("stop_id"), "destination", F.col("exit_walk")))).alias("legs"))
 
 
@@ -385,20 +387,25 @@ def bus_bus(od: DataFrame, access: DataFrame, arrivals: DataFrame, sequences: Da
     `od`: od_id, d_lat, d_lon; `access`: od_id, stop_id, walk_minutes;
     `arrivals`: stop_id, line_code, minutes; `sequences`: route_id,
     direction_id, pos, stop_id, lat, lon, arr_min. The second bus is narrowed
-    to lines with a stop near the destination before it meets the first.
+    to lines with a stop near the destination before it meets the first. Where
+    `sequences` has a period, a pair rides the buses of its own; where `od` has a
+    walk_factor, it walks at its own pace.
     """
-    seq = sequences.select("route_id", "direction_id", "pos", "stop_id", "lat", "lon", "arr_min")
+    when = ["period"] if "period" in sequences.columns else []
+    seq = sequences.select(*when, "route_id", "direction_id", "pos", "stop_id", "lat", "lon", "arr_min")
+    pace = (F.col("walk_factor") if "walk_factor" in od.columns else F.lit(walk_factor)).cast("double").alias("pace")
     dest = od.select("od_id", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon"))
     place = seq.select("stop_id", "lat", "lon").groupBy("stop_id").agg(F.min(F.struct("lat", "lon")).alias("p")).select(
         "stop_id", "p.*")
     # second bus: exits near the destination, then the best exit after every earlier stop
     exits = radius_join(place, dest, MAX_EXIT_MILES).select("od_id", "stop_id", F.col("miles").alias("exit_miles")).join(
-        seq.select("stop_id", F.col("route_id").alias("route_b"), F.col("direction_id").alias("dir_b"),
-                   F.col("pos").alias("exit_pos"), F.col("arr_min").alias("exit_min")), "stop_id")
-    tb = seq.select(F.col("route_id").alias("route_b"), F.col("direction_id").alias("dir_b"), F.col("pos").alias("t_pos"),
+        od.select("od_id", *when), "od_id").join(
+        seq.select(*when, "stop_id", F.col("route_id").alias("route_b"), F.col("direction_id").alias("dir_b"),
+                   F.col("pos").alias("exit_pos"), F.col("arr_min").alias("exit_min")), ["stop_id", *when])
+    tb = seq.select(*when, F.col("route_id").alias("route_b"), F.col("direction_id").alias("dir_b"), F.col("pos").alias("t_pos"),
                     F.col("stop_id").alias("t_stop"), F.col("arr_min").alias("t_min"))
     best = F.min(F.struct("exit_miles", (-F.col("exit_pos")).alias("p"), F.col("stop_id").alias("exit_stop"), "exit_min"))
-    second = exits.join(tb, ["route_b", "dir_b"]).where(F.col("t_pos") < F.col("exit_pos")).groupBy(
+    second = exits.join(tb, ["route_b", "dir_b", *when]).where(F.col("t_pos") < F.col("exit_pos")).groupBy(
         "od_id", "route_b", "dir_b", "t_pos", "t_stop", "t_min").agg(best.alias("x"))
     near = radius_join(place.select(F.col("stop_id").alias("sk_stop"), "lat", "lon"),
                        place.select(F.col("stop_id").alias("t_stop"), "lat", "lon"), MAX_TRANSFER_MILES).select(
@@ -408,13 +415,13 @@ def bus_bus(od: DataFrame, access: DataFrame, arrivals: DataFrame, sequences: Da
     first = (
         arrivals.groupBy("stop_id", F.col("line_code").alias("route_a")).agg(F.min("minutes").alias("wait"))
         .join(access.select("od_id", "stop_id", "walk_minutes"), "stop_id")
-        .join(seq.select("stop_id", F.col("route_id").alias("route_a"), F.col("direction_id").alias("dir_a"),
-                         F.col("pos").alias("board_pos"), F.col("arr_min").alias("board_min"), "lat", "lon"), ["stop_id", "route_a"])
-        .join(od.select("od_id", "d_lat", "d_lon"), "od_id"))
+        .join(od.select("od_id", *when, "d_lat", "d_lon", pace), "od_id")
+        .join(seq.select(*when, "stop_id", F.col("route_id").alias("route_a"), F.col("direction_id").alias("dir_a"),
+                         F.col("pos").alias("board_pos"), F.col("arr_min").alias("board_min"), "lat", "lon"), ["stop_id", "route_a", *when]))
     hav = lambda: geo.haversine(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon"))
     first = first.withColumn("board_miles", hav()).drop("lat", "lon")
-    fwd = first.join(seq.select(F.col("route_id").alias("route_a"), F.col("direction_id").alias("dir_a"), F.col("pos").alias("sk_pos"),
-                                F.col("stop_id").alias("sk_stop"), F.col("arr_min").alias("sk_min"), "lat", "lon"), ["route_a", "dir_a"])
+    fwd = first.join(seq.select(*when, F.col("route_id").alias("route_a"), F.col("direction_id").alias("dir_a"), F.col("pos").alias("sk_pos"),
+                                F.col("stop_id").alias("sk_stop"), F.col("arr_min").alias("sk_min"), "lat", "lon"), ["route_a", "dir_a", *when]).drop(*when)
     fwd = fwd.where((F.col("sk_pos") > F.col("board_pos")) & (hav() < F.col("board_miles") * FORWARD_RATIO)).drop("lat", "lon")
     c = fwd.join(second, ["od_id", "sk_stop"]).where(
         (F.col("route_a") != F.col("route_b")) | (F.col("dir_a") != F.col("dir_b")))
@@ -434,7 +441,7 @@ def bus_bus(od: DataFrame, access: DataFrame, arrivals: DataFrame, sequences: Da
         "exit_walk", F.round(geo.walk_minutes(F.col("x.exit_miles")), 1))
     walk = F.col("walk_minutes") + F.col("change") + F.col("exit_walk")
     t = t.where((F.col("ride_a") > 0) & (F.col("ride_b") > 0)).withColumn("walks", F.round(walk, 1)).withColumn(
-        "total", F.col("ride_a") + F.col("ride_b") + walk * walk_factor + F.col("wait") + TRANSFER_MINUTES
+        "total", F.col("ride_a") + F.col("ride_b") + walk * F.col("pace") + F.col("wait") + TRANSFER_MINUTES
     ).where(F.col("total") <= MAX_TRIP_MINUTES)
     exit_stop = F.col("x.exit_stop")
     legs = F.array(

@@ -15,7 +15,7 @@ from .feed import Feed
 from .network_queries import HOPS
 from .registry import query
 from .spatial_queries import miles
-from .trips import TripNetwork, plan_trips
+from .trips import TripNetwork, plan_trips, weather_pace
 from .views import LINES, with_views
 
 
@@ -26,9 +26,10 @@ def od_pairs(spark, sf_dir):
 
 
 def bus_sequences(spark, sf_dir, feed, net):
-    bus = feed.rep_stops.where((F.col("mode") == "bus") & (F.col("period") == "weekday_midday"))
+    """Buses of every period, each for the trips of its own."""
+    bus = feed.rep_stops.where(F.col("mode") == "bus")
     return bus.join(net.stops.select("stop_id", "lat", "lon"), "stop_id").select(
-        "route_id", "direction_id", "pos", "stop_id", "lat", "lon", "arr_min")
+        "period", "route_id", "direction_id", "pos", "stop_id", "lat", "lon", "arr_min")
 
 
 def bus_arrivals(sequences):
@@ -120,7 +121,7 @@ def itineraries(spark, sf_dir):
     return found.select("od_id", F.col("rank").cast("bigint").alias("rank"), "signature", "transfers", F.round("total", 4).alias("total"))
 
 
-@query("itineraries_dense", with_views(["v_trip_stops", "v_stops"], """
+DENSE_SQL = with_views(["v_trip_stops", "v_stops"], """
     SELECT od_id, rank, signature, transfers, round(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY total, signature) AS rank FROM v_best) WHERE rank <= 3""",
     f"""{DENSE}, {REACH.replace('v_stops', 'v_dense')},
    v_fast AS (SELECT a.route_id, CAST(a.stop_id AS VARCHAR) AS board, CAST(b.stop_id AS VARCHAR) AS alight, CAST(min(b.dep_min - a.dep_min) AS DOUBLE) AS ride
@@ -136,20 +137,60 @@ def itineraries(spark, sf_dir):
    v_r2 AS (SELECT od_id, alight AS stop_id, sig || '|' || route_id || ':' || board || '>' || alight AS sig, c + ride AS c
       FROM v_b1 b JOIN v_fast f ON f.board = b.stop_id AND route <> route_id AND NOT list_contains(seen, alight)),
    v_all AS (SELECT od_id, stop_id, '' AS sig, c, 0 AS transfers FROM v_b0 UNION ALL SELECT od_id, stop_id, sig, c, 0 FROM v_r1 UNION ALL SELECT od_id, stop_id, sig, c, 1 FROM v_r2),
-   v_best AS (SELECT a.od_id, a.sig AS signature, a.transfers, min(a.c + e.w * 1.5) AS total FROM v_all a JOIN v_reach e ON e.od_id = a.od_id AND e.side = 'd' AND e.stop_id = a.stop_id GROUP BY ALL)"""))
+   v_best AS (SELECT a.od_id, a.sig AS signature, a.transfers, min(a.c + e.w * 1.5) AS total FROM v_all a JOIN v_reach e ON e.od_id = a.od_id AND e.side = 'd' AND e.stop_id = a.stop_id GROUP BY ALL)""")
+
+
+@query("itineraries_dense", DENSE_SQL)
 def itineraries_dense(spark, sf_dir):
     """All trips as rides in one period, one change, slow walking, places drawn closer."""
+    return dense_itineraries(spark, sf_dir, shrink(od_pairs(spark, sf_dir), "o_", "d_"))
+
+
+def dense_itineraries(spark, sf_dir, od):
     feed = Feed.from_tables(spark, sf_dir)
     stops = save_table(shrink(feed.stops), "stops")
     seq = feed.saved_sequences.withColumn("period", F.lit("all"))
     rides = N.rides(seq).withColumn("line", F.col("route_id"))
     near = intermodal_edges(stops.where(F.col("kind") == "station"), stops.where(F.col("kind") == "bus"))
-    od = shrink(od_pairs(spark, sf_dir), "o_", "d_").withColumn("period", F.lit("all"))
+    od = od.withColumn("period", F.lit("all"))
     found = I.itineraries(od, reach(od, stops, "o"), reach(od, stops, "d"), rides,
                           near.withColumn("period", F.lit("all")), k=3, max_transfers=1, walk_factor=1.5)
     return found.select("od_id", F.col("rank").cast("bigint").alias("rank"), "signature", "transfers", F.round("total", 4).alias("total"))
 
 
+WEATHER = """v_fc AS (SELECT s_suppkey % 3 AS cell, TIMESTAMP '2024-01-08' + to_minutes(s_suppkey % 7 * 1440 + s_suppkey * 97 % 1440 - s_suppkey % 50) AS fts,
+      s_suppkey % 4 AS kind, s_suppkey % 3 AS grade, s_suppkey % 60 AS gust, s_suppkey % 90 - 20 AS feels FROM supplier),
+   v_one AS (SELECT cell, fts, max(kind) AS kind, max(grade) AS grade, max(gust) AS gust, max(feels) AS feels FROM v_fc GROUP BY 1, 2 HAVING count(*) = 1),
+   v_ask AS (SELECT s_suppkey AS od_id, s_suppkey % 3 AS cell, TIMESTAMP '2024-01-08' + to_minutes(s_suppkey % 7 * 1440 + s_suppkey * 97 % 1440) AS begun FROM supplier),
+   v_pace AS (SELECT od_id, CASE WHEN fts >= begun - INTERVAL 30 MINUTE THEN 1.0::DOUBLE / greatest(0.60, CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN list_extract([0.96, 0.90, 0.82], grade + 1)
+      WHEN 2 THEN list_extract([0.92, 0.84, 0.74], grade + 1) ELSE 0.78 END::DOUBLE * CASE WHEN gust > 35 THEN 0.90 ELSE 1.0 END::DOUBLE * CASE WHEN feels < 0 THEN 0.88 ELSE 1.0 END::DOUBLE)
+      ELSE 1.0 END AS f FROM v_ask a ASOF LEFT JOIN v_one w ON a.cell = w.cell AND a.begun >= w.fts)"""
+
+
+def paced_pairs(spark, sf_dir):
+    """The pairs with their pace; forecasts of one instant and cell are left out."""
+    fc = S.trip_forecasts(spark, sf_dir)
+    fc = fc.join(fc.groupBy("lat", "ts").count().where("count = 1").drop("count"), ["lat", "ts"])
+    at = S.cell_of(F.col("od_id"))
+    od = od_pairs(spark, sf_dir).withColumn("w_lat", at[0]).withColumn("w_lon", at[1])
+    return weather_pace(od, fc, "w_lat", "w_lon").drop("w_lat", "w_lon")
+
+
+@query("weather_pace", f"WITH {WEATHER} SELECT od_id, round(f, 6) AS walk_factor FROM v_pace")
+def trip_pace(spark, sf_dir):
+    return paced_pairs(spark, sf_dir).select("od_id", F.round("walk_factor", 6).alias("walk_factor"))
+
+
+@query("itineraries_weather", DENSE_SQL.replace("v_b0 AS", WEATHER + ",\n   v_b0 AS").replace(
+    "w * 1.5 AS c, [stop_id] AS seen FROM v_reach", "w * f AS c, [stop_id] AS seen, f FROM v_reach JOIN v_pace USING (od_id)").replace(
+    "list_append(seen, alight) AS seen", "list_append(seen, alight) AS seen, f").replace("c + 3 * 1.5 + 3 AS c, seen FROM", "c + 3 * f + 3 AS c, seen, f FROM").replace(
+    "c + w * 1.5 + 3, list_append(seen, b) FROM", "c + w * f + 3, list_append(seen, b), f FROM").replace("min(a.c + e.w * 1.5)", "min(a.c + e.w * p.f)").replace(
+    "e.stop_id = a.stop_id GROUP BY", "e.stop_id = a.stop_id JOIN v_pace p ON p.od_id = a.od_id GROUP BY"))
+def itineraries_weather(spark, sf_dir):
+    """As itineraries_dense, each pair walking at the pace of its weather."""
+    return dense_itineraries(spark, sf_dir, shrink(paced_pairs(spark, sf_dir), "o_", "d_"))
+
+
 @query("bus_bus", with_views(["v_trip_stops", "v_stops"], """
     SELECT od_id, rank, signature, round(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY total, signature) AS rank FROM v_timed WHERE total <= 90) WHERE rank <= 2""",
     f"""{DENSE}, {REACH.replace('v_stops', 'v_dense')},

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import weather
 from ..functions.timecode import service_period
 from ..operators import itinerary as I
+from ..operators import live as V
 from ..operators import network as N
 from ..session import save_table
 from .feed import Feed
@@ -33,13 +35,27 @@ class TripNetwork:
         return cls(stops, edges, rides, walks)
 
 
+def weather_pace(od: DataFrame, forecasts: DataFrame, lat: str = "o_lat", lon: str = "o_lon", ts: str = "depart") -> DataFrame:
+    """`od` with walk_factor: how much longer its walks take in the weather where and when it starts.
+
+    `forecasts`: lat, lon, ts, precipitation, intensity, gust, feels_like. A trip
+    without a fresh forecast walks at the usual pace.
+    """
+    at = od.select(F.struct(*od.columns).alias("_od"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(ts).alias("ts"))
+    now = V.weather_asof(at, forecasts)
+    f = F.col("forecast")
+    speed = weather.walk_factor(f["precipitation"], f["intensity"], f["gust"], f["feels_like"])
+    return now.select("_od.*", F.coalesce(F.when(f.isNotNull(), 1 / speed), F.lit(1.0)).alias("walk_factor"))
+
+
 def plan_trips(od: DataFrame, net: TripNetwork, k: int = I.TOP_K, walk_factor: float = 1.0,
                arrivals: DataFrame | None = None, sequences: DataFrame | None = None):
-    """(itineraries, status) of `od`: od_id, o_lat, o_lon, d_lat, d_lon, depart (local).
+    """(itineraries, status) of `od`: od_id, o_lat, o_lon, d_lat, d_lon, depart (local) and, if known, walk_factor.
 
-    Pairs that ask for the same trip in the same period are searched once.
+    Pairs that ask for the same trip in the same period at the same pace are
+    searched once. `sequences` with a period serve the pairs of that period.
     """
-    trip = ["o_lat", "o_lon", "d_lat", "d_lon", "period"]
+    trip = ["o_lat", "o_lon", "d_lat", "d_lon", "period", *(["walk_factor"] if "walk_factor" in od.columns else [])]
     asked = od.withColumn("period", service_period(F.col("depart")))
     unique = save_table(asked.groupBy(*trip).agg(F.min("od_id").alias("od_id")), "pairs")
     lines = I.serving_lines(net.edges)

@@ -485,6 +485,22 @@ def forecast_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(k.alias("payload_id"), body.alias("body"), F.to_json(F.struct(head.alias("features"))).alias("alerts"))
 
 
+def trip_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forecast before the departure of every pair, in one of three cells, up to 50 minutes old."""
+    k = F.col("s_suppkey")
+    ago = F.make_interval(mins=(k * 97 % 1440 - k % 50).cast("int"), days=(k % 7).cast("int"))
+    kinds = ["none", "rain", "snow", "freezing_rain"]
+    return table(spark, sf_dir, "supplier").select(
+        *cell_of(k), (F.lit("2024-01-08 00:00:00").cast("timestamp_ntz") + ago).alias("ts"), pick(kinds, k % 4).alias("precipitation"),
+        pick(["light", "moderate", "heavy"], k % 3).alias("intensity"), (k % 60).cast("double").alias("gust"),
+        (k % 90 - 20).cast("double").alias("feels_like"))
+
+
+def cell_of(key: Column) -> list[Column]:
+    """The weather cell of a pair."""
+    return [(F.lit(41.8) + key % 3 * 0.01 + 0.001).alias("lat"), F.lit(-87.651).alias("lon")]
+
+
 def asof_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Requests and forecasts from the event stream, over a handful of cells."""
     e, u = table(spark, sf_dir, "events"), F.col("user_id")
