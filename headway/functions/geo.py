@@ -12,7 +12,6 @@ EARTH_MILES = 3958.8
 EARTH_METRES = 6_371_000.0
 METRES_PER_MILE = 1609.344
 MILES_PER_DEG_LAT = 69.0
-MILES_PER_DEG_LON = 51.35
 WALK_MPH = 3.0
 CITY_BOX = (41.64, 42.02, -87.94, -87.52)
 STREET_BOX = (41.7120, 42.0190, -87.7750, -87.5200)
@@ -87,11 +86,6 @@ def cell(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(size)).cast("bigint")
 
 
-def cell_sizes(miles: float) -> tuple[float, float]:
-    """Cell edges in degrees such that a radius spans at most one neighbour."""
-    return miles / MILES_PER_DEG_LAT, miles / MILES_PER_DEG_LON
-
-
 def point_segment_metres(plat, plon, alat, alon, blat, blon) -> Column:
     """Distance from a point to a segment, flat at the segment's mid latitude."""
     k = math.pi / 180 * EARTH_METRES

@@ -263,10 +263,11 @@ def reverse_geocode(points: DataFrame, cache: DataFrame, landmarks: DataFrame,
                     addresses: DataFrame) -> DataFrame:
     """Label and source of every point: cached cell, landmark, address, coordinates.
 
-    `cache` has (lat_q, lon_q, label); equal coordinates are labelled once.
+    `cache` has (lat_q, lon_q, label); equal coordinates are labelled once. A
+    point without both coordinates stays, without label and source.
     """
     lat, lon = F.col("lat"), F.col("lon")
-    spots = points.select("lat", "lon").distinct().withColumn(
+    spots = points.select("lat", "lon").where(lat.isNotNull() & lon.isNotNull()).distinct().withColumn(
         "lat_q", geo.quantise(lat)).withColumn("lon_q", geo.quantise(lon))
     hits = cache.groupBy("lat_q", "lon_q").agg(F.min("label").alias("c_label"))
     tried = spots.join(hits, ["lat_q", "lon_q"], "left")
@@ -287,4 +288,4 @@ def reverse_geocode(points: DataFrame, cache: DataFrame, landmarks: DataFrame,
         .alias("label"),
         F.when(F.col("name").isNotNull(), "neighborhood").when(F.col("raw").isNotNull(), "address")
         .otherwise("coordinates").alias("source"))
-    return points.join(known.unionByName(found), ["lat", "lon"])
+    return points.join(known.unionByName(found), ["lat", "lon"], "left")

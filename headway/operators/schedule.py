@@ -102,24 +102,13 @@ def alert_picker_group(name: Column) -> Column:
 # --- service calendar ---------------------------------------------------------
 
 
-def service_days(calendar: DataFrame, calendar_dates: DataFrame,
-                 honour_removals: bool = False) -> DataFrame:
+def service_days(calendar: DataFrame, calendar_dates: DataFrame) -> DataFrame:
     """(service_id, dow): weekly flags plus weekdays added on three or more dates."""
     flags = F.array(*[F.when(F.col(d), F.lit(i)) for i, d in enumerate(WEEK)])
     weekly = calendar.select("service_id", F.explode(F.array_compact(flags)).alias("dow"))
-    dated = calendar_dates.withColumn("dow", weekday(F.col("date")))
-    counts = dated.groupBy("service_id", "dow").agg(
-        F.count_if(F.col("exception_type") == "1").alias("added"),
-        F.count_if(F.col("exception_type") == "2").alias("removed"),
-    )
-    days = weekly.unionByName(
-        counts.where(F.col("added") >= ADDED_DATES_FLOOR).select("service_id", "dow")
-    ).distinct()
-    if honour_removals:
-        gone = counts.where((F.col("removed") >= ADDED_DATES_FLOOR)
-                            & (F.col("added") < ADDED_DATES_FLOOR))
-        days = days.join(gone, ["service_id", "dow"], "left_anti")
-    return days
+    added = calendar_dates.where(F.col("exception_type") == "1").groupBy("service_id", weekday(F.col("date")).alias("dow")).agg(
+        F.count("*").alias("n"))
+    return weekly.unionByName(added.where(F.col("n") >= ADDED_DATES_FLOOR).select("service_id", "dow")).distinct()
 
 
 def service_buckets(calendar: DataFrame, calendar_dates: DataFrame) -> DataFrame:

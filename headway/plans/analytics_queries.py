@@ -62,18 +62,24 @@ def daily_active_sketch(spark, sf_dir):
     return month.select("month", F.hll_sketch_estimate("u").alias("visitors"))
 
 
-@query("visitor_keys", with_views(["v_visits"], r"""
-    SELECT CAST(day AS VARCHAR) AS day, count(DISTINCT ip) AS keys, 64 AS key_length,
-           count(DISTINCT ip) AS stable_keys FROM v_visits GROUP BY 1"""))
+def pad_sql(key: str, byte: int) -> str:
+    """The key of an HMAC, at most 64 ASCII characters, padded with zeros and met with one byte."""
+    return (f"unhex(array_to_string(list_transform(string_split({key}, ''), lambda x: printf('%02x', xor(ord(x), {byte}))), '') "
+            f"|| repeat('{byte:02x}', 64 - length({key})))")
+
+
+def hmac_sql(key: str, message: str) -> str:
+    return f"sha256({pad_sql(key, 0x5C)} || unhex(sha256({pad_sql(key, 0x36)} || encode({message}))))"
+
+
+@query("visitor_keys", with_views(["v_visits"], f"""
+    SELECT CAST(day AS VARCHAR) AS day, {hmac_sql("'salt' || CAST(day AS VARCHAR)", 'ip')} AS day_key, {hmac_sql("'stable-key'", 'ip')} AS stable_key
+    FROM (SELECT DISTINCT day, ip // 16777216 || '.' || ip // 65536 % 256 || '.' || ip // 256 % 256 || '.' || ip % 256 AS ip FROM v_visits)"""))
 def visitor_keys(spark, sf_dir):
-    """Day-salted and stable keyed hashes stand in for addresses one to one."""
+    """Day-salted and stable keyed hashes that stand for addresses."""
     v = S.visits(spark, sf_dir).select(local_date(F.col("ts")).alias("day"), "ip").distinct()
-    k = v.select("day", hmac_sha256(daily_key("salt", F.col("day")), F.col("ip")).alias("k"),
-                 hmac_sha256(b"stable-key", F.col("ip")).alias("s"))
-    return day_text(
-        k.groupBy("day", "k").agg(F.count("*").alias("n"), F.first("s").alias("s"))
-        .groupBy("day").agg(F.count("*").alias("keys"), F.max(F.length("k")).alias("key_length"),
-                            F.count("s").alias("stable_keys")))
+    return day_text(v.select("day", hmac_sha256(daily_key("salt", F.col("day")), F.col("ip")).alias("day_key"),
+                             hmac_sha256(b"stable-key", F.col("ip")).alias("stable_key")))
 
 
 @query("hourly_histogram", with_views(["v_visits"], """

@@ -90,14 +90,16 @@ def alerts_selected(spark, sf_dir):
 
 @query("alerts_for", f"""WITH {ALERTS}, n AS (SELECT DISTINCT alert_id, route FROM v_alerts UNION SELECT alert_id, '7' FROM v_alerts WHERE two),
     l AS (SELECT DISTINCT l_orderkey AS od_id, l_suppkey % 2 AS itin_id, list_extract(['red','brn','zz','7'], l_partkey % 4 + 1) AS route FROM lineitem WHERE l_linenumber > 1)
-    SELECT od_id, itin_id, count(DISTINCT alert_id) AS alerts FROM l JOIN n USING (route) GROUP BY ALL""")
+    SELECT od_id, itin_id, count(*) AS alerts, sha256(string_agg(alert_id, ',' ORDER BY alert_id)) AS alert_ids
+    FROM (SELECT DISTINCT od_id, itin_id, alert_id FROM l JOIN n USING (route)) GROUP BY ALL""")
 def alerts_for(spark, sf_dir):
     li = S.table(spark, sf_dir, "lineitem")
     legs = li.select(F.col("l_orderkey").alias("od_id"), (F.col("l_suppkey") % 2).alias("itin_id"),
                      F.when(F.col("l_linenumber") > 1, "transit").otherwise("walk").alias("leg_type"),
                      S.pick(["Red", "Brn", "zz", "7"], F.col("l_partkey") % 4).alias("line_code"))
     a = D.parse_alerts_json(S.alert_payloads(spark, sf_dir).drop("xml"))
-    return V.alerts_for(legs, a).groupBy("od_id", "itin_id").agg(F.count("*").alias("alerts"))
+    return V.alerts_for(legs, a).groupBy("od_id", "itin_id").agg(
+        F.count("*").alias("alerts"), F.sha2(F.array_join(F.array_sort(F.collect_list("alert_id")), ","), 256).alias("alert_ids"))
 
 
 @query("parse_route_status", """SELECT c_custkey AS payload_id, CAST(c_custkey % 40 AS VARCHAR) AS service_id, CASE WHEN c_custkey % 5 = 0 THEN 'Significant Delays' ELSE 'Normal Service' END AS status FROM customer""")

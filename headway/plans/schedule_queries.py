@@ -225,11 +225,12 @@ SHAPES_CTE = """v_shapes AS (SELECT 'H' || (c_custkey % 40) || '-' || ((c_custke
 
 
 @query("used_shapes", with_views(["v_trips"], """
-    SELECT shape_id, count(*) AS points FROM v_shapes WHERE shape_id IN (SELECT shape_id FROM v_trips) GROUP BY 1""",
-    SHAPES_CTE))
+    SELECT 'H' || (c_custkey % 40) || '-' || ((c_custkey // 40) % 4) AS shape_id, CAST(c_custkey // 40 AS INTEGER) AS seq,
+      round(41.64 + (c_custkey * 7919 % 3800) / 10000.0, 5) AS lat, round(-87.94 + ((c_custkey * c_custkey * 31 + c_custkey * 17) % 4200) / 10000.0, 5) AS lon
+    FROM customer WHERE 'H' || (c_custkey % 40) || '-' || ((c_custkey // 40) % 4) IN (SELECT shape_id FROM v_trips)"""))
 def used_shapes(spark, sf_dir):
     f = Feed.from_tables(spark, sf_dir).tables
-    return G.used_shapes(f["shapes"], f["trips"]).groupBy("shape_id").agg(F.count("*").alias("points"))
+    return G.used_shapes(f["shapes"], f["trips"]).select("shape_id", F.col("seq").cast("int").alias("seq"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
 
 @query("shape_per_route", with_views(["v_trips", "v_routes"], """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of this process's tables that nobody has removed yet.
+_TABLES: dict[str, SparkSession] = {}
+
+
 def save_table(df: DataFrame, label: str) -> DataFrame:
-    """Write a table that several jobs read into the shared folder and read it back."""
+    """Write a table that several jobs read into the shared folder and read it back.
+
+    The table lives until `drop_tables` or the end of the process.
+    """
     path = scratch_path(df.sparkSession, label)
+    if not _TABLES:
+        atexit.register(drop_tables)
+    _TABLES[path] = df.sparkSession
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables() -> None:
+    """Remove the tables that `save_table` has written in this process; results that read them are lost."""
+    for path, spark in list(_TABLES.items()):
+        del _TABLES[path]
+        if spark.sparkContext._jsc is not None:       # stopped sessions cannot reach the folder any more
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
