@@ -37,8 +37,8 @@ FREE, IN_L, IN_N, IN_O, AFTER_S, AFTER_W, LEFT1, LEFT2 = range(8)
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
-#: Distinct pieces in each of the two generations of the cache, some 250 bytes each.
-CACHE_PIECES = 150_000
+#: Distinct pieces in each of the two generations of the cache, some 250 bytes each, and bytes of text taken at a time.
+CACHE_PIECES, SLICE = 120_000, 500_000
 BLOCK = 256
 
 
@@ -268,10 +268,6 @@ class Merger:
                     out[i] = x
         return out
 
-    def forget(self) -> None:
-        """Empties the cache: a worker process outlives its tasks."""
-        self.cache, self.older = {}, {}
-
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of a sequence of ids."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -290,7 +286,7 @@ class Merger:
 
 @lru_cache(2)
 def merger(path: str) -> Merger:
-    """One merger per worker process and vocabulary; its cache lasts for a task."""
+    """One merger per task and vocabulary: a worker process outlives its tasks, so they forget it in the end."""
     return Merger(path)
 
 
@@ -303,10 +299,10 @@ def encode(docs: DataFrame, path: str, carry: list[str], text: str = "text") ->
             ids = m.encode(v[text])
             ends = [np.cumsum(m.length[d]).astype(np.int32) for d in ids]
             return [[len(d) for d in ids], pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))]
-        run.done = m.forget
+        run.done = merger.cache_clear
         return run
 
-    return map_rows(docs, make, [text], carry, {"n_tokens": "long", "ids": "array<int>", "ends": "array<int>"}, text)
+    return map_rows(docs, make, [text], carry, {"n_tokens": "long", "ids": "array<int>", "ends": "array<int>"}, text, SLICE)
 
 
 def decode(encoded: DataFrame, path: str, carry: list[str]) -> DataFrame:
@@ -334,8 +330,8 @@ def op6_byte_bpe(docs: DataFrame, path: str) -> DataFrame:
                 ids.append(sha256(m.written(d)))
                 back.append(sha256(m.decode(d)))
             return [n, ids, back]
-        run.done = m.forget
+        run.done = merger.cache_clear
         return run
 
     return map_rows(docs, make, ["text"], ["doc_id"],
-                    {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
+                    {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, size=SLICE)

@@ -72,8 +72,8 @@ def release(fn: Callable) -> None:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], read_cols: list[str], carry: list[str],
-             results: dict[str, str], text: str = "text") -> DataFrame:
-    """Add columns computed by Python, a bounded slice of rows at a time, without a shuffle.
+             results: dict[str, str], text: str = "text", size: int | None = None) -> DataFrame:
+    """Add columns computed by Python, a bounded slice of rows (`size` bytes of text) at a time, without a shuffle.
 
     `make()` runs once per task and returns a function from {column: list} to one
     list (or Arrow array) per result column; an attribute `done` of it is called at the end.
@@ -87,7 +87,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], read_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, size):
                 values = {c: part.column(c).to_pylist() for c in read_cols}
                 values[text] = ["" if t is None else t for t in values[text]]
                 out = [v if isinstance(v, pa.Array) else pa.array(v, ARROW[t])
