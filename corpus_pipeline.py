@@ -18,7 +18,10 @@ from headway.session import save_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose whole text scores as toxic go. The classifier sees no label of the held-out fold."""
+    """Documents whose whole text scores as toxic go. The classifier sees no label of the held-out fold.
+
+    A null text is scored as an empty one and stays null; repeated rows and null ids are judged each.
+    """
     held_out = toxicity.fold(F.col("doc_id"), 3) == 1
     model = toxicity.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"), held_out)
     scored = toxicity.score(docs, model, docs.columns)
@@ -26,7 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similar shingle sets the one with the least id stays."""
+    """Of each group of documents linked by similar shingle sets the one with the least id stays.
+
+    Texts without words (null, empty) belong to no group; of repeated rows one stays.
+    """
     return jaccard.one_of_each(docs).select(*docs.columns)
 
 
@@ -37,14 +43,23 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; each secret found becomes one mark, and n_chars follows the new text."""
+    """Every document stays; each secret found becomes one mark, and n_chars follows the new text.
+
+    A null text stays null with the n_chars it has; repeated rows and null ids stay as they are.
+    """
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = secrets.scan_secrets(docs, rest, clean=True).withColumn("text", F.col("clean_text"))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    marked = docs.withColumn("__null", F.col("text").isNull()).withColumn("__chars", F.col("n_chars"))
+    found = secrets.scan_secrets(marked, [*rest, "__null", "__chars"], clean=True)
+    text = F.when(~F.col("__null"), F.col("clean_text"))
+    size = F.when(F.col("__null"), F.col("__chars")).otherwise(F.length("clean_text")).cast("long")
+    return found.withColumn("n_chars", size).withColumn("text", text).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, with the end of each token in bytes of its text."""
+    """Token ids of every document that is left, with the end of each token in bytes of its text.
+
+    A null or empty text has no ids; repeated rows and null ids are encoded each.
+    """
     return byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), ["doc_id", "lang", "source", "n_chars"])
 
 
