@@ -16,7 +16,7 @@ HEADLINE = [
     "last_departures", "network_edges", "rides", "radius_join", "nearest_within", "ring_nearest",
     "crossing_streets", "fuzzy_match", "autocomplete", "reverse_geocode", "replay_cache",
     "parse_train_arrivals", "pick_wait", "weather_asof", "walk_steps", "detour_factor",
-    "legs_from_path", "rank_itineraries",
+    "legs_from_path", "rank_itineraries", "geocode", "itineraries", "bus_bus",
 ]
 
 
