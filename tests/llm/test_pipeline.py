@@ -57,3 +57,16 @@ def test_benchmark_stage_leaves_clean_documents_alone(spark, make_docs):
     got = C.decontaminate(spark, src, DIR).sort("doc_id").collect()
     assert [(r.doc_id, r.text) for r in got] == [(0, "plain text"), (1, None), (2, "")]
     assert decontamination.WINDOW == 13
+
+
+def test_null_empty_and_repeated_rows(spark, make_docs, prose):
+    a, b = prose(30, 1), prose(30, 2)
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    src = make_docs([None, "", a, b, a, "key = token=abcdef12 end", "key = token=abcdef12 end"], [1, 2, 5, 5, 9, 7, 7]).select(*cols)
+    scanned = sorted(((r.doc_id, r.text, r.n_chars) for r in C.scan_secrets(spark, src, DIR).collect()), key=repr)
+    marked = "key = [SECRET] end"
+    assert scanned == sorted([(1, None, None), (2, "", 0), (5, a, len(a)), (5, b, len(b)), (9, a, len(a)), *[(7, marked, len(marked))] * 2], key=repr)
+    left = sorted(((r.doc_id, r.text) for r in C.drop_near_copies(spark, src, DIR).collect()), key=repr)
+    assert left == sorted([(1, None), (2, ""), (5, a), (5, b), (7, "key = token=abcdef12 end")], key=repr)
+    ids = C.tokenize(spark, src, DIR).collect()
+    assert len(ids) == 7 and {r.n_tokens for r in ids if r.doc_id in (1, 2)} == {0}
