@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,12 @@ def save_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are saved now, not at some later collection of the driver."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_tables() -> None:
     """Remove the tables that `save_table` has written in this process; results that read them are lost."""
     for path, spark in list(_TABLES.items()):
