@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.streets import components
-from ..session import save_table
+from ..session import release_shuffles, save_table
 from .common import LOWER, gram_hashes, map_rows, mix, utf8, word_hashes
 
 SHINGLE = 5
@@ -257,6 +257,7 @@ def similar_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, tex
     candidates = save_table(shared.join(sets, "sid").where(F.size("shared") >= _least(percent)), "jaccard-candidates")
     for _ in range(PRUNINGS):
         candidates = save_table(_pruned(candidates, percent), "jaccard-candidates")
+    release_shuffles(docs.sparkSession)      # all prefix tokens went through them
 
     def of(often: bool) -> Column:
         return F.transform(F.filter("shared", lambda x: x["often"] == often), lambda x: x["token"])
